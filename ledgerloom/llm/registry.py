@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dedup, token_files
+from . import bpe, decontaminate, html_text, near_dedup, pii, quality_classifier, quality_rules, token_files, toxicity, url_rules
+
+#: The key of the pseudonyms in the queries; a production run passes its own secret.
+KEY = "synthetic-tables"
+#: The listed rules of the url query.
+URL_RULES = [
+    url_rules.Listed("allow", "org", "/"),
+    url_rules.Listed("block", "example.org", "/es/"),
+    url_rules.Listed("block", "example.org", "/en/1"),
+    url_rules.Listed("allow", "com", "/fr/"),
+    url_rules.Listed("block", "com", "/de/"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,21 +31,55 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents"), KEY, found="kinds")
+    return docs.selectExpr("doc_id", "text", "cast(size(kinds) as long) as n_replaced", "array_join(kinds, ',') as kinds")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+QUERIES = [op1_html_text, op2_url_rules, op3_bpe_codec, op4_quality_neighbours, op5_pii_pseudonyms, op6_near_dedup, op7_line_labels, op8_decontaminate, op9_toxicity, op10_token_files]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_codec, op6_near_dedup, op10_token_files)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: every query's method or digest is beyond SQL, so tests hold each against a brute-force version."""
     return {}

@@ -70,7 +70,7 @@ class ForcedBoundaryBPE:
         self.merger = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "pre_tokenizer": None, "normalizer": None, "post_processor": None}))
         self.pretokens = regex.compile(PATTERN).findall
         self.fragments: dict[bytes, tuple[int, ...]] = {}
-        self.table = IdTable(self._units)
+        self.table = IdTable(self._units, 500_000)
         self.size = np.zeros(max(self.tokens) + 1, np.int64)
         for i, t in self.tokens.items():
             self.size[i] = len(t)
@@ -142,24 +142,29 @@ def load(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", decoded: str | None = None) -> DataFrame:
     """The kept columns and ``ids array<int>`` of every row; a null text counts as empty: no ids.
 
-    Rows stay as they are: repeated and null ids too. Other columns are dropped, so
-    that none can clash with ``ids``.
+    ``decoded`` names a column for the text decoded from the ids by the same worker,
+    which spares a second one per task. Rows stay as they are: repeated and null ids
+    too. Other columns are dropped, so that none can clash with ``ids``.
     """
     ship(docs.sparkSession)
     docs = pick(docs, *keep, text)
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    extra = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    schema = T.StructType([*docs.schema.fields[:-1], *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         for batch in batches:
-            for a, texts in pieces(batch.column(len(keep))):
+            for a, texts in pieces(batch.column(len(keep)), 1 << 21):
                 ids, lengths = coder.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 arrays = [batch.column(i).slice(a, len(texts)) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [*keep, "ids"])
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
+                if decoded:
+                    arrays.append(pa.array(coder.decode(ids, lengths), pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -186,8 +191,7 @@ def decode(coded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text)."""
-    both = decode(encode(docs, path), path)
-    return both.select(
+    return encode(docs, path, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

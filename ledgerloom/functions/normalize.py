@@ -15,6 +15,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as browsers and Python see it: ASCII and the no-break space.
 WS = r"[\s ]"
@@ -67,7 +68,7 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(pairs, c), c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", v) if not 0x300 <= ord(ch) <= 0x36F))
 
@@ -125,7 +126,7 @@ def strip_seat_suffix(c: Column) -> Column:
     return F.trim(F.regexp_replace(text(c), r"\s*[—–]\s*.*$", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _entities(s: pd.Series) -> pd.Series:
     point = re.compile(r"&#(x?)([0-9A-Fa-f]+);")
 
@@ -209,7 +210,7 @@ def parse_retry_after(c: Column, now_ms: Column) -> Column:
     """Milliseconds of whole seconds or of an HTTP date, 0 at least; else null."""
     s = F.trim(text(c))
     when = F.unix_millis(F.try_to_timestamp(F.regexp_replace(s, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.when(s.rlike(r"^\d+$"), s.cast("long") * 1000).otherwise(F.greatest(when - now_ms, F.lit(0)))
+    return F.when(s.rlike(r"^\d+$"), s.cast("long") * 1000).when(when.isNotNull(), F.greatest(when - now_ms, F.lit(0)))
 
 
 def backoff_ms(attempt: Column, rand: Column) -> Column:

@@ -162,5 +162,5 @@ COUNTRIES = (
 
 def place_side(location: Column) -> Column:
     """Yes for Italy, No for another known country, else null."""
-    tokens = F.transform(F.split(F.lower(text(location)), ","), F.trim)
+    tokens = F.transform(F.split(F.lower(text(location)), ","), lambda x: F.trim(x))
     return F.when(F.arrays_overlap(tokens, F.array(F.lit("italy"), F.lit("italia"))), "Yes").when(F.arrays_overlap(tokens, F.array(*map(F.lit, COUNTRIES))), "No")

@@ -37,8 +37,12 @@ def regroup(roles: DataFrame, key: str, label: str, score: str, order: str, numb
     rank = F.array_position(F.array(*map(F.lit, LABELS)), F.col(label))
     best = F.struct(rank.alias("r"), (-F.coalesce(F.col(score).cast("double"), F.lit(0.0))).alias("s"), F.col(order).alias("o"), *[F.col(c).cast("string").alias(c) for c in dict.fromkeys([*numbered, *distinct])])
     grouped = roles.groupBy(key).agg(F.array_sort(F.collect_list(best)).alias("all"))
-    cells = [number_items(F.transform("all", lambda x, c=c: x[c])).alias(c) for c in numbered]
-    cells += [F.array_join(F.array_distinct(F.transform("all", lambda x, c=c: x[c])), "; ").alias(c) for c in distinct if c not in numbered]
+
+    def values(c: str) -> Column:
+        return F.transform("all", lambda x: x[c])
+
+    cells = [number_items(values(c)).alias(c) for c in numbered]
+    cells += [F.array_join(F.array_distinct(values(c)), "; ").alias(c) for c in distinct if c not in numbered]
     return grouped.select(key, F.size("all").alias("n_roles"), F.element_at("all", 1)["r"].alias("best_rank"), (-F.element_at("all", 1)["s"]).alias("best_score"), *cells)
 
 

@@ -151,8 +151,9 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
     """
     ship(docs.sparkSession)
     docs = pick(docs, *keep, text)
-    extra = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
-    schema = T.StructType([*docs.schema.fields[:-1], *extra])
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)

@@ -6,7 +6,7 @@ a 0 changes nothing; several masks together find a copy whose tokens are changed
 and there. Equal hashes of a test item and a document give a hit on a diagonal
 (document position minus item position). Each diagonal is verified on whole texts:
 the best run of aligned tokens, with MISMATCH against every changed token, must hold
-LEAST equal tokens, or nearly all of a shorter item.
+LEAST equal tokens, or three quarters of a shorter item's.
 
 The test items are read in chunks of at most CHUNK_TOKENS tokens, so what is sent to
 every task is bounded; a larger benchmark takes more passes over the documents.
@@ -32,7 +32,7 @@ from ._text import PUNCT, Words, constants, mix, pieces
 MASKS = ("1110100101", "1101100011", "1010111001", "1100101101")
 SPAN = 10
 CHUNK_TOKENS = 1_000_000
-#: Equal tokens that a leak has at least, or 0.9 of a shorter item's.
+#: Equal tokens that a leak has at least, or three quarters of a shorter item's.
 LEAST = 13
 MISMATCH = 2
 _BITS = 22
@@ -126,7 +126,7 @@ def leaks(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int]]
             if b <= a:
                 continue
             first, end, same = best_run(h[a:b] == mine[a - diagonal : b - diagonal])
-            if same >= min(LEAST, -(-9 * len(mine) // 10)) and same > best.get((row, item), (0, 0, 0))[2]:
+            if same >= min(LEAST, -(-3 * len(mine) // 4)) and same > best.get((row, item), (0, 0, 0))[2]:
                 start = int(a - w.of[row])
                 best[row, item] = (start + first, start + end, same)
     return [(row, item, *run) for (row, item), run in sorted(best.items())]

@@ -254,16 +254,19 @@ def _blocks(k: int, percent: int, miss: float):
     return run
 
 
-def _links(reps: DataFrame, texts: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+def _links(reps: DataFrame, docs: DataFrame, repeated: bool, k: int, percent: int, miss: float) -> DataFrame:
     """Enough verified links (pivot, doc) between representatives to connect all that are linked.
 
-    reps: doc, n, sig, bands. texts: doc, text of the representatives.
+    reps: doc, n, sig, bands, and doc_id and th of the row that holds the text. docs:
+    doc_id, th, text; ``repeated`` tells that some (doc_id, th) stand there twice.
     """
     keyed = reps.select("doc", F.explode("bands").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     members = stored(keyed.join(pivots, "key").filter("doc <> pivot").select("pivot", "doc").distinct(), "members")
     active = members.select("doc").union(members.select("pivot")).distinct()
-    texts = stored(texts.join(active, "doc", "left_semi").join(reps.select("doc", "n", "sig"), "doc"), "texts")
+    # texts are dealt once, and only those of candidates are kept
+    texts = docs.join(reps.join(active, "doc", "left_semi").select("doc_id", "th", "doc", "n", "sig"), ["doc_id", "th"]).select("doc", "text", "n", "sig")
+    texts = stored(texts.dropDuplicates(["doc"]) if repeated else texts, "texts")
 
     def both(df: DataFrame, *names: str) -> DataFrame:
         for on, a in (("pivot", "a"), ("doc", "b")):
@@ -323,13 +326,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     least = F.min(F.struct("doc_id", "th")).alias("least")
     # a representative is named by its digest, as doc_ids may repeat
     reps = real.groupBy("d0", "d1", "n").agg(least, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    reps = stored(reps.select(F.col("d0").alias("doc"), "d1", "n", F.col("least.doc_id").alias("first_id"), F.col("least.th").alias("th"), "sig", "bands"), "reps")
-    texts = docs.join(reps.select(F.col("first_id").alias("doc_id"), "th", "doc"), ["doc_id", "th"]).select("doc", "text")
-    if not real.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["doc"])
-    links = _links(reps, texts, k, percent, miss)
+    reps = stored(reps.select(F.col("d0").alias("doc"), "d1", "n", F.col("least.doc_id").alias("doc_id"), F.col("least.th").alias("th"), "sig", "bands"), "reps")
+    repeated = not real.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
+    links = _links(reps, docs, repeated, k, percent, miss)
     comps = components(links.select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
-    named = stored(reps.select("doc", "n", "d1", "first_id").join(comps, F.col("doc") == F.col("node"), "left").select("doc", "d1", "n", "first_id", F.coalesce("component", "doc").alias("component")), "named")
+    named = stored(reps.select("doc", "n", "d1", F.col("doc_id").alias("first_id")).join(comps, F.col("doc") == F.col("node"), "left").select("doc", "d1", "n", "first_id", F.coalesce("component", "doc").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select(F.col("doc").alias("d0"), "d1", "n", "component_id")
     shaped = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]

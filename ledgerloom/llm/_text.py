@@ -77,7 +77,7 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(column: pa.Array, most: int = 4 * PIECE) -> Iterator[tuple[int, pa.Array]]:
+def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) of slices of about ``most`` bytes of text, each of one row at least."""
     _, offs = buffer(column)
     a, n = 0, len(column)

@@ -173,7 +173,9 @@ class Field:
 
 def train(texts: list[str | None], labels: list[int], rounds: int = 150, decay: float = 1e-3) -> Field:
     """A field whose lines take their document's label; without documents all is content."""
-    parts = lines(pa.array(texts, pa.large_string()))
+    each = [lines(t) for _, t in pieces(pa.array(texts, pa.large_string()))]
+    of = np.concatenate([[0], *[np.diff(x.of) for x in each]]).cumsum()
+    parts = Lines(np.zeros((len(texts), 0)), np.concatenate([np.zeros((0, len(FEATURES))), *[x.features for x in each]]), np.zeros(0), of)
     field = Field(np.zeros(len(FEATURES)), np.zeros((2, 2)))
     if not len(parts.features):
         field.unary[0] = 1.0

@@ -78,6 +78,22 @@ def nfkd(c: Column) -> Column:
     return _nfkd(text(c))
 
 
+def _latin_pairs() -> tuple[str, str]:
+    """Letters of the Latin blocks up to U+017F that NFKD takes to one ASCII letter and marks, and those letters."""
+    pairs = []
+    for point in range(0xC0, 0x180):
+        parts = [ch for ch in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(ch)]
+        if len(parts) == 1 and parts[0].isascii():
+            pairs.append((chr(point), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def latin(c: Column) -> Column:
+    """NFKD for Latin letters, in the JVM: inside lambda functions no UDF can run."""
+    marks = F.regexp_replace(text(c), "[\u0300-\u036F]", "")
+    return F.translate(marks, *_latin_pairs())
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -156,12 +172,12 @@ def strip_tags(c: Column) -> Column:
     return collapse(F.regexp_replace(text(c), "<[^>]+>", " "))
 
 
-def norm_language(c: Column, fold=nfkd) -> Column:
+def norm_language(c: Column, fold=latin) -> Column:
     names = {n: k for k, v in LANGUAGES.items() for n in v.split()}
     return lookup(F.regexp_replace(fold(F.lower(F.trim(text(c)))), "[^a-z]", ""), names)
 
 
-def is_known_language(c: Column, fold=nfkd) -> Column:
+def is_known_language(c: Column, fold=latin) -> Column:
     return norm_language(c, fold).isin(*LANGUAGES)
 
 

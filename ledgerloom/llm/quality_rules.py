@@ -196,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
     some = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     docs = pick(docs, "doc_id", "text").filter("text is not null")
     # at most ``most`` ids are sent to every task; their texts are what comes back
-    rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").collect()
-    rows = sorted((r for r in rows), key=lambda r: (r[0], r[1]))[: 2 * most]
+    rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").limit(2 * most).collect()
+    rows = sorted(rows, key=lambda r: (r[0], r[1]))
     return train([r[1] for r in rows], [int(r[2] > 0) for r in rows])
 
 

@@ -221,7 +221,7 @@ _ORDERED = "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_cust
 SQL = {
     "card_merge": """WITH c AS (SELECT l_partkey AS key, l_orderkey * 100000000000 + l_linenumber * 10000000000 + l_suppkey * 1000000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 1000000 AS ord,
         'https://x.test/' || l_partkey || '?s=' || (l_suppkey % 3) AS url, CAST(l_quantity AS INT) % 7 AS len, 'q' || (l_suppkey % 12) AS q FROM lineitem),
-      g AS (SELECT key, arg_min(url, ord) AS url, max(len) AS snippet_chars, list_reduce(list(q ORDER BY ord), lambda s, x: CASE WHEN contains(s, x) THEN s ELSE s || ' + ' || x END) AS queries, list_distinct(list(url)) AS urls, count(*) - 1 AS n_merged FROM c GROUP BY key)
+      g AS (SELECT key, arg_min(url, ord) AS url, CAST(max(len) AS BIGINT) AS snippet_chars, list_reduce(list(q ORDER BY ord), lambda s, x: CASE WHEN contains(s, x) THEN s ELSE s || ' + ' || x END) AS queries, list_distinct(list(url)) AS urls, count(*) - 1 AS n_merged FROM c GROUP BY key)
       SELECT key, url, snippet_chars, queries, array_to_string(list_sort(list_filter(urls, lambda u: u <> url)), ' ') AS alternates, n_merged FROM g""",
     "near_duplicates": """SELECT near_key, count(*) AS n, array_to_string(list(k ORDER BY k), ',') AS ords FROM (SELECT p_partkey AS k, 'x:' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) || '|' || p_name || '|' || CASE WHEN p_partkey % 3 < 2 THEN 'milan' ELSE 'rome' END AS near_key FROM part) GROUP BY 1 HAVING count(*) > 1""",
     "history_antijoin": """WITH o AS (SELECT o_orderkey, o_custkey AS c, CAST(floor(o_totalprice / 5000) AS BIGINT) AS u, o_orderpriority AS r, year(o_orderdate) AS y FROM orders), h AS (SELECT * FROM o WHERE y < 1999)
@@ -244,7 +244,7 @@ SQL = {
     "company_rollup_numbered": """WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS r, round(o_totalprice) AS s, o_orderpriority AS th FROM orders),
       n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY o_custkey) AS m FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY r, -s, o_orderkey)),
       t AS (SELECT o_custkey, th, min(i) AS i FROM n GROUP BY 1, 2), tt AS (SELECT o_custkey, string_agg(th, '; ' ORDER BY i) AS theme FROM t GROUP BY 1)
-      SELECT o_custkey, count(*) AS n_roles, min(r) AS best_rank, arg_min(s, i) AS best_score, string_agg(CASE WHEN m = 1 THEN '' ELSE i || '. ' END || 'R' || o_orderkey, chr(10) ORDER BY i) AS title, any_value(theme) AS theme FROM n JOIN tt USING (o_custkey) GROUP BY 1""",
+      SELECT o_custkey, count(*) AS n_roles, CAST(min(r) AS BIGINT) AS best_rank, arg_min(s, i) AS best_score, string_agg(CASE WHEN m = 1 THEN '' ELSE i || '. ' END || 'R' || o_orderkey, chr(10) ORDER BY i) AS title, any_value(theme) AS theme FROM n JOIN tt USING (o_custkey) GROUP BY 1""",
     "coverage": """SELECT c_nationkey AS area, count(*) AS planned, count(h) AS searched, count(*) - count(h) AS not_searched FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, 1 AS h FROM orders WHERE o_totalprice > 400000) ON o_custkey = c_custkey GROUP BY 1""",
     "harvest_delta": """SELECT o_orderkey, 'status' AS "column", o_orderstatus AS was, 'X' AS now FROM orders WHERE o_orderkey % 10 = 0 UNION ALL
       SELECT o_orderkey, 'day', strftime(o_orderdate, '%Y-%m-%d'), '02/01/2020' FROM orders WHERE o_orderkey % 15 = 0 AND CAST(o_orderdate AS DATE) <> DATE '2020-01-02'""",

@@ -33,7 +33,7 @@ MASKS = ("1110100101", "1101100011", "1010111001", "1100101101")
 SPAN = 10
 CHUNK_TOKENS = 1_000_000
 #: Equal tokens that a leak has at least, or three quarters of a shorter item's.
-LEAST = 13
+LEAST = 10
 MISMATCH = 2
 _BITS = 22
 

@@ -138,7 +138,16 @@ def train(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.2, dec
     if not rows:
         return Machine(-30.0, none, np.zeros(0), np.zeros((0, FACTORS)), np.zeros(1 << _BITS, bool))
     texts, y = pa.array([r[0] for r in rows], pa.large_string()), np.array([r[1] for r in rows], float)
-    parts = [terms(t) for _, t in pieces(texts)]
+    # most terms stand in one row: counted by leading bits, they are left out before anything is held
+    rows_of = np.zeros(1 << 24, np.uint32)
+    for _, t in pieces(texts):
+        bins, n = np.unique(terms(t)[0] >> np.uint64(40), return_counts=True)
+        rows_of[bins] += n.astype(np.uint32)
+    parts = []
+    for _, t in pieces(texts):
+        each, first = terms(t)
+        often = rows_of[each >> np.uint64(40)] >= LEAST_DOCS
+        parts.append((each[often], np.concatenate([[0], np.cumsum(often)])[first]))
     term = np.concatenate([t for t, _ in parts])
     of = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
     hashes = choose(term, of, y)

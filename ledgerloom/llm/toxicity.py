@@ -28,7 +28,7 @@ from ._store import pick, ship
 from ._text import PUNCT, Words, mix, pieces, span_hashes
 
 #: At most so many labelled rows train the machine.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 5000
 FACTORS = 4
 LEAST_DOCS = 4
 LEAST_Z = 4.0

@@ -43,10 +43,8 @@ def run(cards: DataFrame, config: Config, aggregators: DataFrame, history: tuple
     df = gates.with_outcome(cards, gates.geo_verdict(F.col("location")) == "non-eu", "non-eu")
     df = gates.attribute(df, aggregators, fold=fold)
     df = gates.with_outcome(df, F.col("aggregator").isNotNull(), "unresolved")
-    none = F.lit(None).cast("array<string>")
-    admitted = F.array(*map(F.lit, config.admitted_languages)) if config.admitted_languages else none
-    ok = gates.languages_satisfiable(none, admitted, F.lit("any"))  # a card states no languages
-    ground = gates.admissibility(F.col("title"), F.col("snippet"), F.lit(None).cast("boolean"), F.col("workMode"), F.lit(None).cast("boolean"), ok)
+    # a card states no languages, so that ground has nothing to read here
+    ground = gates.admissibility(F.col("title"), F.col("snippet"), F.lit(None).cast("boolean"), F.col("workMode"), F.lit(None).cast("boolean"), F.lit(True))
     df = df.withColumn("ground", F.when(F.col("outcome").isNull(), ground))
     df = gates.with_outcome(df, F.col("ground").isNotNull(), "excluded")
     df = df.withColumn("key", dedup.card_key(F.col("source"), F.col("sourceJobId"), F.col("url")))

@@ -4,8 +4,10 @@ The standard library's parser streams a page as events, which are cut into lines
 for each block of text, with the number of tags met since the last. The ratio of text
 to tags of each line, smoothed by a Gaussian over its neighbours, is high where prose
 stands. A threshold from the spread of the smoothed ratios clusters the lines into
-prose and other; the container that holds most of the prose is the content region, and
-all of its lines are the text, short ones between long ones included. Lines inside
+prose and other; the smallest container that holds all of the prose is the content
+region, and all of its lines are the text, short ones between long ones included. Where
+an article or main holds most of the prose, only its prose counts, and the region is
+never a part of it. Lists, tables, quotes and figures are no regions. Lines inside
 elements that never hold an article (menus, footers, forms, scripts, and elements
 named as adverts, side bars, notices or comments) are in no region.
 """
@@ -28,6 +30,9 @@ from ._store import pick, ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head title script style noscript template nav footer aside form button select textarea iframe object svg canvas dialog menu".split())
 CONTAINER = frozenset("html body article main section div ul ol dl table tbody thead tr figure blockquote details header hgroup center".split()) | NEVER
+#: Containers that may be the region; what lies in any other container isn't one either.
+REGION = frozenset("html body article main section div center details".split())
+WHOLE = frozenset("article main".split())
 BLOCK = CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre address hr summary legend fieldset option".split())
 #: Names, as whole parts of a class or id, of elements that hold no article.
 NAMED = frozenset(
@@ -52,6 +57,7 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.parts: list[str] = []
         self.out: list[tuple[str, int, tuple[int, ...]]] = []
+        self.tag: dict[int, str] = {}  # of each container
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -71,6 +77,7 @@ class _Lines(HTMLParser):
             self.open = [x for x in self.open if x[0] == "html"]
         if tag in CONTAINER and tag not in VOID:
             self.count += 1
+            self.tag[self.count] = tag
             self.open.append((tag, self.count, self._never(tag, attrs)))
 
     def _never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -123,25 +130,42 @@ def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line; empty for null, empty or text-less pages."""
     if not html:
         return ""
-    lines = _Lines().read(html)
+    page = _Lines()
+    lines = page.read(html)
     if not lines:
         return ""
     size = np.array([len(t) for t, *_ in lines], float)
     ratio = smoothed(size / np.maximum([n for _, n, _ in lines], 1))
     prose = ratio >= min(SPREAD * ratio.std(), ratio.max())
-    weight: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for (_, _, path), s, p in zip(lines, size, prose, strict=True):
-        for i, number in enumerate(path):
-            weight[number] = weight.get(number, 0) + (s if p else 0)
-            depth[number] = i
-    total = size[prose].sum()
-    # the innermost container that holds nearly all of the prose; without one, the page
-    inner = [n for n, w in weight.items() if w >= 0.75 * total]
-    region = max(inner, key=lambda n: depth[n]) if inner else None
+    region = _region([path for *_, path in lines], size * prose, page.tag)
     return "\n\n".join(t for t, _, path in lines if region is None or region in path)
 
 
+def _region(paths: list[tuple[int, ...]], weight: np.ndarray, tag: dict[int, str]) -> int | None:
+    """The container whose lines are the text, from each line's path and size (0 if it isn't prose); None for the page."""
+    whole = np.array([any(tag[n] in WHOLE for n in path) for path in paths])
+    some = weight > 0
+    if 2 * weight[whole].sum() > weight.sum():
+        some &= whole
+    common: tuple[int, ...] | None = None  # open around all of the prose
+    for i in np.flatnonzero(some):
+        path = paths[i]
+        if common is None:
+            common = path
+        elif path[: len(common)] != common:
+            n = next((k for k, (x, y) in enumerate(zip(common, path, strict=False)) if x != y), min(len(common), len(path)))
+            common = common[:n]
+    for n in common or ():
+        if tag[n] in WHOLE:
+            return n
+    region = None
+    for n in common or ():
+        if tag[n] not in REGION:
+            break
+        region = n
+    return region
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages(page_id, url, html).
 

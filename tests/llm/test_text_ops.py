@@ -271,6 +271,23 @@ def test_pages_without_an_article_and_many_paragraphs():
     assert html_text.main_text(page) == "\n\n".join(paragraphs)
 
 
+@pytest.mark.parametrize("inner", ["ul><li", "ol><li", "table><tr><td", "blockquote><p", "figure><figcaption", "div class=body><p", "section><p", "dl><dd"])
+@pytest.mark.parametrize("outer", ["article", "main", "main><article", "div", "article><div"])
+def test_region_is_the_whole_article(inner, outer):
+    body = [f"Item {i} holds by far the most of all the words that this article has to say." for i in range(20)]
+    first, *rest = inner.split("><")
+    each = "".join("".join(f"<{t}>" for t in rest) + b + "".join(f"</{t}>" for t in rest[::-1]) for b in body)
+    end = "".join(f"</{t.split()[0]}>" for t in outer.split("><")[::-1])
+    page = f"<body><nav>Menu</nav><{outer}><h1>Title</h1><p>A lead of some words.</p><{first}>{each}</{first.split()[0]}><p>A closing line of some words.</p>{end}<footer>f</footer>"
+    assert html_text.main_text(page) == "\n\n".join(["Title", "A lead of some words.", *body, "A closing line of some words."])
+
+
+def test_prose_outside_of_the_article_is_left_out():
+    text = [f"Sentence {i} of the article, which has many words in it." for i in range(9)]
+    page = "<body><p>This line of the site's own says something of some length.</p><article>" + "".join(f"<p>{t}</p>" for t in text) + "</article><p>And another one below it is as long as that.</p>"
+    assert html_text.main_text(page) == "\n\n".join(text)
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>a</p>"), (2, "u", "<p>" + "word " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

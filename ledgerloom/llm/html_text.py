@@ -8,8 +8,10 @@ prose and other; the smallest container that holds all of the prose is the conte
 region, and all of its lines are the text, short ones between long ones included. Where
 an article or main holds most of the prose, only its prose counts, and the region is
 never a part of it. Lists, tables, quotes and figures are no regions. Lines inside
-elements that never hold an article (menus, footers, forms, scripts, and elements
-named as adverts, side bars, notices or comments) are in no region.
+elements that never hold an article (menus, footers, scripts) are in no region, nor are
+those of forms, page headers and elements named as adverts, side bars, notices or
+comments, unless such an element encloses the article or holds most of the prose, or
+nothing else has text.
 """
 
 from __future__ import annotations
@@ -28,18 +30,26 @@ from ._store import pick, ship
 
 #: Elements without content, by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head title script style noscript template nav footer aside form button select textarea iframe object svg canvas dialog menu".split())
-CONTAINER = frozenset("html body article main section div ul ol dl table tbody thead tr figure blockquote details header hgroup center".split()) | NEVER
+NEVER = frozenset("head title script style noscript template nav footer aside button select textarea iframe object svg canvas dialog menu".split())
+CONTAINER = frozenset("html body article main section form div ul ol dl table tbody thead tr figure blockquote details header hgroup center".split()) | NEVER
 #: Containers that may be the region; what lies in any other container isn't one either.
-REGION = frozenset("html body article main section div center details".split())
+REGION = frozenset("html body article main section form div center details".split())
 WHOLE = frozenset("article main".split())
 BLOCK = CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre address hr summary legend fieldset option".split())
-#: Names, as whole parts of a class or id, of elements that hold no article.
+#: All that stands in a head; any other tag or text ends it.
+HEAD = frozenset("html head title base link meta script style noscript template".split())
+#: Names of elements that hold no article: what the last word of a class or id names.
 NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted related "
     "respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Names of what readers write, which may be longer than the article.
+REPLIES = frozenset("comment comments commentlist disqus respond".split())
+#: Words that only say which part of the named thing an element is.
+PART = frozenset("area bar block bottom box inner item items left link links list main outer post posts right section text top".split())
+#: Words that tell how a page is laid out: a class or id with one names nothing.
+LAYOUT = frozenset("has hide is no non not show with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 SIGMA = 1.0
 #: Lines above this many standard deviations of the smoothed ratios are prose.
@@ -47,6 +57,16 @@ SPREAD = 0.5
 _PARTS = re.compile(r"[A-Za-z]+")
 
 
+def _names(token: str) -> str:
+    """The word of a class or id that says what the element is, or nothing."""
+    words = [w.lower() for w in _PARTS.findall(token)]
+    if LAYOUT.intersection(words):
+        return ""
+    while words and words[-1] in PART:
+        words.pop()
+    return words[-1] if words else ""
+
+
 class _Lines(HTMLParser):
     """Lines (text, tags, path of open containers) of a page."""
 
@@ -58,6 +78,7 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.out: list[tuple[str, int, tuple[int, ...]]] = []
         self.tag: dict[int, str] = {}  # of each container
+        self.doubt: dict[int, str] = {}  # containers that hold no article by their names
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -67,30 +88,41 @@ class _Lines(HTMLParser):
         self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD:
+            self._end_head()
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
         if tag not in BLOCK:
             return
         self.flush()
-        if tag == "body":  # ends a head that was left open
+        if tag == "body":
             self.open = [x for x in self.open if x[0] == "html"]
         if tag in CONTAINER and tag not in VOID:
             self.count += 1
             self.tag[self.count] = tag
+            if name := self._doubtful(tag, attrs):
+                self.doubt[self.count] = name
             self.open.append((tag, self.count, self._never(tag, attrs)))
 
     def _never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if self.open and self.open[-1][2] or tag in NEVER:
             return True
-        if tag == "header" and not any(t in ("article", "main") for t, *_ in self.open):
-            return True
-        if tag in ("html", "body", "article", "main"):
-            return False
-        found = {p.lower() for k, v in attrs if k in ("class", "id") and v for p in _PARTS.findall(v)}
-        roles = {(v or "").lower() for k, v in attrs if k == "role"}
-        hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        return bool(found & NAMED or roles & ROLES or hidden)
+        return tag not in ("html", "body", *WHOLE) and any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+
+    def _doubtful(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """The name by which an element holds no article, as far as its start tells."""
+        if tag in ("html", "body", *WHOLE):
+            return ""
+        inside = any(t in WHOLE for t, *_ in self.open)
+        if tag == "form" or tag == "header" and not inside:
+            return tag
+        found = {_names(t) for k, v in attrs if k in ("class", "id") and v for t in v.split()} & NAMED
+        if inside:  # the head of the article
+            found -= {"header", "masthead"}
+        if any(k == "role" and (v or "").lower() in ROLES for k, v in attrs):
+            found.add("role")
+        return min(found, key=lambda x: (x not in REPLIES, x), default="")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -107,7 +139,13 @@ class _Lines(HTMLParser):
                     del self.open[i:]
                     break
 
+    def _end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.open.pop()
+
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._end_head()
         if not (self.open and self.open[-1][2]):
             self.parts.append(data)
 
@@ -134,13 +172,58 @@ def main_text(html: str | None) -> str:
     lines = page.read(html)
     if not lines:
         return ""
-    size = np.array([len(t) for t, *_ in lines], float)
-    ratio = smoothed(size / np.maximum([n for _, n, _ in lines], 1))
-    prose = ratio >= min(SPREAD * ratio.std(), ratio.max())
+    size, prose = _prose(lines)
+    if out := _dropped(page, lines, size * prose):
+        kept, tags = [], 0
+        for text, n, path in lines:  # the tags of what is left out stand before the next line
+            tags += n
+            if out.isdisjoint(path):
+                kept.append((text, tags, path))
+                tags = 0
+        lines = kept or lines
+        size, prose = _prose(lines)
     region = _region([path for *_, path in lines], size * prose, page.tag)
     return "\n\n".join(t for t, _, path in lines if region is None or region in path)
 
 
+def _prose(lines: list[tuple[str, int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(size, whether it is prose) of each line."""
+    size = np.array([len(t) for t, *_ in lines], float)
+    ratio = smoothed(size / np.maximum([n for _, n, _ in lines], 1))
+    return size, ratio >= min(SPREAD * ratio.std(), ratio.max())
+
+
+def _dropped(page: _Lines, lines: list[tuple[str, int, tuple[int, ...]]], weight: np.ndarray) -> set[int]:
+    """The doubtful elements that are left out.
+
+    Kept is one that encloses an article or main, or holds most of the prose. Where an
+    article or main stands clear of all doubtful ones, those beside it enclose or hold
+    other things, as do comments below it.
+    """
+    doubt = page.doubt
+    if not doubt:
+        return set()
+    held: dict[int, float] = {}
+    around: set[int] = set()
+    clear = False
+    for (_, _, path), w in zip(lines, weight.tolist(), strict=True):
+        whole = next((i for i, n in enumerate(path) if page.tag[n] in WHOLE), None)
+        if w and whole is not None and doubt.keys().isdisjoint(path):
+            clear = True
+        for i, n in enumerate(path):
+            if n in doubt:
+                held[n] = held.get(n, 0) + w
+                if whole is not None and i < whole:
+                    around.add(n)
+    total = weight.sum()
+    inside = {n for *_, path in lines for i, n in enumerate(path) if n in doubt and any(page.tag[x] in WHOLE for x in path[:i])}
+    if clear:
+        kept = {n for n in inside if 2 * held[n] > total and doubt[n] not in REPLIES}
+    else:
+        kept = {n for n in held if n in around or 2 * held[n] > total}
+    return held.keys() - kept
+
+
 def _region(paths: list[tuple[int, ...]], weight: np.ndarray, tag: dict[int, str]) -> int | None:
     """The container whose lines are the text, from each line's path and size (0 if it isn't prose); None for the page."""
     whole = np.array([any(tag[n] in WHOLE for n in path) for path in paths])

@@ -288,6 +288,35 @@ def test_prose_outside_of_the_article_is_left_out():
     assert html_text.main_text(page) == "\n\n".join(text)
 
 
+PROSE = [f"Sentence {i} of the article, which has many words in it." for i in range(9)]
+ARTICLE = "".join(f"<p>{t}</p>" for t in PROSE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *[f"<body><div {a}>Menu</div><div {b}>{{}}</div></body>" for a in ("class=nav", "id=main-menu") for b in ("class='content has-sidebar'", "class=no-sidebar", "class=page-with-header", "id=main-menu-wrapper", "class=social-science", "class=social", "role=search")],
+        "<body><div class=widget><article>{}</article></div><div class=comments>Nice</div></body>",
+        "<body class=menu><form action=x><div>{}</div><form>Mail</form></form></body>",
+        "<html><head><title>x</title><meta charset=utf-8><div class=y>{}</div></html>",
+        "<head><title>x</title>{}",
+        "<article><div class='content widget'>{}</div></article>",
+        "<article>{}</article><div class=comment-list>" + "<p>Somebody's own view of it, at some length.</p>" * 50 + "</div>",
+        "<article>{}<div id=comments>" + "<p>Somebody's own view of it, at some length.</p>" * 50 + "</div></article>",
+        "<article>{}</article><div class=related-posts><article>" + "<p>What another article has to say.</p>" * 50 + "</article></div>",
+        "<article>{}</article><div class='box site-footer'>Of the site</div><div class=cookie-banner>We use cookies here</div><form>Search</form>",
+    ],
+)
+def test_names_that_only_look_like_menus(page):
+    assert html_text.main_text(page.format(ARTICLE)) == "\n\n".join(PROSE)
+
+
+@pytest.mark.parametrize("head", ["header class=entry-header", "div class=article-header", "header"])
+def test_head_of_the_article_stays(head):
+    page = f"<body><header>Site</header><article><{head}><h1>Title</h1></{head.split()[0]}>{ARTICLE}</article>"
+    assert html_text.main_text(page) == "\n\n".join(["Title", *PROSE])
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>a</p>"), (2, "u", "<p>" + "word " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

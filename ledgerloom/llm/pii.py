@@ -3,13 +3,16 @@
 One pattern finds candidates: e-mail addresses, long hexadecimal secrets, IBANs, IPv4
 addresses, dates, phone numbers, US social security numbers and payment card numbers.
 Each is validated (Luhn, mod 97, real dates, octets up to 255); what isn't valid stays
-as it is. Valid numbers and dates go through a keyed Feistel network whose domain is
+as it is. Cards and IBANs that stand beside other digits or words (expiry, CVV, BIC) are
+looked for within their run: prefixes at its groups, the longest first, and parts that
+are laid out like a card. Valid numbers and dates go through a keyed Feistel network whose domain is
 their own format, so the result is again valid and of the same layout, different
 values stay different, and equal values get equal pseudonyms in all documents:
 
 * digit strings: halves L, R; (L, R) <- (R, L + f(R) mod 10^|L|), ROUNDS times;
 * cards keep their first digit and get a fresh Luhn digit; IBANs keep country and
-  letters and get fresh check digits; phones keep what precedes their last ten digits;
+  letters and get fresh check digits; phones of 3-3-4 digits keep what precedes their last ten digits, any other that begins
+  with + keeps its country code;
 * IPv4: halves of 16 bits;
 * dates: days of one 400-year Gregorian cycle, 146097 = 189 * 773 of them, as a pair
   (mod 189, mod 773) whose parts are moved in turn. No cycle walking is needed.
@@ -20,20 +23,42 @@ same kind. f is SHA-256 over key, kind, round and half.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Patterns of the kinds, in order of precedence.
+#: Patterns of the kinds, in order of precedence; cards come last.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"
 SECRET = r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])"
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+#: Characters of an IBAN, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = (
+    r"(?<![\p{L}\p{N}])(?:"
+    + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+    + r")(?![\p{L}\p{N}])"
+)
+#: What may be an IBAN of any other length, and words after it.
+IBAN_RUN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: Country code, then groups of digits, 8 to 15 digits in all.
+CALLING = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+PHONE_ABROAD = rf"(?<![0-9+]){CALLING}(?:[ .-]?(?:\([0-9]{{1,4}}\)|[0-9])){{4,14}}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ipv4": IPV4, "date": DATE, "phone": PHONE, "ssn": SSN, "card": CARD}
+CARD_RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: Usual layouts of cards, which are found anywhere in a run of digits.
+CARD_LAYOUT = r"(?<![0-9])(?=((?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}(?:\2[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])))"
+#: A run of digits, valid or not, up to where something else begins; known cards go between the two parts.
+CARD_FIRST = r"(?<![0-9])[0-9](?:[0-9]|[ -](?!"
+CARD_REST = rf"{IPV4}|{DATE}|{SSN}|(?<= )[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}(?![0-9-]))[0-9]){{12,18}}(?![0-9])"
+KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ipv4": IPV4, "date": DATE, "phone": PHONE, "phone abroad": PHONE_ABROAD, "ssn": SSN}
 FORMATS = {"-": "yyyy-MM-dd", "/": "dd/MM/yyyy", ".": "dd.MM.yyyy"}
 #: Whole-value forms of the kinds, to tell which one was found.
 FORMS = {
@@ -126,23 +151,31 @@ def refill(pattern: Column, digits: Column) -> Column:
     return F.aggregate(F.split(pattern, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda acc: acc["out"])
 
 
+def card_ok(value: Column) -> Column:
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return (F.length(digits).between(13, 19)) & (luhn_sum(digits) == 0) & ~digits.rlike("^0+$")
+
+
+def iban_ok(value: Column) -> Column:
+    plain = F.regexp_replace(value, " ", "")
+    return mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a value that the pattern found, or null if it isn't valid."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    plain = F.regexp_replace(value, " ", "")
-    iban_ok = mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
     date_ok = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in FORMATS.values()]).isNotNull()
     ssn_ok = ~F.substr(value, F.lit(1), F.lit(3)).rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$")
-    card_ok = (F.length(digits).between(13, 19)) & (luhn_sum(digits) == 0) & ~digits.rlike("^0+$")
     return (
         F.when(value.rlike(FORMS["email"]), "email")
         .when(value.rlike(FORMS["ipv4"]), "ipv4")
         .when(value.rlike(FORMS["date"]), F.when(date_ok, "date"))
         .when(value.rlike(FORMS["ssn"]), F.when(ssn_ok, "ssn"))
         .when(value.rlike(FORMS["phone"]), "phone")
-        .when(value.rlike("^[0-9][0-9 -]*$") & (F.length(digits) < 32), F.when(card_ok, "card"))
+        .when(value.startswith("+"), F.when(F.length(digits).between(8, 15), "phone"))
+        .when(value.rlike("^[0-9][0-9 -]*$") & (F.length(digits) < 32), F.when(card_ok(value), "card"))
         .when(value.rlike("^[0-9A-Fa-f]{32,64}$"), "secret")
-        .when(value.rlike(FORMS["iban"]), F.when(iban_ok, "iban"))
+        .when(value.rlike(FORMS["iban"]), F.when(iban_ok(value), "iban"))
     )
 
 
@@ -154,6 +187,8 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), feistel_digits(F.substr(digits, F.lit(2), n - 2), key, "card"))
     check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
     phone = F.concat(F.substr(digits, F.lit(1), F.greatest(n - 10, F.lit(0))), feistel_digits(F.substr(digits, F.greatest(n - 9, F.lit(1)), F.lit(10)), key, "phone"))
+    code = F.length(F.regexp_extract(value, f"^{CALLING}", 0)) - 1
+    abroad = F.concat(F.substr(digits, F.lit(1), code), feistel_digits(F.substr(digits, code + 1), key, "phone"))
     plain = F.regexp_replace(value, " ", "")
     bban = F.substr(plain, F.lit(5))
     country = F.substr(plain, F.lit(1), F.lit(2))
@@ -169,31 +204,70 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         .when(kind == "secret", F.when(value.rlike("[a-f]"), F.substr(hashed, F.lit(1), F.length(value))).otherwise(F.upper(F.substr(hashed, F.lit(1), F.length(value)))))
         .when(kind == "ipv4", feistel_ipv4(value, key))
         .when(kind == "date", date)
-        .when(kind == "phone", refill(value, phone))
+        .when(kind == "phone", refill(value, F.when(value.rlike(FORMS["phone"]), phone).otherwise(abroad)))
         .when(kind == "ssn", refill(value, F.concat(F.substr(digits, F.lit(1), F.lit(3)), feistel_digits(F.substr(digits, F.lit(4), F.lit(6)), key, "ssn"))))
         .when(kind == "card", refill(value, F.concat(body, check.cast("string"))))
         .when(kind == "iban", refill(value, iban_digits))
     )
 
 
+def prefixes(run: Column, last: str, least: int) -> Column:
+    """The prefixes of a run of groups that end where a group ends, of ``least`` characters at least, longest first."""
+    ends = F.filter(F.sequence(F.length(run), F.lit(1), F.lit(-1)), lambda i: (i >= least) & (F.substr(run, i, F.lit(1)).rlike(last)) & ~F.substr(run, i + 1, F.lit(1)).rlike(last))
+    return F.transform(ends, lambda i: F.substr(run, F.lit(1), i))
+
+
+def hidden(text: Column) -> tuple[Column, Column]:
+    """(IBANs, cards) of a text that are valid, as one pattern each; empty for none.
+
+    A candidate is digits, letters, blanks and dashes, so it is a pattern as it stands.
+    """
+
+    def found(pattern: str, ok: Callable[[Column], Column], last: str, least: int, group: int = 0) -> Column:
+        runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        return F.transform(runs, lambda v: F.get(F.filter(prefixes(v, last, least), ok), F.lit(0)))
+
+    def pattern(values: Column) -> Column:
+        longest = F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull())), lambda a, b: F.length(b) - F.length(a))
+        return F.array_join(longest, "|")
+
+    ibans = pattern(found(IBAN_RUN, iban_ok, "^[A-Z0-9]$", 12))
+    cards = pattern(F.concat(found(CARD_RUN, card_ok, "^[0-9]$", 13), found(CARD_LAYOUT, card_ok, "^[0-9]$", 13, 1)))
+    maybe = lambda p, x: F.when(text.rlike(p), x).otherwise("")
+    return maybe(IBAN_RUN, ibans), maybe("[0-9](?:[ -]?[0-9]){12}", cards)
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """docs with the PII of column ``text`` replaced; ``found`` names a column for the kinds replaced, in order.
 
     All rows and columns stay. Null texts stay null, empty ones empty; equal rows stay
     equal. ``n_chars``, if it is the number of characters of the text, isn't touched.
     """
-    pattern = "|".join(f"(?:{p})" for p in KINDS.values())
     col = F.col(f"`{text}`")
+    ibans, cards, hold, parts = "__pii_ibans", "__pii_cards", "__pii_done", "__pii_gaps"
+    names = list(KINDS)
+    before, after = ("|".join(f"(?:{KINDS[n]})" for n in part) for part in (names[: names.index("iban")], names[names.index("iban") :]))
+    own = lambda c, p, q: F.when(F.col(c) != "", F.concat(F.lit(p), F.col(c), F.lit(q))).otherwise("")
+    pattern = F.concat(
+        F.lit(f"{before}|"),
+        own(ibans, r"(?<![\p{L}\p{N}])(?:", r")(?![\p{L}\p{N}])|"),
+        F.lit(f"{after}|"),
+        own(cards, "(?<![0-9])(?:", ")(?![0-9])|"),
+        F.lit(CARD_FIRST),
+        own(cards, "(?:", ")(?![0-9])|"),
+        F.lit(CARD_REST),
+    )
+    found_ibans, found_cards = hidden(col)
+    docs = docs.withColumns({ibans: found_ibans, cards: found_cards})
     # a text without a digit or @ has nothing to find: most are passed by at once
-    values = F.regexp_extract_all(col, F.lit(f"({pattern})"), F.lit(1))
+    values = F.regexp_extract_all(col, pattern, F.lit(0))
     gaps = F.split(col, pattern, -1)
     hits = F.transform(values, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     done = F.transform(hits, lambda h: F.struct(F.when(h["kind"].isNull(), h["value"]).otherwise(pseudonym(h["value"], h["kind"], key)).alias("value"), h["kind"].alias("kind")))
     some = col.rlike("[0-9@]") & (F.size(values) > 0)
-    hold, parts = "__pii_done", "__pii_gaps"
     out = docs.withColumn(hold, F.when(some, done)).withColumn(parts, F.when(F.col(hold).isNotNull(), gaps))
     joined = F.concat(F.element_at(parts, 1), F.array_join(F.transform(hold, lambda h, i: F.concat(h["value"], F.get(parts, i + 1))), ""))
     if found:
         kinds = F.filter(F.transform(hold, lambda h: h["kind"]), lambda k: k.isNotNull())
         out = out.withColumn(found, F.coalesce(kinds, F.array().cast("array<string>")))
-    return out.withColumn(text, F.when(F.col(hold).isNotNull(), joined).otherwise(col)).drop(hold, parts)
+    return out.withColumn(text, F.when(F.col(hold).isNotNull(), joined).otherwise(col)).drop(hold, parts, ibans, cards)

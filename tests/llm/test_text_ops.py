@@ -398,6 +398,36 @@ def test_pii_formats_and_links(spark):
     assert pii.pseudonymise(docs(spark, rows), "k").columns == docs(spark, rows).columns
 
 
+def test_pii_beside_other_digits_and_words(spark):
+    card, solid, iban = "4111 1111 1111 1111", "4111111111111111", "ES91 2100 0418 4502 0005 1332"
+    cases = [
+        (f"{card} 12/27 x", [card], ["card"], " 12/27 x"),
+        (f"{solid} 123", [solid], ["card"], " 123"),
+        (f"{card} 123", [card], ["card"], " 123"),
+        (f"12 {card} end", [card], ["card"], " end"),
+        (f"1234 {card} 99", [card], ["card"], ""),
+        (f"{card} 192.168.77.88", [card, "192.168.77.88"], ["card", "ipv4"], ""),
+        (f"{solid} 123-45-6789", [solid, "123-45-6789"], ["card", "ssn"], ""),
+        (f"3782 822463 10005 1234", ["3782 822463 10005"], ["card"], ""),
+        (f"{iban} BIC of", [iban], ["iban"], " BIC of"),
+        (f"{iban} 42", [iban], ["iban"], " 42"),
+        (f"AB12 {card}", [card], ["card"], ""),
+        (f"AB12 {iban}", [iban], ["iban"], ""),
+        ("+33 1 23 45 67 89 ", ["23 45 67 89"], ["phone"], " "),
+        ("+49 (0)30 901820, ", ["901820"], ["phone"], ", "),
+        ("+442079460958", ["2079460958"], ["phone"], ""),
+        ("4111 1111 1111 1112", [], [], "4111 1111 1111 1112"),
+        ("ES91 2100 0418 4502 0005 1333 BIC", [], [], "ES91 2100 0418 4502 0005 1333 BIC"),
+        ("978-316-148-4101", [], [], "978-316-148-4101"),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, [(i, c[0]) for i, c in enumerate(cases)]), "k", found="kinds").collect()}
+    for i, (text, gone, kinds, end) in enumerate(cases):
+        assert got[i].kinds == kinds, text
+        assert not [g for g in gone if g in got[i].text], text
+        assert ("ipv4" in kinds or len(got[i].text) == len(text)) and got[i].text.endswith(end), text
+    assert got[12].text.startswith("+33 ") and got[14].text.startswith("+44")
+
+
 def test_feistel_is_a_permutation(spark):
     digits = spark.range(1000).select(pii.feistel_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x"))
     assert {r.x for r in digits.collect()} == {f"{i:03d}" for i in range(1000)}

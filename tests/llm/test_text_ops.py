@@ -366,6 +366,15 @@ def test_mined_rules_have_their_confidence(spark):
     assert sum(map(len, index.values())) == len(got)
 
 
+def test_a_rule_of_four_tokens_stands(spark):
+    rows = []
+    for i in range(16):
+        t = [x for j, x in enumerate("abcd") if i >> j & 1]
+        rows += [(t or ["e"], "block" if i == 15 else "allow")] * 20
+    got = {r[0]: r[1] for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.9)}
+    assert got[("a", "b", "c", "d")] == "block"
+
+
 # PII
 
 

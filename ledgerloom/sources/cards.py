@@ -128,18 +128,23 @@ def board_cards(payloads: DataFrame, kind: str, queries: list[str] = ()) -> Data
     return j.select("company", F.lit("employer").alias("source"), *[c.alias(n) for c, n in zip(cols, names, strict=True)])
 
 
-def discover(sources: dict[str, object], cap: int | None = 5000) -> tuple[DataFrame | None, list[dict]]:
+def discover(sources: dict[str, object], cap: int | None = None) -> tuple[DataFrame | None, list[dict]]:
     """(union of the cards of all sources, a report of each). A source that fails is reported and gives no cards.
 
-    sources: name -> function without arguments that returns cards.
+    sources: name -> function without arguments that returns cards. Of a source with
+    more than ``cap`` cards the first by ord, and by all other columns where ord is the
+    same, stay; it is reported as capped, with the number of cards that stay.
     """
     found, report = None, []
     for name, source in sources.items():
         try:
             cards = as_cards(source())
-            cards = cards.orderBy("ord").limit(cap) if cap is not None else cards
+            n = cards.count()
+            capped = cap is not None and n > cap
+            if capped:
+                cards = cards.orderBy("ord", *[c for c in cards.columns if c != "ord"]).limit(cap)
             found = cards if found is None else found.unionByName(cards)
-            report.append({"id": name, "status": "ok", "reason": None})
+            report.append({"id": name, "status": "capped" if capped else "ok", "cards": cap if capped else n, "reason": f"{cap} of {n} cards" if capped else None})
         except Exception as e:  # noqa: BLE001  whatever one source raises, the others go on
-            report.append({"id": name, "status": "error", "reason": f"{type(e).__name__}: {e}"})
+            report.append({"id": name, "status": "error", "cards": 0, "reason": f"{type(e).__name__}: {e}"})
     return found, report

@@ -59,6 +59,16 @@ def test_a_failing_source_is_reported(spark):
     assert [r["status"] for r in report] == ["ok", "error"]
 
 
+def test_a_capped_source_says_so(spark):
+    df = spark.createDataFrame([(f"t{i:04d}",) for i in range(5010)], "title string")
+    found, report = cards.discover({"all": lambda: df})
+    assert found.count() == 5010 and (report[0]["status"], report[0]["cards"]) == ("ok", 5010)
+    for n in (1, 7):
+        found, report = cards.discover({"some": lambda n=n: df.repartition(n)}, cap=3)
+        assert sorted(r.title for r in found.collect()) == ["t0000", "t0001", "t0002"]
+        assert (report[0]["status"], report[0]["cards"]) == ("capped", 3)
+
+
 def test_tsv_of_another_width_is_refused(spark, tmp_path):
     p = tmp_path / "run.tsv"
     p.write_text("a\tb\nx\ty\nz\n[note\tq\n")

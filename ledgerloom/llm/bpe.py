@@ -5,8 +5,8 @@ token. A byte pair that occurs in none is a certain cut: encoding the fragments
 both sides independently and concatenating equals encoding the whole. Texts are cut
 into units before white space and between an ASCII letter and a punctuation mark (no
 pre-token of the pattern spans either), new units by the pre-token pattern, then at
-forced boundaries; fragments are encoded by the vocabulary's own merges. What a unit
-was encoded to is remembered, in a table of bounded size.
+forced boundaries; fragments are encoded by the vocabulary's own merges. What units
+and fragments were encoded to is remembered under their bytes, in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ from pyspark.sql import types as T
 
 from ._store import pick, ship
 from ._text import SPACE, buffer, pieces
-from ._units import IdTable, spans
+from ._units import IdTable, Memory, spans
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 200_000
+#: Bytes of memory for fragments, and the longest fragment that is remembered.
+REMEMBERED, LONGEST = 32 << 20, 64
+#: Units of new text that are cut at a time: bounds the fragments held at once.
+CUT = 1 << 16
 #: ASCII classes: letters; punctuation marks but the apostrophe; controls that count as white space nowhere or not everywhere.
 LETTER, MARK, CONTROL = (np.zeros(256, bool) for _ in range(3))
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -48,6 +51,24 @@ def byte_letters() -> list[str]:
     return out
 
 
+def check(spec: dict) -> None:
+    """Refuse a vocabulary file that the cuts of this module don't hold for."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = [
+        what
+        for what, wrong in (
+            ("a normalizer", spec.get("normalizer")),
+            ("no byte-level pre-tokenizer with its own pattern", before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True)),
+            ("no plain BPE model", model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges")),
+            ("affixes of subwords", model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+            ("added tokens that take in what stands beside them", any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))),
+        )
+        if wrong
+    ]
+    if odd:
+        raise ValueError(f"this vocabulary has {', '.join(odd)}")
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of one vocabulary file (JSON of the tokenizers library)."""
 
@@ -57,6 +78,7 @@ class ForcedBoundaryBPE:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         self.letters = byte_letters()
         back = {c: b for b, c in enumerate(self.letters)}
         self.tokens = {i: bytes(back[c] for c in s) for s, i in spec["model"]["vocab"].items()}
@@ -69,8 +91,8 @@ class ForcedBoundaryBPE:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.merger = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "pre_tokenizer": None, "normalizer": None, "post_processor": None}))
         self.pretokens = regex.compile(PATTERN).findall
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
-        self.table = IdTable(self._units, 500_000)
+        self.fragments = Memory(REMEMBERED)
+        self.table = IdTable(self._units)
         self.size = np.zeros(max(self.tokens) + 1, np.int64)
         for i, t in self.tokens.items():
             self.size[i] = len(t)
@@ -87,17 +109,29 @@ class ForcedBoundaryBPE:
         return out
 
     def _units(self, units: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = []
+        at = 0
+        while at < len(units):
+            end, size = at, 0
+            while end < len(units) and (end == at or size + len(units[end]) <= CUT):
+                size += len(units[end])
+                end += 1
+            out += self._some(units[at:end])
+            at = end
+        return out
+
+    def _some(self, units: list[bytes]) -> list[list[int]]:
         cut = [[f for w in self.pretokens(u.decode()) for f in self.cuts(w.encode())] for u in units]
-        missing = list({f for c in cut for f in c if f not in self.fragments})
+        held = {f: self.fragments.get(f) for f in {f for c in cut for f in c}}
+        missing = [f for f, ids in held.items() if ids is None]
         letters = self.letters.__getitem__
         for i in range(0, len(missing), 8192):
             part = missing[i : i + 8192]
             for f, e in zip(part, self.merger.encode_batch_fast(["".join(map(letters, f)) for f in part], add_special_tokens=False), strict=True):
-                self.fragments[f] = tuple(e.ids)
-        out = [list(chain.from_iterable(map(self.fragments.__getitem__, c))) for c in cut]
-        if len(self.fragments) > REMEMBERED:
-            self.fragments.clear()
-        return out
+                held[f] = np.array(e.ids, np.int32).tobytes()
+                if len(f) <= LONGEST:
+                    self.fragments.put(f, held[f])
+        return [np.frombuffer(b"".join(map(held.__getitem__, c)), np.int32).tolist() for c in cut]
 
     def _whole(self, text: str) -> list[int]:
         """A text that holds special tokens: these stand for themselves, what is between is encoded alone."""
@@ -123,7 +157,7 @@ class ForcedBoundaryBPE:
         begin[offs] = True
         starts = np.flatnonzero(begin[:n])
         ends = np.append(starts[1:], n)
-        ids, lengths = self.table.ids(data, starts, ends, fold=False)
+        ids, lengths = self.table.ids(data, starts, ends)
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[np.searchsorted(starts, offs)])
 

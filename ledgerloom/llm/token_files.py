@@ -13,6 +13,7 @@ table (any store that Spark writes to), in ascending order of (part, seq).
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import fresh, pick, ship
-from ._text import Words, pieces
+from ._text import FOLD, Words, pieces
 from ._units import IdTable
 
 MAGIC = b"LLS8B\0\0\1"
@@ -148,6 +149,20 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(doc_ids, null, strict=True)], lengths, unpack(words, offsets, total)
 
 
+def check(spec: dict) -> None:
+    """Refuse a vocabulary file that the cuts of this module don't hold for."""
+
+    def kinds(x: dict | None, inner: str) -> list[str]:
+        return [k for y in x.get(inner, []) for k in kinds(y, inner)] or [x["type"]] if x else []
+
+    lower = [k for k in kinds(spec.get("normalizer"), "normalizers") if k != "Replace"]
+    before = kinds(spec.get("pre_tokenizer"), "pretokenizers")
+    split = next((x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"), {})
+    beside = any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    if lower != ["NFC", "Lowercase"] or before != ["Split", "ByteLevel"] or (split["behavior"], split["invert"]) != ("Removed", True) or beside or spec["model"].get("dropout"):
+        raise ValueError("this vocabulary doesn't fold case, drop white space and keep letters and marks apart, or its added tokens take in what stands beside them")
+
+
 class Tokens:
     """Ids as the tokenizers library makes them with add_special_tokens=False, a batch at once.
 
@@ -164,8 +179,8 @@ class Tokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        check(json.loads(self.tokenizer.to_str()))
         self.table = IdTable(self._units)
-        self.whole = IdTable(self._units, 100_000)
 
     def _units(self, units: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -186,7 +201,7 @@ class Tokens:
             at = np.flatnonzero(cut)
             starts, ends = np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
         # the texts' special tokens are case-sensitive, and may hold marks
-        ids, lengths = (self.whole if special else self.table).ids(data, starts, ends, fold=not special)
+        ids, lengths = self.table.ids(data if special else FOLD[data], starts, ends)
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[np.searchsorted(starts, words.offs)])
 

@@ -17,6 +17,7 @@ nothing else has text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -55,6 +56,8 @@ SIGMA = 1.0
 #: Lines above this many standard deviations of the smoothed ratios are prose.
 SPREAD = 0.5
 _PARTS = re.compile(r"[A-Za-z]+")
+_COMMENT_END = re.compile(r"--!?>")
+_UNFINISHED = re.compile(r"(?s)<[A-Za-z/!?].*")
 
 
 def _names(token: str) -> str:
@@ -68,25 +71,42 @@ def _names(token: str) -> str:
 
 
 class _Lines(HTMLParser):
-    """Lines (text, tags, path of open containers) of a page."""
+    """Lines (text, tags, number of the innermost open container) of a page, and its containers.
+
+    Containers are numbered as they open, so a parent's number is below its children's;
+    0 is the page itself.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # (tag, number of the element, never holds content)
-        self.count = 0
+        self.open: list[int] = [0]
+        self.open_tags: Counter[str] = Counter()
+        self.once: set[str] = set()
         self.tags = 0
         self.parts: list[str] = []
-        self.out: list[tuple[str, int, tuple[int, ...]]] = []
-        self.tag: dict[int, str] = {}  # of each container
-        self.doubt: dict[int, str] = {}  # containers that hold no article by their names
+        self.out: list[tuple[str, int, int]] = []
+        # of each container: tag, parent, whether it never holds content, whether it is or lies in an article or main,
+        # and the name by which it may hold none
+        self.tag, self.parent, self.never, self.inside, self.doubt = [""], [0], [False], [False], [""]
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.out.append((text, self.tags, tuple(n for _, n, _ in self.open)))
+            self.out.append((text, self.tags, self.open[-1]))
             self.tags = 0
         self.parts = []
 
+    def parse_html_declaration(self, i: int) -> int:
+        """As browsers have it: a marked section is a comment up to the next >, a comment without an end goes on to the page's end."""
+        if self.rawdata.startswith("<![", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        short = next((x for x in ("<!-->", "<!--->") if self.rawdata.startswith(x, i)), "")
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return i + len(short) if short else end.end() if end else len(self.rawdata)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in HEAD:
             self._end_head()
@@ -96,17 +116,28 @@ class _Lines(HTMLParser):
         if tag not in BLOCK:
             return
         self.flush()
+        if tag in ("html", "body"):
+            if tag in self.once:  # a second one only repeats the first
+                return
+            self.once.add(tag)
         if tag == "body":
-            self.open = [x for x in self.open if x[0] == "html"]
+            while self.open[-1] and self.tag[self.open[-1]] != "html":
+                self._close()
         if tag in CONTAINER and tag not in VOID:
-            self.count += 1
-            self.tag[self.count] = tag
-            if name := self._doubtful(tag, attrs):
-                self.doubt[self.count] = name
-            self.open.append((tag, self.count, self._never(tag, attrs)))
+            top = self.open[-1]
+            self.open.append(len(self.tag))
+            self.open_tags[tag] += 1
+            self.never.append(self._never(tag, attrs))
+            self.doubt.append(self._doubtful(tag, attrs))
+            self.tag.append(tag)
+            self.parent.append(top)
+            self.inside.append(tag in WHOLE or self.inside[top])
+
+    def _close(self) -> None:
+        self.open_tags[self.tag[self.open.pop()]] -= 1
 
     def _never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if self.open and self.open[-1][2] or tag in NEVER:
+        if self.never[self.open[-2]] or tag in NEVER:
             return True
         return tag not in ("html", "body", *WHOLE) and any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
 
@@ -114,7 +145,7 @@ class _Lines(HTMLParser):
         """The name by which an element holds no article, as far as its start tells."""
         if tag in ("html", "body", *WHOLE):
             return ""
-        inside = any(t in WHOLE for t, *_ in self.open)
+        inside = self.inside[self.open[-2]]
         if tag == "form" or tag == "header" and not inside:
             return tag
         found = {_names(t) for k, v in attrs if k in ("class", "id") and v for t in v.split()} & NAMED
@@ -133,28 +164,44 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        if tag in CONTAINER:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    break
+        if tag in CONTAINER and self.open_tags[tag]:
+            while self.tag[self.open[-1]] != tag:
+                self._close()
+            self._close()
 
     def _end_head(self) -> None:
-        if self.open and self.open[-1][0] == "head":
-            self.open.pop()
+        if self.tag[self.open[-1]] == "head":
+            self._close()
 
     def handle_data(self, data: str) -> None:
         if not data.isspace():
             self._end_head()
-        if not (self.open and self.open[-1][2]):
+        if not self.never[self.open[-1]]:
             self.parts.append(data)
 
-    def read(self, html: str) -> list[tuple[str, int, tuple[int, ...]]]:
-        self.feed(html)
+    def read(self, html: str) -> list[tuple[str, int, int]]:
+        last = html.rfind(">") + 1  # behind it no tag can end; browsers drop what begins there
+        self.feed(html[:last] + _UNFINISHED.sub("", html[last:]))
         self.close()
         self.flush()
         return self.out
 
+    def sums(self, nodes: list[int], values: list[float]) -> list[float]:
+        """Of each container: the sum of the values that stand in it, at any depth."""
+        out = [0.0] * len(self.tag)
+        for n, v in zip(nodes, values, strict=True):
+            out[n] += v
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parent[n]] += out[n]
+        return out
+
+    def within(self, some: set[int]) -> list[bool]:
+        """Of each container: whether it is one of these or lies in one."""
+        out = [0 in some]
+        for n in range(1, len(self.tag)):
+            out.append(n in some or out[self.parent[n]])
+        return out
+
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing; the kernel is renormalised at both ends."""
@@ -173,77 +220,63 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     size, prose = _prose(lines)
-    if out := _dropped(page, lines, size * prose):
+    if dropped := _dropped(page, [n for *_, n in lines], (size * prose).tolist()):
+        out = page.within(dropped)
         kept, tags = [], 0
-        for text, n, path in lines:  # the tags of what is left out stand before the next line
+        for text, n, node in lines:  # the tags of what is left out stand before the next line
             tags += n
-            if out.isdisjoint(path):
-                kept.append((text, tags, path))
+            if not out[node]:
+                kept.append((text, tags, node))
                 tags = 0
         lines = kept or lines
         size, prose = _prose(lines)
-    region = _region([path for *_, path in lines], size * prose, page.tag)
-    return "\n\n".join(t for t, _, path in lines if region is None or region in path)
+    inside = page.within({_region(page, [n for *_, n in lines], (size * prose).tolist())})
+    return "\n\n".join(t for t, _, node in lines if inside[node])
 
 
-def _prose(lines: list[tuple[str, int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
+def _prose(lines: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """(size, whether it is prose) of each line."""
     size = np.array([len(t) for t, *_ in lines], float)
     ratio = smoothed(size / np.maximum([n for _, n, _ in lines], 1))
     return size, ratio >= min(SPREAD * ratio.std(), ratio.max())
 
 
-def _dropped(page: _Lines, lines: list[tuple[str, int, tuple[int, ...]]], weight: np.ndarray) -> set[int]:
+def _dropped(page: _Lines, nodes: list[int], weight: list[float]) -> set[int]:
     """The doubtful elements that are left out.
 
     Kept is one that encloses an article or main, or holds most of the prose. Where an
     article or main stands clear of all doubtful ones, those beside it enclose or hold
     other things, as do comments below it.
     """
-    doubt = page.doubt
+    doubt = {n for n, name in enumerate(page.doubt) if name}
     if not doubt:
         return set()
-    held: dict[int, float] = {}
-    around: set[int] = set()
-    clear = False
-    for (_, _, path), w in zip(lines, weight.tolist(), strict=True):
-        whole = next((i for i, n in enumerate(path) if page.tag[n] in WHOLE), None)
-        if w and whole is not None and doubt.keys().isdisjoint(path):
-            clear = True
-        for i, n in enumerate(path):
-            if n in doubt:
-                held[n] = held.get(n, 0) + w
-                if whole is not None and i < whole:
-                    around.add(n)
-    total = weight.sum()
-    inside = {n for *_, path in lines for i, n in enumerate(path) if n in doubt and any(page.tag[x] in WHOLE for x in path[:i])}
-    if clear:
-        kept = {n for n in inside if 2 * held[n] > total and doubt[n] not in REPLIES}
+    doubtful = page.within(doubt)
+    held, has = page.sums(nodes, weight), page.sums(nodes, [1.0] * len(nodes))
+    around = page.sums(nodes, [float(page.inside[n]) for n in nodes])
+    doubt = {n for n in doubt if has[n]}
+    if any(w and page.inside[n] and not doubtful[n] for n, w in zip(nodes, weight, strict=True)):
+        kept = {n for n in doubt if page.inside[page.parent[n]] and 2 * held[n] > held[0] and page.doubt[n] not in REPLIES}
     else:
-        kept = {n for n in held if n in around or 2 * held[n] > total}
-    return held.keys() - kept
-
-
-def _region(paths: list[tuple[int, ...]], weight: np.ndarray, tag: dict[int, str]) -> int | None:
-    """The container whose lines are the text, from each line's path and size (0 if it isn't prose); None for the page."""
-    whole = np.array([any(tag[n] in WHOLE for n in path) for path in paths])
-    some = weight > 0
-    if 2 * weight[whole].sum() > weight.sum():
-        some &= whole
-    common: tuple[int, ...] | None = None  # open around all of the prose
-    for i in np.flatnonzero(some):
-        path = paths[i]
-        if common is None:
-            common = path
-        elif path[: len(common)] != common:
-            n = next((k for k, (x, y) in enumerate(zip(common, path, strict=False)) if x != y), min(len(common), len(path)))
-            common = common[:n]
-    for n in common or ():
-        if tag[n] in WHOLE:
+        kept = {n for n in doubt if around[n] and not page.inside[n] or 2 * held[n] > held[0]}
+    return doubt - kept
+
+
+def _region(page: _Lines, nodes: list[int], weight: list[float]) -> int:
+    """The container whose lines are the text, from each line's container and size (0 if it isn't prose)."""
+    some = [w > 0 for w in weight]
+    whole = sum(w for n, w in zip(nodes, weight, strict=True) if page.inside[n])
+    if 2 * whole > sum(weight):
+        some = [x and page.inside[n] for n, x in zip(nodes, some, strict=True)]
+    count = page.sums(nodes, list(map(float, some)))
+    # the containers around all of the prose, from the outermost
+    common = [n for n in range(1, len(count)) if count[n] == count[0] > 0]
+    for n in common:
+        if page.tag[n] in WHOLE:
             return n
-    region = None
-    for n in common or ():
-        if tag[n] not in REGION:
+    region = 0
+    for n in common:
+        if page.tag[n] not in REGION:
             break
         region = n
     return region

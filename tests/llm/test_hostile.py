@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, token_files
+from ledgerloom.llm import bpe, html_text, token_files
 from ledgerloom.llm._units import IdTable
 from ledgerloom.llm.registry import tokenizer_path
 
@@ -75,3 +75,93 @@ def test_vocabularies_of_another_kind_are_refused():
         bpe.ForcedBoundaryBPE(tokenizer_path("word_bpe_49k.json"))
     with pytest.raises(ValueError, match="vocabulary"):
         token_files.Tokens(tokenizer_path("byte_bpe_50k.json"))
+
+
+# pages
+
+WORDS = ["lorem", "ipsum dolor sit amet", "x"]
+TAGS = "html body head title div p article main section nav header form ul li table td h1 aside footer br script a b blockquote".split()
+ODD = ["<![ x", "<![x]>", "<![CDATA[ab]]>", "<!-- c", "<!-- c -->", "<!doctype html>", "<!", "</", "<", "&amp", "&#x", "<a b='", "<?x", "<?x>"]
+
+
+def page(rng: random.Random) -> str:
+    out = []
+    for _ in range(rng.randint(1, 60)):
+        x, t = rng.random(), rng.choice(TAGS)
+        if x < 0.35:
+            out.append(f"<{t}{rng.choice(['', '', ' class=menu', ' class=comments', ' id=sidebar', ' hidden', ' role=navigation'])}>")
+        elif x < 0.6:
+            out.append(f"</{t}>")
+        else:
+            out.append(rng.choice(ODD) if x < 0.65 else " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 12))))
+    return "".join(out)
+
+
+def brute_text(html: str) -> str:
+    """The same choice of lines from the whole path of containers of each."""
+    got = html_text._Lines()
+    path = lambda n: (*path(got.parent[n]), n) if n else ()
+    lines = [(text, tags, path(n)) for text, tags, n in got.read(html)]
+    whole = lambda p: next((i for i, n in enumerate(p) if got.tag[n] in html_text.WHOLE), None)
+
+    def weights(lines):
+        size = [len(t) for t, *_ in lines]
+        ratio = html_text.smoothed(np.array([s / max(n, 1) for s, (_, n, _) in zip(size, lines, strict=True)], float))
+        least = min(html_text.SPREAD * ratio.std(), ratio.max())
+        return [s * (r >= least) for s, r in zip(size, ratio, strict=True)]
+
+    if not lines:
+        return ""
+    w, doubt = weights(lines), {n for n, name in enumerate(got.doubt) if name}
+    held = {n: sum(x for x, (*_, p) in zip(w, lines, strict=True) if n in p) for n in doubt if any(n in p for *_, p in lines)}
+    if any(x and whole(p) is not None and not doubt & set(p) for x, (*_, p) in zip(w, lines, strict=True)):
+        stay = {n for n in held if whole(path(n)[:-1]) is not None and 2 * held[n] > sum(w) and got.doubt[n] not in html_text.REPLIES}
+    else:
+        stay = {n for n in held if 2 * held[n] > sum(w) or any(n in p and whole(p) is not None and p.index(n) < whole(p) for *_, p in lines)}
+    out, kept, tags = set(held) - stay, [], 0
+    for text, n, p in lines:
+        tags += n
+        if not out & set(p):
+            kept.append((text, tags, p))
+            tags = 0
+    if out and kept:
+        lines, w = kept, weights(kept)
+    some = [(p, x) for x, (*_, p) in zip(w, lines, strict=True) if x]
+    if 2 * sum(x for x, (*_, p) in zip(w, lines, strict=True) if whole(p) is not None) > sum(w):
+        some = [(p, x) for p, x in some if whole(p) is not None]
+    common = [n for n in some[0][0] if all(n in p for p, _ in some)] if some else []
+    region = next((n for n in common if got.tag[n] in html_text.WHOLE), None)
+    if region is None:
+        for n in common:
+            if got.tag[n] not in html_text.REGION:
+                break
+            region = n
+    return "\n\n".join(t for t, _, p in lines if region is None or region in p)
+
+
+def test_pages_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(3000):
+        html = page(rng)
+        assert html_text.main_text(html) == brute_text(html), html
+
+
+@pytest.mark.parametrize("broken", ["<![ x", "<![x]>", "<![if !IE]>", "<![endif]>", "<![CDATA[x]]>", "<!-->", "<!>", "<?php x ?>", "</>"])
+def test_broken_markup_keeps_the_article(broken):
+    text = [f"Sentence {i} of the article, which has many words in it." for i in range(9)]
+    assert html_text.main_text(f"<body>{broken}<p></p><article>" + "".join(f"<p>{t}</p>" for t in text) + "</article>").endswith("\n\n".join(text))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        *["<div>x" * 20_000, "<div>" * 20_000 + "</section>" * 20_000, "<html>" * 20_000 + "<body>" * 20_000 + "x", "<section>" * 20_000 + "</div>x" * 20_000],
+        *["<!--" * 50_000, "<a " * 50_000, "<a b='" * 30_000, "<a b='" + '<a b=">' * 30_000, "</" * 50_000, "<![x" * 20_000, "<p a=b" * 20_000 + ">x", "&#" * 50_000],
+        *["<div class=menu>x" * 20_000, "<article><div class=menu>" * 10_000 + "x", "<div class='" + "menu " * 50_000 + "'>x"],
+    ],
+    ids=range(15),
+)
+def test_pages_take_time_in_proportion(html):
+    began = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - began < 5

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, html_text, token_files
+from ledgerloom.llm import bpe, html_text, token_files, url_rules
 from ledgerloom.llm._units import IdTable
 from ledgerloom.llm.registry import tokenizer_path
 
@@ -165,3 +165,45 @@ def test_pages_take_time_in_proportion(html):
     began = time.process_time()
     html_text.main_text(html)
     assert time.process_time() - began < 5
+
+
+# urls
+
+
+def mined(spark, urls):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    return {r.page_id: r for r in url_rules.judge(df, [url_rules.Listed("allow", "org", "/"), url_rules.Listed("block", "com", "/")]).collect()}
+
+
+def test_mining_of_long_and_repeated_urls(spark):
+    began = time.time()
+    one = "http://a.org/" + "/".join(f"seg{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(60))
+    nested = ["http://b.com/" + "/".join(f"x{'abcdefghijklmnopqrst'[j]}" for j in range(i)) for i in range(1, 20)]
+    got = mined(spark, [one] * 100 + nested * 20 + ["http://a.net/other", "http://b.net/", "http://d.net/", None])
+    assert time.time() - began < 60
+    assert {got[i].verdict for i in range(100)} == {"allow"} and [(got[i].verdict, got[i].mined) for i in range(480, 484)] == [("allow", "h:a"), ("block", "h:b"), ("allow", None), ("allow", None)]
+
+
+def brute_mine(rows, support, confidence):
+    """All token sets that reach support and confidence, without those that a shorter one makes needless."""
+    from itertools import combinations
+
+    sets = {s for t, _ in rows for k in range(1, len(t) + 1) for s in combinations(sorted(t), k)}
+    found = {}
+    for s in sets:
+        have = [v for t, v in rows if set(s) <= set(t)]
+        for v in set(have):
+            if have.count(v) >= support * len(rows) and have.count(v) >= confidence * len(have):
+                found[s, v] = have.count(v) / len(have)
+    return {k: c for k, c in found.items() if not any(v == k[1] and set(s) < set(k[0]) and d >= c for (s, v), d in found.items())}
+
+
+def test_mined_rules_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        t = sorted(rng.sample("abcdefg", rng.randint(1, 6)))
+        rows.append((t + (["z"] if "a" in t else []), "block" if {"b", "c"} <= set(t) or rng.random() < 0.1 else "allow"))
+    got = {(r[0], r[1]): r[2] for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)}
+    want = {k: c for k, c in brute_mine(rows, 0.05, 0.8).items() if "z" not in k[0]}  # z stands for the same as a
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)

@@ -15,7 +15,9 @@ values stay different, and equal values get equal pseudonyms in all documents:
   with + keeps its country code;
 * IPv4: halves of 16 bits;
 * dates: days of one 400-year Gregorian cycle, 146097 = 189 * 773 of them, as a pair
-  (mod 189, mod 773) whose parts are moved in turn. No cycle walking is needed.
+  (mod 189, mod 773) whose parts are moved in turn;
+* social security numbers: the 898 areas and 99 groups that exist, and the 9999 serial
+  numbers, as such a pair too. No cycle walking is needed.
 
 E-mail addresses and secrets have no numeric format: they become keyed digests of the
 same kind. f is SHA-256 over key, kind, round and half.
@@ -29,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Patterns of the kinds, in order of precedence; cards come last.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"
+#: Patterns of the kinds, in order of precedence; cards come last. A group without a bound
+#: repeats possessively (++): Java matches it in a loop, and any other one by recursion.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)++"
 SECRET = r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])"
 #: Characters of an IBAN, by country.
 IBAN_LENGTHS = {
@@ -71,6 +74,11 @@ FORMS = {
 }
 
 
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of x, which is computed once however often ``then`` uses it, also within lambdas."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def _prf(key: str, kind: str, i: Column, half: Column) -> Column:
     """A number below 16**13 of key, kind, round and half."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), half.cast("string")), 256)
@@ -102,32 +110,39 @@ def feistel_ipv4(ip: Column, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, octets)
 
 
+def feistel_pair(a: Column, b: Column, m: int, n: int, key: str, kind: str) -> Column:
+    """A keyed permutation of the pairs (a below m, b below n), as a struct: the parts are moved in turn."""
+
+    def turn(acc: Column, i: Column) -> Column:
+        first = F.struct(F.pmod(acc["a"] + _prf(key, f"{kind}-a", i, acc["b"]), F.lit(m)).alias("a"), acc["b"].alias("b"))
+        return F.when(i % 2 == 1, first).otherwise(F.struct(acc["a"].alias("a"), F.pmod(acc["b"] + _prf(key, f"{kind}-b", i, acc["a"]), F.lit(n)).alias("b")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), turn)
+
+
 def feistel_date(day: Column, key: str) -> Column:
     """A keyed permutation of the dates of each 400-year cycle (1700 to 2099 is one)."""
     base = F.lit("1700-01-01").cast("date")
     since = F.datediff(day, base).cast("long")
     cycle, inside = F.floor(since / 146097), F.pmod(since, F.lit(146097))
-    start = F.struct(F.floor(inside / 773).alias("a"), F.pmod(inside, F.lit(773)).alias("b"))
-
-    def turn(acc: Column, i: Column) -> Column:
-        a = F.pmod(acc["a"] + _prf(key, "date-a", i, acc["b"]), F.lit(189))
-        return F.struct(a.alias("a"), acc["b"].alias("b"))
+    moved = feistel_pair(F.floor(inside / 773), F.pmod(inside, F.lit(773)), 189, 773, key, "date")
+    return F.date_add(base, (cycle * 146097 + moved["a"] * 773 + moved["b"]).cast("int"))
 
-    def other(acc: Column, i: Column) -> Column:
-        return F.struct(acc["a"].alias("a"), F.pmod(acc["b"] + _prf(key, "date-b", i, acc["a"]), F.lit(773)).alias("b"))
 
-    moved = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda acc, i: F.when(i % 2 == 1, turn(acc, i)).otherwise(other(acc, i)))
-    return F.date_add(base, (cycle * 146097 + moved["a"] * 773 + moved["b"]).cast("int"))
+def feistel_ssn(digits: Column, key: str) -> Column:
+    """A keyed permutation of the valid social security numbers: no area 000, 666 or from 900 on, no group 00, no serial 0000."""
+    part = lambda i, n: F.substr(digits, F.lit(i), F.lit(n)).cast("long")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    moved = feistel_pair(area * 99 + part(4, 2) - 1, part(6, 4) - 1, 898 * 99, 9999, key, "ssn")
+    area = F.floor(moved["a"] / 99)
+    out = (area + F.when(area < 665, 1).otherwise(2), F.pmod(moved["a"], F.lit(99)) + 1, moved["b"] + 1)
+    return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in zip(out, (3, 2, 4), strict=True)])
 
 
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum mod 10: 0 for a valid number."""
-
-    def add(acc: Column, i: Column) -> Column:
-        d = F.substr(digits, F.length(digits) - i, F.lit(1)).cast("int")
-        return F.pmod(acc + F.when(i % 2 == 0, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0)), F.lit(10))
-
-    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add)
+    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c > "4", 9).otherwise(0)))
+    return F.pmod(F.aggregate(F.filter(each, lambda x: x.isNotNull()), F.lit(0), lambda acc, x: acc + x), F.lit(10))
 
 
 def mod97(alnum: Column) -> Column:
@@ -144,16 +159,15 @@ def refill(pattern: Column, digits: Column) -> Column:
     """``pattern`` with its digits replaced, in order, by ``digits``."""
 
     def put(acc: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
-        out = F.concat(acc["out"], F.when(digit, F.substr(digits, acc["k"], F.lit(1))).otherwise(c))
-        return F.struct(out.alias("out"), F.when(digit, acc["k"] + 1).otherwise(acc["k"]).alias("k"))
+        digit = c.between("0", "9")
+        out = F.concat(acc["out"], F.when(digit, F.substr(acc["rest"], F.lit(1), F.lit(1))).otherwise(c))
+        return F.struct(out.alias("out"), F.when(digit, F.substr(acc["rest"], F.lit(2))).otherwise(acc["rest"]).alias("rest"))
 
-    return F.aggregate(F.split(pattern, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda acc: acc["out"])
+    return F.aggregate(F.split(pattern, ""), F.struct(F.lit("").alias("out"), digits.alias("rest")), put, lambda acc: acc["out"])
 
 
 def card_ok(value: Column) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    return (F.length(digits).between(13, 19)) & (luhn_sum(digits) == 0) & ~digits.rlike("^0+$")
+    return let(F.regexp_replace(value, "[^0-9]", ""), lambda digits: F.length(digits).between(13, 19) & (luhn_sum(digits) == 0) & ~digits.rlike("^0+$"))
 
 
 def iban_ok(value: Column) -> Column:
@@ -181,32 +195,37 @@ def kind_of(value: Column) -> Column:
 
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a valid value of a kind."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    return let(F.regexp_replace(value, "[^0-9]", ""), lambda digits: _of_kind(value, digits, kind, key))
+
+
+def _of_kind(value: Column, digits: Column, kind: Column, key: str) -> Column:
     n = F.length(digits)
-    hashed = F.sha2(F.concat_ws("|", F.lit(key), kind, F.lower(value)), 256)
+
+    def digest(n: Column) -> Column:
+        return F.substr(F.sha2(F.concat_ws("|", F.lit(key), kind, F.lower(value)), 256), F.lit(1), n)
+
     body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), feistel_digits(F.substr(digits, F.lit(2), n - 2), key, "card"))
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
+    card = let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
     phone = F.concat(F.substr(digits, F.lit(1), F.greatest(n - 10, F.lit(0))), feistel_digits(F.substr(digits, F.greatest(n - 9, F.lit(1)), F.lit(10)), key, "phone"))
     code = F.length(F.regexp_extract(value, f"^{CALLING}", 0)) - 1
     abroad = F.concat(F.substr(digits, F.lit(1), code), feistel_digits(F.substr(digits, code + 1), key, "phone"))
     plain = F.regexp_replace(value, " ", "")
-    bban = F.substr(plain, F.lit(5))
-    country = F.substr(plain, F.lit(1), F.lit(2))
-    bban_digits = F.regexp_replace(bban, "[^0-9]", "")
-    new_bban = refill(bban, feistel_digits(bban_digits, key, "iban"))
-    iban_check = F.lpad((98 - mod97(F.concat(new_bban, country, F.lit("00")))).cast("string"), 2, "0")
-    iban_digits = F.concat(iban_check, F.regexp_replace(new_bban, "[^0-9]", ""))
-    date = F.coalesce(
-        *[F.date_format(feistel_date(F.try_to_timestamp(value, F.lit(f)).cast("date"), key), f) for f in FORMATS.values()]
-    )
+    bban, country = F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(2))
+
+    def iban(new: Column) -> Column:
+        check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(check, F.regexp_replace(new, "[^0-9]", ""))
+
+    iban_digits = let(refill(bban, feistel_digits(F.regexp_replace(bban, "[^0-9]", ""), key, "iban")), iban)
+    date = F.coalesce(*[F.date_format(feistel_date(F.try_to_timestamp(value, F.lit(f)).cast("date"), key), f) for f in FORMATS.values()])
     return (
-        F.when(kind == "email", F.concat(F.lit("user-"), F.substr(hashed, F.lit(1), F.lit(12)), F.lit("@redacted.invalid")))
-        .when(kind == "secret", F.when(value.rlike("[a-f]"), F.substr(hashed, F.lit(1), F.length(value))).otherwise(F.upper(F.substr(hashed, F.lit(1), F.length(value)))))
+        F.when(kind == "email", F.concat(F.lit("user-"), digest(F.lit(12)), F.lit("@redacted.invalid")))
+        .when(kind == "secret", F.when(value.rlike("[a-f]"), digest(F.length(value))).otherwise(F.upper(digest(F.length(value)))))
         .when(kind == "ipv4", feistel_ipv4(value, key))
         .when(kind == "date", date)
         .when(kind == "phone", refill(value, F.when(value.rlike(FORMS["phone"]), phone).otherwise(abroad)))
-        .when(kind == "ssn", refill(value, F.concat(F.substr(digits, F.lit(1), F.lit(3)), feistel_digits(F.substr(digits, F.lit(4), F.lit(6)), key, "ssn"))))
-        .when(kind == "card", refill(value, F.concat(body, check.cast("string"))))
+        .when(kind == "ssn", refill(value, feistel_ssn(digits, key)))
+        .when(kind == "card", refill(value, card))
         .when(kind == "iban", refill(value, iban_digits))
     )
 
@@ -237,37 +256,49 @@ def hidden(text: Column) -> tuple[Column, Column]:
     return maybe(IBAN_RUN, ibans), maybe("[0-9](?:[ -]?[0-9]){12}", cards)
 
 
+#: What marks the ends of a value within a text, what hides a mark that the text holds itself, and the two hidden ones.
+MARK, HIDE, HIDDEN = "\x01", "\x02", ("\x02\x03", "\x02\x04")
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
-    """docs with the PII of column ``text`` replaced; ``found`` names a column for the kinds replaced, in order.
+    """docs with the PII of column ``text`` replaced; ``found`` names a last column for the kinds replaced, in order.
 
-    All rows and columns stay. Null texts stay null, empty ones empty; equal rows stay
-    equal. ``n_chars``, if it is the number of characters of the text, isn't touched.
+    All rows and columns stay, whatever the columns' names; ``found`` gets an underscore
+    or more if docs has a column of that name. Null texts stay null, empty ones empty;
+    equal rows stay equal. ``n_chars``, if it is the number of characters of the text,
+    isn't touched.
     """
-    col = F.col(f"`{text}`")
-    ibans, cards, hold, parts = "__pii_ibans", "__pii_cards", "__pii_done", "__pii_gaps"
-    names = list(KINDS)
-    before, after = ("|".join(f"(?:{KINDS[n]})" for n in part) for part in (names[: names.index("iban")], names[names.index("iban") :]))
+    names = docs.columns
+    at = names.index(text)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    col = F.col(f"c{at}")
+    kinds = list(KINDS)
+    before, after = ("|".join(f"(?:{KINDS[n]})" for n in part) for part in (kinds[: kinds.index("iban")], kinds[kinds.index("iban") :]))
     own = lambda c, p, q: F.when(F.col(c) != "", F.concat(F.lit(p), F.col(c), F.lit(q))).otherwise("")
     pattern = F.concat(
         F.lit(f"{before}|"),
-        own(ibans, r"(?<![\p{L}\p{N}])(?:", r")(?![\p{L}\p{N}])|"),
+        own("ibans", r"(?<![\p{L}\p{N}])(?:", r")(?![\p{L}\p{N}])|"),
         F.lit(f"{after}|"),
-        own(cards, "(?<![0-9])(?:", ")(?![0-9])|"),
+        own("cards", "(?<![0-9])(?:", ")(?![0-9])|"),
         F.lit(CARD_FIRST),
-        own(cards, "(?:", ")(?![0-9])|"),
+        own("cards", "(?:", ")(?![0-9])|"),
         F.lit(CARD_REST),
     )
-    found_ibans, found_cards = hidden(col)
-    docs = docs.withColumns({ibans: found_ibans, cards: found_cards})
-    # a text without a digit or @ has nothing to find: most are passed by at once
-    values = F.regexp_extract_all(col, pattern, F.lit(0))
-    gaps = F.split(col, pattern, -1)
-    hits = F.transform(values, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
-    done = F.transform(hits, lambda h: F.struct(F.when(h["kind"].isNull(), h["value"]).otherwise(pseudonym(h["value"], h["kind"], key)).alias("value"), h["kind"].alias("kind")))
-    some = col.rlike("[0-9@]") & (F.size(values) > 0)
-    out = docs.withColumn(hold, F.when(some, done)).withColumn(parts, F.when(F.col(hold).isNotNull(), gaps))
-    joined = F.concat(F.element_at(parts, 1), F.array_join(F.transform(hold, lambda h, i: F.concat(h["value"], F.get(parts, i + 1))), ""))
-    if found:
-        kinds = F.filter(F.transform(hold, lambda h: h["kind"]), lambda k: k.isNotNull())
-        out = out.withColumn(found, F.coalesce(kinds, F.array().cast("array<string>")))
-    return out.withColumn(text, F.when(F.col(hold).isNotNull(), joined).otherwise(col)).drop(hold, parts, ibans, cards)
+    ibans, cards = hidden(col)
+    marked = F.regexp_replace(F.replace(F.replace(col, F.lit(HIDE), F.lit(HIDDEN[0])), F.lit(MARK), F.lit(HIDDEN[1])), pattern, F.lit(f"{MARK}$0{MARK}"))
+    out = docs.withColumns({"ibans": ibans, "cards": cards})
+    # a text without a digit or @ has nothing to find: most are passed by at once; of the others, every second part is a value
+    out = out.withColumn("parts", F.when(col.rlike("[0-9@]"), F.split(marked, MARK, -1)))
+    value_of = lambda v, kind: F.when(kind.isNull(), v).otherwise(pseudonym(v, kind, key))
+    known = F.transform("parts", lambda v, i: F.struct(v.alias("value"), F.when(i % 2 == 1, kind_of(v)).alias("kind")))
+    out = out.withColumn("known", F.when(F.size("parts") > 1, known))
+    joined = F.array_join(F.transform("known", lambda h: value_of(h["value"], h["kind"])), "")
+    plain = F.replace(F.replace(joined, F.lit(HIDDEN[1]), F.lit(MARK)), F.lit(HIDDEN[0]), F.lit(HIDE))
+    columns = [F.col(f"c{i}") for i in range(len(names))]
+    columns[at] = F.when(F.col("known").isNotNull(), plain).otherwise(col).alias(f"c{at}")
+    if found is None:
+        return out.select(*columns).toDF(*names)
+    listed = F.filter(F.transform("known", lambda h: h["kind"]), lambda k: k.isNotNull())
+    while found.lower() in map(str.lower, names):
+        found += "_"
+    return out.select(*columns, F.coalesce(listed, F.array().cast("array<string>")).alias("found")).toDF(*names, found)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, html_text, near_dedup, pii, quality_classifier, quality_rules, token_files, toxicity, url_rules
+from ._store import pick
 
 #: The key of the pseudonyms in the queries; a production run passes its own secret.
 KEY = "synthetic-tables"
@@ -48,7 +49,7 @@ def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.pseudonymise(table(spark, sf_dir, "documents"), KEY, found="kinds")
+    docs = pii.pseudonymise(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), KEY, found="kinds")
     return docs.selectExpr("doc_id", "text", "cast(size(kinds) as long) as n_replaced", "array_join(kinds, ',') as kinds")
 
 

@@ -49,10 +49,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """All columns, named c0, c1, ...: names that differ in case only, or not at all, are no trouble then."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, by exact spelling, whatever else the table holds."""
     have = {c: i for i, c in reversed(list(enumerate(df.columns)))}
     if len(set(map(str.lower, df.columns))) == len(df.columns):
         return df.select(*[F.col(f"`{n}`") for n in names])
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"c{have[n]}").alias(n) for n in names])
+    return numbered(df).select(*[F.col(f"c{have[n]}").alias(n) for n in names])

@@ -30,6 +30,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import numbered
+
 ROUNDS = 8
 #: Patterns of the kinds, in order of precedence; cards come last. A group without a bound
 #: repeats possessively (++): Java matches it in a loop, and any other one by recursion.
@@ -270,7 +272,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     """
     names = docs.columns
     at = names.index(text)
-    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    docs = numbered(docs)
     col = F.col(f"c{at}")
     kinds = list(KINDS)
     before, after = ("|".join(f"(?:{KINDS[n]})" for n in part) for part in (kinds[: kinds.index("iban")], kinds[kinds.index("iban") :]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, html_text, pii, token_files, url_rules
+from ledgerloom.llm import bpe, decontaminate, html_text, pii, token_files, url_rules
 from ledgerloom.llm._units import IdTable
 from ledgerloom.llm.registry import tokenizer_path
 
@@ -275,3 +275,73 @@ def test_pii_equals_a_plain_version(spark):
 
 def pii_form(value: str) -> str:
     return "".join("9" if c.isdigit() else c for c in value) if value.count(".") != 3 else "ip"
+
+
+# decontamination
+
+
+def brute_leaks(bench, rows):
+    """Every alignment of every item with every text that shares a seed, token by token."""
+    import re
+
+    cut = lambda t: re.findall(r"[\u3000-\u9fff]|[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u3000-\u9fff]+", (t or "").lower())
+    out = {}
+    for k, (_, item) in enumerate(bench):
+        x = [t for t in cut(item) if not "\u3000" <= t <= "\u303f"]
+        masks = [[i for i, b in enumerate(m) if b == "1"] for m in decontaminate.MASKS]
+        if len(x) < decontaminate.SPAN:
+            masks = [[i for i in range(len(x)) if i != j] for j in (range(len(x)) if len(x) >= 5 else [len(x)])]
+        span = min(len(x), decontaminate.SPAN)
+        for r, (_, text) in enumerate(rows):
+            y = [t for t in cut(text) if not "\u3000" <= t <= "\u303f"]
+            for d in range(-len(x) + 1, len(y)):
+                equal = np.array([y[j] == x[j - d] for j in range(max(d, 0), min(d + len(x), len(y)))], bool)
+                seeded = any(all(equal[j - max(d, 0) + i] for i in m) for m in masks for j in range(max(d, 0), min(d + len(x), len(y)) - span + 1))
+                got = decontaminate.verdict(equal, len(x), len(y)) if seeded and len(equal) else None
+                if got and got[2] > out.get((r, k), (0, 0, 0))[2]:
+                    out[r, k] = (max(d, 0) + got[0], max(d, 0) + got[1], got[2])
+    return sorted((*key, *v) for key, v in out.items())
+
+
+@pytest.mark.parametrize("many", [1 << 14, 4])
+def test_leaks_equal_brute_force(monkeypatch, many):
+    monkeypatch.setattr(decontaminate, "MANY", many)
+    monkeypatch.setattr(decontaminate, "FIRST", 2)
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") if rng.random() < 0.5 else rng.choice("abcdefgh") * rng.randint(2, 5)
+    bench = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 7, 9, 10, 12, 15, 20, 40])]
+    bench += [(50, "a " * 30), (51, "a b " * 12), (52, "\u4f60\u597d\u3002\u4e16\u754c\u4eba\u6c11\u5927\u5b66\u751f\u6d3b\u4e2d")]
+    rows = [(i, t) for i, t in bench] + [(90, None), (91, ""), (92, "a " * 70), (93, "b a " * 40)]
+    for i, (_, t) in enumerate(bench):
+        for rate in (0.0, 0.1, 0.25):
+            changed = "".join(f"{w if rng.random() >= rate else 'zz'} " for w in t.split())
+            rows.append((100 + i, " ".join(word() for _ in range(rng.randint(0, 6))) + f" {changed}" + " ".join(word() for _ in range(rng.randint(0, 6)))))
+    rows.append((200, "\u4ed6\u8bf4\u4f60\u597d\u4e16\u754c\u4eba\u6c11\u5927\u5b66\u751f\u6d3b\u4e2d\u3002"))
+    index = decontaminate.Index.build(*map(list, zip(*bench, strict=True)))
+    got = decontaminate.leaks(index, pa.array([t for _, t in rows]))
+    assert [g for g in got if g[0] == len(rows) - 1] == [(len(rows) - 1, 14, 2, 13, 11)]
+    assert got == brute_leaks(bench, rows)
+
+
+def test_repetitive_texts_take_time_in_proportion():
+    index = decontaminate.Index.build([1, 2, 3], ["a " * 400, "yes", thue_morse(600, ["a ", "b "])])
+    began = time.process_time()
+    got = decontaminate.leaks(index, pa.array(["a " * 16_000, "yes no " * 50_000, "a b " * 50_000, "yes", "Yes!"]))
+    assert time.process_time() - began < 20
+    assert [g[:2] for g in got] == [(0, 0), (3, 1), (4, 1)] and got[0] == (0, 0, 0, 400, 400)
+
+
+def test_clean_keeps_columns_of_any_name(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK_TOKENS", 20)
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(4)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "w2x0 " * 30, "t"), (2, " ".join(f"w3x{j}" for j in range(15)), "u"), (3, None, "v")], "doc_id long, text string, Text string")
+    assert sorted(map(tuple, decontaminate.clean(df, bench).collect())) == [(1, "w2x0 " * 30, "t"), (3, None, "v")]
+
+
+def test_passages_are_found_at_every_length():
+    rng = random.Random(2)
+    for n, rate, least in ((15, 0.1, 0.95), (15, 0.2, 0.85), (18, 0.2, 0.9), (25, 0.2, 0.95), (50, 0.2, 0.99)):
+        items = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)) for _ in range(300)]
+        texts = ["x y z " + " ".join(f"q{rng.randrange(9999)}" if rng.random() < rate else w for w in t.split()) + " u v" for t in items]
+        got = {g[:2] for g in decontaminate.leaks(decontaminate.Index.build(list(range(300)), items), pa.array(texts))}
+        assert sum((i, i) in got for i in range(300)) >= least * 300

@@ -42,6 +42,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix."""
+    x = x ^ (x >> _U(31)) ^ (x >> _U(62))
+    x = x * _U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> _U(27)) ^ (x >> _U(54))
+    x = x * _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> _U(30)) ^ (x >> _U(60))
+
+
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 
 

@@ -2,9 +2,16 @@
 
 A linear-chain conditional random field marks each line that holds a word as content
 or boilerplate; Viterbi decoding finds the likeliest labelling of a document, and the
-share of its words that stand in content lines decides whether it stays. The field is
-trained on a bounded sample of labelled documents, whose lines take the document's
-label.
+share of its words that stand in content lines decides whether it stays.
+
+Lines have labels of their own in training. A line counts as repeated if it is at least
+1 / REPEATED of all lines of the corpus, counted over all documents; there are at most
+REPEATED such lines, which are sent to every task. In a good document of the labelled
+sample, repeated lines among words that aren't are boilerplate, all else is content
+(where most of the words are in repeated lines, the document has copies). In a bad document all lines
+are boilerplate at first. Then the labels are latent: the field is fitted to them, and
+its own decoding gives the next labels, held to what the document's label says: most
+words of a good document are content, most of a bad one aren't.
 """
 
 from __future__ import annotations
@@ -19,14 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import pick, ship
+from ._labelled import features, sample
+from ._store import numbered, pick, ship, stored
 from ._text import SPACE, Words, mix, pieces, span_hashes, windows
 
-#: At most so many labelled documents train the field: those of the least hash of doc_id.
-TRAIN_DOCS = 4000
+#: At most so many labelled documents train the field, with so many successive lines of each.
+TRAIN_DOCS, TRAIN_LINES = 4000, 256
+#: A line is repeated if it is at least this part of all lines, and stands in so many documents.
+REPEATED, LEAST_DOCS = 20_000, 3
+#: Times that the field's own decoding gives the labels it is fitted to, and steps of each fit.
+TURNS, STEPS = 4, 80
 #: Least share of words in content lines of a document that stays.
 CONTENT_SHARE = 0.5
-FEATURES = ("bias", "symbols", "upper", "shouts", "repeated line", "in repeated windows", "word twice", "short", "digits", "length")
+FEATURES = ("bias", "symbols", "upper", "shouts", "repeated line", "in repeated windows", "word twice", "short", "digits", "length", "clean length", "repeated alone")
+ALONE = FEATURES.index("repeated alone")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -56,7 +69,20 @@ class Lines:
     of: np.ndarray  # first line of each document, and the end
 
 
-def lines(texts: pa.Array) -> Lines:
+def line_spans(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start and end of each line that holds a word, which of them each word is in)."""
+    data = w.data
+    starts = np.unique(np.concatenate([w.offs[:-1], np.flatnonzero(data == 0x0A) + 1]))  # from each text's start and after each \n
+    starts = starts[starts < len(data)]
+    full, of_word = np.unique(np.searchsorted(starts, w.starts, "right") - 1, return_inverse=True)
+    ends = np.append(starts[1:], len(data))[full]
+    starts = starts[full]
+    ends = np.where((ends > starts) & (data[ends - 1] == 0x0A), ends - 1, ends) if len(full) else ends
+    return starts, ends, of_word
+
+
+def lines(texts: pa.Array, repeated: np.ndarray | None = None) -> Lines:
+    """repeated: hashes of the lines that are repeated in the corpus, ascending."""
     w = Words.of_column(texts)
     data, offs, n_docs = w.data, w.offs, len(w.offs) - 1
     hashes = w.hashes(fold=False)
@@ -74,25 +100,26 @@ def lines(texts: pa.Array) -> Lines:
         cover[twice + k] = 1
     cover = cover[: len(hashes)] > 0
     counts[:, 4] = np.bincount(doc[cover], minlength=n_docs)[:n_docs]
-    # lines: from each text's start and after each \n
-    starts = np.unique(np.concatenate([offs[:-1], np.flatnonzero(data == 0x0A) + 1]))
-    starts = starts[starts < len(data)]
-    line = np.searchsorted(starts, w.starts, "right") - 1
-    full, of_word = np.unique(line, return_inverse=True)
-    ends = np.append(starts[1:], len(data))[full]
-    starts = starts[full]
-    ends = np.where((ends > starts) & (data[ends - 1] == 0x0A), ends - 1, ends) if len(full) else ends
+    starts, ends, of_word = line_spans(w)
+    full = starts
     n_words = np.bincount(of_word, minlength=len(full))
     owner = np.searchsorted(offs, starts, "right") - 1
     # owners of empty texts share an offset: the last one that begins here holds the line
-    key = mix(span_hashes(data, starts, ends, fold=False) + owner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    same_line = span_hashes(data, starts, ends, fold=False)
+    key = mix(same_line + owner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     dup = pd.Series(key).duplicated().to_numpy()
     counts[:, 3] = np.bincount(owner[dup], minlength=n_docs)[:n_docs]
+    known = np.zeros(len(full))
+    if repeated is not None and len(repeated):
+        known = (repeated[np.minimum(np.searchsorted(repeated, same_line), len(repeated) - 1)] == same_line).astype(float)
+    known_words = known * n_words
+    others = (np.bincount(owner, known_words, minlength=n_docs)[owner] - known_words) / np.maximum(counts[owner, 0] - n_words, 1)
     edges = np.stack([starts, ends], 1).reshape(-1)
     per = lambda flags: _sums(flags, edges)[::2] if len(edges) else np.zeros(0, np.int64)
     upper, lower, chars = per(UPPER[data]), per(LOWER[data]), np.maximum(ends - starts, 1)
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (of_word[1:] == of_word[:-1])
+    length = np.minimum(np.log1p(n_words) / 5, 1.5)
     x = np.stack(
         [
             np.ones(len(full)),
@@ -104,7 +131,9 @@ def lines(texts: pa.Array) -> Lines:
             np.bincount(of_word[same], minlength=len(full)) / np.maximum(n_words, 1),
             n_words < 4,
             per(DIGIT[data]) / chars,
-            np.minimum(np.log1p(n_words) / 5, 1.5),
+            length,
+            length * (per((SYMBOL | SHOUT)[data]) * 10 < n_words),
+            known * (1 - others),
         ],
         1,
     ).astype(float)
@@ -117,6 +146,7 @@ class Field:
 
     unary: np.ndarray
     moves: np.ndarray
+    repeated: np.ndarray | None = None
 
     def _steps(self, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(t, documents that have a line t), documents by falling length."""
@@ -171,52 +201,114 @@ class Field:
         return unary, moves - pair.sum(0)
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 150, decay: float = 1e-3) -> Field:
-    """A field whose lines take their document's label; without documents all is content."""
-    each = [lines(t) for _, t in pieces(pa.array(texts, pa.large_string()))]
-    of = np.concatenate([[0], *[np.diff(x.of) for x in each]]).cumsum()
-    parts = Lines(np.zeros((len(texts), 0)), np.concatenate([np.zeros((0, len(FEATURES))), *[x.features for x in each]]), np.zeros(0), of)
-    field = Field(np.zeros(len(FEATURES)), np.zeros((2, 2)))
-    if not len(parts.features):
-        field.unary[0] = 1.0
-        return field
-    y = np.repeat(np.array(labels, np.int64), np.diff(parts.of))
-    seen = [np.full(len(FEATURES), 1e-8), np.full((2, 2), 1e-8)]
-    for _ in range(rounds):
+def first_labels(parts: Lines, labels: np.ndarray) -> np.ndarray:
+    """Content are the lines of good documents, but those that are repeated while the others aren't."""
+    return np.repeat(labels, np.diff(parts.of)) * (parts.features[:, ALONE] <= 0.5)
+
+
+def held_to(parts: Lines, y: np.ndarray, score: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The labels y, with the fewest words changed by score so that a good document is content for the most part, and a bad one isn't."""
+    y = y.copy()
+    for d in np.flatnonzero(np.diff(parts.of)):
+        at = np.arange(parts.of[d], parts.of[d + 1])
+        words = parts.words[at].astype(float)
+        share, good = (words * y[at]).sum() / words.sum(), labels[d] > 0
+        if good == (share >= CONTENT_SHARE):
+            continue
+        order = np.argsort(-score[at] if good else score[at], kind="stable")  # surest lines of the wanted label first
+        order = order[y[at][order] != good]
+        moved = np.cumsum(words[order]) / words.sum()
+        lacking = CONTENT_SHARE - share if good else share - CONTENT_SHARE
+        y[at[order[: int(np.searchsorted(moved, lacking, "left" if good else "right")) + 1]]] = good
+    return y
+
+
+def climb(field: Field, parts: Lines, y: np.ndarray, decay: float = 1e-3) -> None:
+    """STEPS steps of AdaGrad up the likelihood of the lines' labels."""
+    seen = [np.full(field.unary.shape, 1e-8), np.full((2, 2), 1e-8)]
+    for _ in range(STEPS):
         for w, g, s in zip((field.unary, field.moves), field.gradient(parts, y), seen, strict=True):
             g = g / len(y) - decay * w
             s += g * g
             w += 0.5 * g / np.sqrt(s)
+
+
+def train(parts: Lines, labels: np.ndarray, repeated: np.ndarray | None = None) -> Field:
+    """A field fitted to documents' lines and labels; without any line all is content."""
+    field = Field(np.zeros(len(FEATURES)), np.zeros((2, 2)), repeated)
+    if not len(parts.features):
+        field.unary[0] = 1.0
+        return field
+    y = held_to(parts, first_labels(parts, labels), np.zeros(len(parts.features)), labels)
+    climb(field, parts, y)
+    for _ in range(TURNS - 1):
+        y = held_to(parts, field.viterbi(parts).astype(np.int64), parts.features @ field.unary, labels)
+        climb(field, parts, y)
     return field
 
 
+def repeated_lines(docs: DataFrame) -> np.ndarray:
+    """Hashes of the repeated lines of all of docs(text), ascending: REPEATED of them at most."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in pieces(batch.column(0)):
+                w = Words.of_column(texts)
+                starts, ends, _ = line_spans(w)
+                owner = np.searchsorted(w.offs, starts, "right") - 1
+                each = pd.DataFrame({"line": span_hashes(w.data, starts, ends, fold=False).view(np.int64), "doc": owner}).drop_duplicates()
+                n = each.groupby("line").size()
+                yield pa.RecordBatch.from_arrays([pa.array(n.index.to_numpy(np.int64)), pa.array(n.to_numpy(np.int64))], ["line", "n"])
+
+    counted = pick(docs, "text").filter("text is not null").mapInArrow(run, "line long, n long")
+    counted = counted.groupBy("line").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    every = stored(counted, "lines")
+    total = every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = every.filter(F.col("n") * REPEATED >= total).collect()
+    return np.sort(np.array([r.line for r in rows], np.int64).view(np.uint64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
-    """Train on at most ``most`` labelled documents, those of the least hash of doc_id."""
-    labels = pick(labels, "doc_id", "quality").filter("doc_id is not null and quality is not null")
-    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    docs = pick(docs, "doc_id", "text").filter("text is not null")
-    # at most ``most`` ids are sent to every task; their texts are what comes back
-    rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").limit(2 * most).collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in rows], [int(r[2] > 0) for r in rows])
+    """Train on at most ``most`` labelled documents outside the held-out fold, those of the least hash of doc_id."""
+    repeated = repeated_lines(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(repeated)
+
+    def make(texts: pa.Array, ids: list[int]) -> list[bytes]:
+        got = lines(texts, sent.value)
+        out = []
+        for d, i in enumerate(ids):
+            a, b = int(got.of[d]), int(got.of[d + 1])
+            a += hash(i) % (b - a - TRAIN_LINES + 1) if b - a > TRAIN_LINES else 0
+            b = min(b, a + TRAIN_LINES)
+            out.append(np.concatenate([got.words[a:b, None], got.features[a:b]], 1).astype(np.float32).tobytes())
+        return out
+
+    rows = features(sample(docs, labels, "quality", most), make)
+    each = [np.frombuffer(x, np.float32).reshape(-1, 1 + len(FEATURES)).astype(float) for x, _ in rows]
+    every = np.concatenate([np.zeros((0, 1 + len(FEATURES))), *each])
+    of = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+    return train(Lines(np.zeros((len(rows), 0)), every[:, 1:], every[:, 0], of), np.array([y for _, y in rows], np.int64), repeated)
 
 
-def judge(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), share: float = CONTENT_SHARE) -> DataFrame:
+def judge(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), share: float = CONTENT_SHARE, text: str = "text") -> DataFrame:
     """The kept columns, the counts, content_share, base_failed and kept of every row of docs.
 
     Null and empty texts have no words and fail. Rows are judged one by one, so
     repeated rows and null ids stay. Other columns are dropped, whatever their names.
     """
     ship(docs.sparkSession)
-    docs = pick(docs, *keep, "text")
+    at = keep.index(text) if text in keep else len(keep)
+    docs = pick(docs, *keep, *(() if text in keep else (text,)))
     extra = [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("content_share", T.DoubleType())]
-    schema = T.StructType([*docs.schema.fields[:-1], *extra])
+    schema = T.StructType([*docs.schema.fields[: len(keep)], *extra])
+    sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, texts in pieces(batch.column(len(keep))):
-                got = lines(texts)
-                content = got.words * field.viterbi(got)
+            for a, texts in pieces(batch.column(at)):
+                got = lines(texts, sent.value.repeated)
+                content = got.words * sent.value.viterbi(got)
                 total = np.concatenate([[0], np.cumsum(content)])
                 part = np.diff(total[got.of]) / np.maximum(got.counts[:, 0], 1)
                 arrays = [batch.column(i).slice(a, len(texts)) for i in range(len(keep))]
@@ -228,7 +320,7 @@ def judge(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), sh
 
 
 def retained(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of docs that are kept, with all their columns as they were."""
-    names = tuple(docs.columns)
-    judged = judge(docs.withColumn("text_", F.col("text")), field, tuple("text_" if n == "text" else n for n in names))
-    return judged.filter("kept").select(*[F.col("text_").alias("text") if n == "text" else F.col(n) for n in names])
+    """The rows of docs that are kept, with all their columns as they were, whatever their names."""
+    plain = numbered(docs)
+    judged = judge(plain, field, tuple(plain.columns), text=plain.columns[docs.columns.index("text")])
+    return judged.filter("kept").select(*plain.columns).toDF(*docs.columns)

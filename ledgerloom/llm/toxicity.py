@@ -7,8 +7,16 @@ a group than both do alone, costs as much as the linear part: it is half of
 
 Terms are words and word beginnings (insults are inflected and compounded), each once
 more for a second and a third use. The machine is trained on a bounded sample of
-labelled rows; only terms whose share among toxic and other rows of the sample differs
-by more than LEAST_Z standard errors, and that LEAST_DOCS rows hold, have weights.
+labelled rows. Terms that fewer than LEAST_DOCS rows of it hold have no weight; of the
+others those have one that tell the classes apart
+
+* alone: their share among toxic and other rows differs by over LEAST_Z standard errors; or
+* in pairs: among the PAIRED most frequent terms, both of a pair whose common share
+  differs by over LEAST_PAIR_Z standard errors, and by more than that of either alone
+  (a group's name, say, that stands as often in clean rows as in toxic ones).
+
+Counts are made on the executors; to the driver come the counts of these terms and a
+bit for each row and term, never texts.
 """
 
 from __future__ import annotations
@@ -23,15 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._labelled import held_out, training_rows
-from ._store import pick, ship
-from ._text import PUNCT, Words, mix, pieces, span_hashes
+from ._labelled import features, held_out, sample
+from ._store import pick, ship, stored
+from ._text import PUNCT, Words, mix, pieces, span_hashes, unmix
 
 #: At most so many labelled rows train the machine.
 TRAIN_ROWS = 5000
 FACTORS = 4
 LEAST_DOCS = 4
-LEAST_Z = 4.0
+LEAST_Z, LEAST_PAIR_Z = 4.0, 6.0
+#: Terms at most that tell classes apart alone; terms whose pairs are looked at.
+MOST_TERMS, PAIRED = 16_384, 2048
 #: Lengths in bytes of the word beginnings that are terms too.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 USES = 3
@@ -117,61 +127,112 @@ class Machine:
         self.bias -= rate * g.sum() / np.sqrt(seen[2])
 
 
-def choose(term: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hashes of the terms that tell the two classes apart, ascending."""
-    label = np.repeat(y, np.diff(of))
-    order = np.argsort(term)
-    term, label = term[order], label[order]
-    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, int)
-    n = np.diff(np.append(first, len(term)))
-    toxic = np.add.reduceat(label, first) if len(first) else np.zeros(0)
-    n1, n0 = max(y.sum(), 1.0), max(len(y) - y.sum(), 1.0)
-    share = n / len(y)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    z = (toxic / n1 - (n - toxic) / n0) / error
-    return term[first[(n >= LEAST_DOCS) & (np.abs(z) > LEAST_Z)]]
-
-
-def train(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.2, decay: float = 3e-4) -> Machine:
-    """Without rows every text scores 0."""
-    none = np.zeros(0, np.uint64)
-    if not rows:
-        return Machine(-30.0, none, np.zeros(0), np.zeros((0, FACTORS)), np.zeros(1 << _BITS, bool))
-    texts, y = pa.array([r[0] for r in rows], pa.large_string()), np.array([r[1] for r in rows], float)
-    # most terms stand in one row: counted by leading bits, they are left out before anything is held
-    rows_of = np.zeros(1 << 24, np.uint32)
-    for _, t in pieces(texts):
-        bins, n = np.unique(terms(t)[0] >> np.uint64(40), return_counts=True)
-        rows_of[bins] += n.astype(np.uint32)
-    parts = []
-    for _, t in pieces(texts):
-        each, first = terms(t)
-        often = rows_of[each >> np.uint64(40)] >= LEAST_DOCS
-        parts.append((each[often], np.concatenate([[0], np.cumsum(often)])[first]))
-    term = np.concatenate([t for t, _ in parts])
-    of = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
-    hashes = choose(term, of, y)
+def standard_errors(n1: np.ndarray, n0: np.ndarray, rows1: int, rows0: int) -> np.ndarray:
+    """By how many standard errors the shares n1 of rows1 toxic rows and n0 of rows0 others differ."""
+    rows1, rows0 = max(rows1, 1), max(rows0, 1)
+    share = (n1 + n0) / (rows1 + rows0)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / rows1 + 1 / rows0))
+    return (n1 / rows1 - n0 / rows0) / error
+
+
+def counted(some: DataFrame) -> DataFrame:
+    """term, n (rows of the sample that hold it) and n1 (toxic ones) of the terms that LEAST_DOCS rows hold."""
+    ship(some.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, texts in pieces(batch.column(1)):
+                label = batch.column(0).slice(a, len(texts)).to_numpy()
+                term, of = terms(texts)
+                each, at, n = np.unique(term, return_inverse=True, return_counts=True)
+                n1 = np.bincount(at, np.repeat(label, np.diff(of)), len(each)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(n1)], ["term", "n", "n1"])
+
+    out = some.select("label", "text").mapInArrow(run, "term long, n long, n1 long")
+    return out.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(F.col("n") >= LEAST_DOCS)
+
+
+def _column(rows: list) -> np.ndarray:
+    return np.sort(np.array([r.term for r in rows], np.int64).view(np.uint64))
+
+
+def paired(held: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The columns of rows x terms that tell classes apart in pairs (see above)."""
+    toxic = y > 0
+    alone = np.abs(standard_errors(held[toxic].sum(0), held[~toxic].sum(0), toxic.sum(), (~toxic).sum()))
+    chosen = np.zeros(held.shape[1], bool)
+    x1, x0 = held[toxic].astype(np.float32), held[~toxic].astype(np.float32)
+    for a in range(0, held.shape[1], 256):
+        z = np.abs(standard_errors(x1[:, a : a + 256].T @ x1, x0[:, a : a + 256].T @ x0, len(x1), len(x0)))
+        pair = (z > LEAST_PAIR_Z) & (z > alone + LEAST_Z) & (z > alone[a : a + 256, None] + LEAST_Z)
+        chosen[a : a + 256] |= pair.any(1)
+        chosen |= pair.any(0)
+    return np.flatnonzero(chosen)
+
+
+def bits(some: DataFrame, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x terms, whether the row holds the term; label of each row)."""
+    sent = some.sparkSession.sparkContext.broadcast((hashes, flags(hashes)))
+
+    def make(texts: pa.Array, _: list) -> list[bytes]:
+        hashes, wanted = sent.value
+        term, of = terms(texts, wanted)
+        held = np.zeros((len(texts), len(hashes)), bool)
+        at = np.minimum(np.searchsorted(hashes, term), len(hashes) - 1)
+        known = hashes[at] == term
+        held[np.repeat(np.arange(len(texts)), np.diff(of))[known], at[known]] = True
+        return [x.tobytes() for x in np.packbits(held, axis=1)]
+
+    rows = features(some, make)
+    packed = np.stack([np.frombuffer(x, np.uint8) for x, _ in rows])
+    return np.unpackbits(packed, axis=1, count=len(hashes)).view(bool), np.array([y for _, y in rows], float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
+    """A machine from at most ``most`` labelled rows outside the held-out fold."""
+    return fit_sample(sample(docs, labels, "toxic", most))
+
+
+def fit_sample(some: DataFrame) -> Machine:
+    counts = stored(counted(some), "terms")
+    n1, n = some.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    if not n:
+        return train(np.zeros((0, 0), bool), np.zeros(0), np.zeros(0, np.uint64))
+    often = _column(counts.orderBy(F.col("n").desc(), "term").limit(PAIRED).collect())
+    share = F.col("n") / n
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / max(n1, 1) + 1 / max(n - n1, 1)))
+    z = F.abs(F.col("n1") / max(n1, 1) - (F.col("n") - F.col("n1")) / max(n - n1, 1)) / error
+    hashes = _column(counts.filter(z > LEAST_Z).orderBy(z.desc(), "term").limit(MOST_TERMS).collect())
+    if len(often):
+        held, y = bits(some, often)
+        hashes = np.union1d(hashes, often[paired(held, y)])
+        del held
+    if not len(hashes):
+        return train(np.zeros((n, 0), bool), np.repeat([1.0, 0.0], [n1, n - n1]), hashes)
+    return train(*bits(some, hashes), hashes)
+
+
+def train(held: np.ndarray, y: np.ndarray, hashes: np.ndarray, rounds: int = 200, rate: float = 0.2, decay: float = 3e-4) -> Machine:
+    """From rows x terms and labels. Without rows every text scores 0."""
     rng = np.random.default_rng(5)
-    out = Machine(float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), hashes, np.zeros(len(hashes)), rng.normal(0, 0.01, (len(hashes), FACTORS)), np.ones(1 << _BITS, bool))
-    term, of = out.known(term, of)
+    prior = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) if len(y) else -30.0
+    out = Machine(prior, hashes, np.zeros(len(hashes)), rng.normal(0, 0.01, (len(hashes), FACTORS)), flags(hashes))
+    if not len(hashes):
+        return out
+    of = np.concatenate([[0], np.cumsum(held.sum(1))])
+    term = np.nonzero(held)[1]
     # sums of squares start well above the gradients of terms that tell nothing, which so move little
     seen = [np.full(len(hashes), 1e-4), np.full((len(hashes), FACTORS), 1e-4), np.array(1e-4)]
     for _ in range(rounds):
         out.step(term, of, y, seen, rate, decay)
-    out.wanted = _flags(texts, hashes)
     return out
 
 
-def _flags(texts: pa.Array, hashes: np.ndarray) -> np.ndarray:
-    """Leading bits of the plain terms whose use levels have weights."""
+def flags(hashes: np.ndarray) -> np.ndarray:
+    """Leading bits of the plain terms that any use level of may be among the hashes."""
     out = np.zeros(1 << _BITS, bool)
-    for _, t in pieces(texts):
-        w = Words.of_column(pc.utf8_lower(t), PUNCT)
-        for k in (0, *PREFIXES):
-            starts = w.starts[w.ends - w.starts > k]
-            x = np.unique(mix(span_hashes(w.data, starts, starts + k if k else w.ends) + np.uint64(k)))
-            for u in range(1, USES + 1):
-                out[x[np.isin(mix(x + np.uint64(u)), hashes)] >> np.uint64(64 - _BITS)] = True
+    for u in range(1, USES + 1):
+        out[(unmix(hashes) - np.uint64(u)) >> np.uint64(64 - _BITS)] = True
     return out
 
 
@@ -183,7 +244,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, threshold:
     """
     spark = docs.sparkSession
     ship(spark)
-    machine = spark.sparkContext.broadcast(train(training_rows(docs, labels, "toxic", most)))
+    machine = spark.sparkContext.broadcast(fit(docs, labels, most))
     docs = pick(docs, "doc_id", "text")
     schema = T.StructType([docs.schema[0], T.StructField("score", T.DoubleType())])
 

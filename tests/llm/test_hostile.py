@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, html_text, pii, token_files, url_rules
+from ledgerloom.llm import bpe, decontaminate, html_text, pii, quality_classifier, quality_rules, token_files, toxicity, url_rules
+from ledgerloom.llm._labelled import features, sample
+from ledgerloom.llm._text import mix, unmix
 from ledgerloom.llm._units import IdTable
 from ledgerloom.llm.registry import tokenizer_path
 
@@ -345,3 +348,170 @@ def test_passages_are_found_at_every_length():
         texts = ["x y z " + " ".join(f"q{rng.randrange(9999)}" if rng.random() < rate else w for w in t.split()) + " u v" for t in items]
         got = {g[:2] for g in decontaminate.leaks(decontaminate.Index.build(list(range(300)), items), pa.array(texts))}
         assert sum((i, i) in got for i in range(300)) >= least * 300
+
+
+# line labels
+
+
+def field_of(rng):
+    return quality_rules.Field(rng.normal(size=len(quality_rules.FEATURES)), rng.normal(size=(2, 2)))
+
+
+def test_a_mixed_page_is_decoded_line_by_line(spark):
+    """A trained field on planted pages: own prose, lines that all pages share, and junk; each line against enumeration."""
+    import itertools
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n)) + "."
+    shared = [prose(8) for _ in range(3)]
+    junk = lambda: " ".join(w + "$$$" for w in prose(12).split())
+    rows, labels, plan = [], [], {}
+    for i in range(240):
+        if i % 4 == 3:
+            want = [0] * 5
+            text = [junk() for _ in want]
+        else:
+            want = [0, 1, 1, 1, 0] if i % 2 else [1, 1, 1, 1]
+            text = [prose(30) if y else shared[rng.randrange(3)] for y in want]
+        rows.append((i, "\n".join(text)))
+        labels.append((i, int(i % 4 != 3)))
+        plan[i] = want
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality_rules.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert len(field.repeated) == 3
+    got = quality_rules.lines(pa.array([t for _, t in rows]), field.repeated)
+    y = field.viterbi(got)
+    for i in range(240):
+        x = got.features[got.of[i] : got.of[i + 1]] @ field.unary
+        value = lambda s: sum(a * b for a, b in zip(x, s, strict=True)) + sum(field.moves[a, b] for a, b in zip(s, s[1:], strict=False))  # noqa: B023, E731
+        assert tuple(y[got.of[i] : got.of[i + 1]]) == max(itertools.product((0, 1), repeat=len(x)), key=value)
+    assert np.mean([y[got.of[i] : got.of[i + 1]].tolist() == plan[i] for i in range(240)]) > 0.97
+    judged = {r.doc_id: (r.kept, r.content_share) for r in quality_rules.judge(d, field).collect()}
+    for i, t in rows:
+        words = [len(line.split()) for line in t.split("\n")]
+        share = sum(w * z for w, z in zip(words, y[got.of[i] : got.of[i + 1]], strict=True)) / sum(words)
+        assert judged[i] == (sum(words) >= 50 and share >= quality_rules.CONTENT_SHARE, pytest.approx(share))
+
+
+def test_repeated_lines_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "REPEATED", 12)
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choice("aaaaaaaabbbbbbcccdefghij") for _ in range(rng.randint(0, 6)))) for i in range(80)] + [(1, None), (2, ""), (3, " \n ")]
+    counts: dict[str, int] = {}
+    for _, t in rows:
+        for line in {x for x in (t or "").split("\n") if x.strip()}:
+            counts[line] = counts.get(line, 0) + 1
+    counts = {x: n for x, n in counts.items() if n >= quality_rules.LEAST_DOCS}
+    want = {x for x, n in counts.items() if n * 12 >= sum(counts.values())}
+    got = set(quality_rules.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).tolist())
+    alone = pa.array(sorted(counts))
+    w = quality_rules.Words.of_column(alone)
+    h = quality_rules.span_hashes(w.data, *quality_rules.line_spans(w)[:2], fold=False)
+    assert got == {int(x) for x, t in zip(h, alone.to_pylist(), strict=True) if t in want} and 0 < len(want) <= 12
+
+
+def test_labels_are_held_to_the_document():
+    rng = np.random.default_rng(7)
+    n = rng.integers(0, 6, 200)
+    parts = quality_rules.Lines(np.zeros((200, 0)), np.zeros((n.sum(), len(quality_rules.FEATURES))), rng.integers(1, 30, n.sum()), np.concatenate([[0], np.cumsum(n)]))
+    y, score, labels = rng.integers(0, 2, n.sum()), rng.normal(size=n.sum()), rng.integers(0, 2, 200)
+    got = quality_rules.held_to(parts, y, score, labels)
+    for d in np.flatnonzero(n):
+        at = slice(parts.of[d], parts.of[d + 1])
+        share = (parts.words[at] * got[at]).sum() / parts.words[at].sum()
+        assert (share >= quality_rules.CONTENT_SHARE) == (labels[d] > 0)
+        before = (parts.words[at] * y[at]).sum() / parts.words[at].sum()
+        assert (got[at] == y[at]).all() or (before >= quality_rules.CONTENT_SHARE) != (labels[d] > 0)
+
+
+def test_retained_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text, "T", 7, "s", "k", "b", "x"), (2, "short", "U", 8, "s", "k", "b", "x")], "doc_id long, text string, Text string, n_words int, content_share string, kept string, base_failed string, text_ string")
+    field = quality_rules.train(quality_rules.lines(pa.array([], pa.string())), np.zeros(0, int))
+    got = quality_rules.retained(df, field)
+    assert got.schema == df.schema and list(map(tuple, got.collect())) == [(1, text, "T", 7, "s", "k", "b", "x")]
+
+
+# classifiers
+
+TEXTS = ["", "one", "One two TWO three\n## three $$", "A-b c1 d22 e333", "naïve çava !!", "x " * 50, "a b c a b c a b c"] + [f"word{i} word{i % 3} the the {'$' * (i % 4)}" for i in range(30)]
+
+
+def test_votes_equal_brute_force(monkeypatch):
+    """Cosines pair by pair in double precision, all sorted."""
+    monkeypatch.setattr(quality_classifier, "NEIGHBOURS", 5)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcXY1$.") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(5, 60))) for _ in range(120)]
+    freq, labels = quality_classifier.frequencies(pa.array(texts)), np.array([i % 3 > 0 for i in range(120)])
+    model = quality_classifier.train(freq[:80], labels[:80])
+    v = (freq.astype(float) * model.idf) @ model.basis
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for i, got in enumerate(model.score(pa.array(texts))):
+        cos = [(float(v[i] @ v[j]), j) for j in range(80)]
+        near = sorted(cos, reverse=True)[:5]
+        weight = [c**8 for c, _ in near]
+        assert got == pytest.approx(sum(w * labels[j] for w, (_, j) in zip(weight, near, strict=True)) / sum(weight), abs=1e-3)
+
+
+def test_ties_go_to_the_first_of_the_sample(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "NEIGHBOURS", 3)
+    freq = quality_classifier.frequencies(pa.array(["a b c"] * 10 + ["x! y! z!"] * 10))
+    model = quality_classifier.train(freq, np.array([1, 0, 1] + [0] * 7 + [0, 0, 1] + [1] * 7))
+    assert model.score(pa.array(["a b c", "x! y! z!"])) == pytest.approx([2 / 3, 1 / 3])
+
+
+def test_frequencies_equal_brute_force():
+    import re
+
+    bins = quality_classifier.WORD_BINS
+    for t in TEXTS:
+        f = quality_classifier.frequencies(pa.array([t]))[0]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        assert np.expm1(f[:bins]).sum() == pytest.approx(len(words), abs=0.01) and np.expm1(f[bins : -quality_classifier.STRUCTURE]).sum() == pytest.approx(len(words), abs=0.01)
+        assert (f[:bins] > 0).sum() <= len({w.lower() for w in words})
+
+
+def test_leading_directions_are_the_singular_vectors():
+    x = np.random.default_rng(1).normal(size=(60, 40)).astype(np.float32) * np.linspace(9, 0.1, 40, dtype=np.float32)
+    got, want = quality_classifier.leading(x, 5), np.linalg.svd(x, full_matrices=False)[2][:5].T
+    assert np.abs(np.abs((got * want).sum(0)) - 1).max() < 0.02
+
+
+def test_scores_of_the_machine_equal_the_double_sum(spark):
+    rows = [(i, i % 2, f"w{i % 7} {'insult gross' if i % 2 else 'kindly warm'} {'bad ' * (i % 5)}") for i in range(120)]
+    m = toxicity.fit_sample(spark.createDataFrame(rows, "doc_id long, label int, text string"))
+    assert len(m.hashes) > 3
+    got = m.score(pa.array([t for *_, t in rows]))
+    for (*_, t), s in zip(rows, got, strict=True):
+        all_terms, _ = toxicity.terms(pa.array([t]))
+        at = [int(np.searchsorted(m.hashes, x)) for x in np.unique(all_terms) if x in m.hashes]
+        z = m.bias + m.weights[at].sum() + sum(m.factors[i] @ m.factors[j] for k, i in enumerate(at) for j in at[:k])
+        assert s == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_counts_and_bits_equal_brute_force(spark):
+    rows = [(i, i % 2, f"w{i % 7} w{i % 2} {'bad ' * (i % 5)}") for i in range(40)]
+    some = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    each = [set(toxicity.terms(pa.array([t]))[0].tolist()) for *_, t in rows]
+    want = {x: (sum(x in e for e in each), sum(x in e for e, (_, y, _) in zip(each, rows, strict=True) if y)) for x in set().union(*each)}
+    want = {x: n for x, n in want.items() if n[0] >= toxicity.LEAST_DOCS}
+    got = {int(np.int64(r.term).view(np.uint64)): (r.n, r.n1) for r in toxicity.counted(some).collect()}
+    assert got == want
+    hashes = np.array(sorted(want), np.uint64)
+    held, y = toxicity.bits(some, hashes)
+    assert held.tolist() == [[int(x) in e for x in hashes] for e in each] and y.tolist() == [r[1] for r in rows]
+
+
+def test_mix_has_an_inverse():
+    x = np.random.default_rng(0).integers(0, 2**64, 1000, np.uint64)
+    assert (unmix(mix(x)) == x).all()
+
+
+def test_sample_takes_one_row_of_an_id(spark):
+    d = spark.createDataFrame([(i % 5, f"t{i % 3}") for i in range(200)] + [(7, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(9)] * 3 + [(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    some = sample(d, labels, "toxic", 100)
+    got = sorted((r.doc_id, r.label, r.text) for r in some.collect())
+    assert got == sorted({(i, y, "t0" if i < 7 else "") for i, y in [*((i, 1) for i in (0, 1, 2, 3, 4, 7)), (1, 0)] if zlib.crc32(str(i).encode()) % 5})
+    assert len(features(some, lambda texts, ids: [str(i).encode() for i in ids])) == len(got)
+    assert sample(d, labels, "toxic", 2).count() <= 2

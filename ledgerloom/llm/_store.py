@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,9 +17,11 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (local tests)."""
+    """The cluster's shared folder. Only a session on this machine alone gets a temporary one if it names none."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")

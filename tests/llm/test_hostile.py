@@ -515,3 +515,19 @@ def test_sample_takes_one_row_of_an_id(spark):
     assert got == sorted({(i, y, "t0" if i < 7 else "") for i, y in [*((i, 1) for i in (0, 1, 2, 3, 4, 7)), (1, 0)] if zlib.crc32(str(i).encode()) % 5})
     assert len(features(some, lambda texts, ids: [str(i).encode() for i in ids])) == len(got)
     assert sample(d, labels, "toxic", 2).count() <= 2
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ledgerloom.llm import _store
+
+    def session(master):
+        conf = {}
+        context = SimpleNamespace(master=master, getConf=lambda: conf)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: conf.get(k, d), set=conf.__setitem__))
+
+    assert _store.shared_dir(session("local[4]")) and _store.shared_dir(session("local"))
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://x"):
+        with pytest.raises(ValueError, match="share"):
+            _store.shared_dir(session(master))

@@ -9,6 +9,7 @@ that are too long to recur aren't remembered.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,11 @@ import pyarrow as pa
 from ._text import span_hashes
 
 
+def alone() -> None:
+    """Let the tokenizers library use one thread in this process: the cores have a task each already."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each span, one span after the other."""
     ends = np.cumsum(lengths)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ._store import pick, ship
 from ._text import SPACE, buffer, pieces
-from ._units import IdTable, Memory, spans
+from ._units import IdTable, Memory, alone, spans
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -173,6 +173,7 @@ class ForcedBoundaryBPE:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> ForcedBoundaryBPE:
+    alone()
     return ForcedBoundaryBPE(path)
 
 

@@ -20,16 +20,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import fresh, pick, ship
 from ._text import FOLD, Words, pieces
-from ._units import IdTable
+from ._units import IdTable, alone
 
 MAGIC = b"LLS8B\0\0\1"
 BLOCK = 1024
 SHARD_IDS = 1 << 20
+#: Bytes of input files for one writer task.
+TASK_BYTES = 256 << 20
+#: part: the writer's task; before: ids in the part's shards before this one.
+SHARDS = "part int, seq int, before long, n_ids long, data binary"
 #: ASCII letters, and marks that no pre-token shares with a letter.
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -159,7 +163,7 @@ def check(spec: dict) -> None:
     before = kinds(spec.get("pre_tokenizer"), "pretokenizers")
     split = next((x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"), {})
     beside = any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
-    if lower != ["NFC", "Lowercase"] or before != ["Split", "ByteLevel"] or (split["behavior"], split["invert"]) != ("Removed", True) or beside or spec["model"].get("dropout"):
+    if lower != ["NFC", "Lowercase"] or before != ["Split", "ByteLevel"] or (split["behavior"], split["invert"]) != ("Removed", True) or beside or spec["model"].get("dropout") or spec["model"].get("end_of_word_suffix") != "</w>":
         raise ValueError("this vocabulary doesn't fold case, drop white space and keep letters and marks apart, or its added tokens take in what stands beside them")
 
 
@@ -181,13 +185,31 @@ class Tokens:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         check(json.loads(self.tokenizer.to_str()))
         self.table = IdTable(self._units)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
+        for token, i in vocab.items():
+            self.last[i] = token.endswith("</w>")
 
     def _units(self, units: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for i in range(0, len(units), 8192):
-            out += [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units[i : i + 8192]], add_special_tokens=False)]
+        out: list[list[int]] = [[]] * len(units)
+        word = [u.isalpha() for u in units]  # ASCII letters: one pre-token each
+        self._words(units, [i for i, w in enumerate(word) if w], out)
+        rest = [i for i, w in enumerate(word) if not w]
+        for a in range(0, len(rest), 8192):
+            part = rest[a : a + 8192]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([units[i].decode() for i in part], add_special_tokens=False), strict=True):
+                out[i] = e.ids
         return out
 
+    def _words(self, units: list[bytes], at: list[int], out: list[list[int]]) -> None:
+        """Words are encoded many at a time, and their ids cut after each that ends a word."""
+        for a in range(0, len(at), 4096):
+            part = at[a : a + 4096]
+            ids = self.tokenizer.encode_batch_fast([b" ".join([units[i] for i in part]).decode()], add_special_tokens=False)[0].ids
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            for i, x, y in zip(part, [0, *ends], ends, strict=False):
+                out[i] = ids[x:y]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
         words = Words.of_column(texts)
@@ -208,6 +230,7 @@ class Tokens:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Tokens:
+    alone()
     return Tokens(path)
 
 
@@ -219,12 +242,15 @@ def _shards(path: str, end: int):
         docs: list[int | None] = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        seq, part = 0, None
+        seq, before, part = 0, 0, None
 
         def flush() -> pa.RecordBatch:
+            nonlocal docs, held, sizes, seq, before
             ids = np.concatenate(held)
             data = write_shard(docs, np.concatenate(sizes), ids)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "data"])
+            row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())]
+            docs, held, sizes, seq, before = [], [], [], seq + 1, before + len(ids)
+            return pa.RecordBatch.from_arrays(row, ["part", "seq", "before", "n_ids", "data"])
 
         for batch in batches:
             part = batch.column(0)[0].as_py() if batch.num_rows else part
@@ -236,7 +262,6 @@ def _shards(path: str, end: int):
                 sizes.append(lengths + 1)
                 if sum(map(len, held)) >= SHARD_IDS:
                     yield flush()
-                    docs, held, sizes, seq = [], [], [], seq + 1
         if held:
             yield flush()
 
@@ -252,27 +277,31 @@ def write_tokens(docs: DataFrame, path: str, to: str, end: int = 2) -> None:
     spark = docs.sparkSession
     ship(spark)
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # as many tasks as the size of the input asks for; rows of one id are dealt by the beginnings of their texts
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // TASK_BYTES), 1)
     order = F.col("doc_id").asc_nulls_first()
-    ranged = docs.repartitionByRange(n, order).sortWithinPartitions(order, "text")
-    shards = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_shards(path, end), "part int, seq int, n_ids long, data binary")
+    ranged = docs.repartitionByRange(n, order, F.substring("text", 1, 16)).sortWithinPartitions(order, "text")
+    shards = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_shards(path, end), SHARDS)
     shards.write.parquet(to)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What the optimizer takes the size of df to be, from the sizes of its files; 0 if it doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, start, ids (u32 bytes) of every document of the shards under ``path``."""
     ship(spark)
-    shards = spark.read.schema("part int, seq int, n_ids long, data binary").parquet(path)
-    # a row a partition comes to the driver: as many as the writer had tasks
+    shards = spark.read.schema(SHARDS).parquet(path)
+    # a row a partition comes to the driver and goes to all tasks: as many as the writer had tasks
     totals = sorted(map(tuple, shards.groupBy("part").agg(F.sum("n_ids")).collect()))
-    before, offsets = 0, []
+    base, offsets = 0, []
     for part, n in totals:
-        offsets.append((part, before))
-        before += n
-    at = spark.createDataFrame(offsets, "part int, base long")
-    heads = shards.select("part", "seq", "n_ids")
-    in_part = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = heads.select("part", "seq", in_part.alias("inside")).join(at, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("start"))
+        offsets.append((part, base))
+        base += n
+    at = F.broadcast(spark.createDataFrame(offsets, "part int, base long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +312,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 rows = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first + ends - lengths, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "start", "ids"])
 
-    return shards.join(starts, ["part", "seq"]).select("start", "data").mapInArrow(run, "doc_id long, start long, ids binary")
+    return shards.join(at, "part").select((F.col("base") + F.col("before")).alias("start"), "data").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

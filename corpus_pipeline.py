@@ -17,12 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): that of the least doc_id."""
-    kept = stored(near_dedup.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id"), "kept")
-    known = kept.filter("doc_id is not null")
-    out = docs.join(known.distinct(), "doc_id", "left_semi").select(*docs.columns)
-    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])  # repeated rows are one group
-    return out.unionByName(docs.filter("doc_id is null"))
+    return near_dedup.deduplicated(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

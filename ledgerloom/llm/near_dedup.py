@@ -2,19 +2,26 @@
 
 1. One pass over the texts makes, per document, the set of distinct word shingles,
    its digest, a MinHash signature and the band keys of that signature.
-2. Equal sets are folded on their digest; only representatives go on.
+2. Equal sets are folded on their digest of 128 bits; only representatives go on.
 3. Band buckets propose candidates. A bucket is never expanded into its pairs: its
-   smallest document is the pivot, and (pivot, member) pairs are compared, batch of
-   signature rows after batch. A pair is dropped as soon as the posterior probability
-   of reaching the threshold is below ``miss``; survivors are verified on the full
-   shingle sets.
+   smallest document is the pivot, and (pivot, member) pairs are compared by their
+   signatures, batch of rows after batch. A pair is dropped as soon as the posterior
+   probability of reaching the threshold is below ``miss``. Survivors are verified on
+   the full shingle sets, in chunks of at most about CHUNK members of one pivot: texts
+   are read for survivors only, and the pivot's once a chunk.
 4. The buckets of one pivot form a group. One whose members all link to the pivot is
    done, as it is connected. The members of any other are dealt into blocks of about
    BLOCK, and each pair of blocks goes to a task of its own, which compares signatures
-   in the same way and skips what is connected already. No pair leaves a task but
+   in the same way and skips what is connected already; then texts are read for those
+   members that a candidate of that pair of blocks is left of. No pair leaves a task but
    verified links, at most one a member; no pair of a bucket is left uncompared.
 5. Connected components of the links, by alternating min-label rounds on tables.
 
+Tables that a hot key or pivot is joined with are written first, so that both sides of
+the join are plain shuffles, whose large partitions Spark splits (adaptive skew join).
+Texts are dealt by a sort-merge join at every size, as what they are joined with grows
+with them.
+
 Bands of 4 rows, 32 of them: a pair at similarity 0.8 is missed with probability
 (1 - 0.8**4)**32 < 5e-8; the posterior bound adds ``miss`` = 1e-6.
 """
@@ -22,7 +29,6 @@ Bands of 4 rows, 32 of them: a pair at similarity 0.8 is missed with probability
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import pick, ship, stored
+from ._store import numbered, pick, ship, stored
 from ._text import Words, constants, mix, pieces, windows
 
 ROWS, BANDS = 4, 32
 SIGNATURE = ROWS * BANDS
 BATCH = 32
 MISS = 1e-6
-BLOCK = 512
+BLOCK, CHUNK = 512, 256
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -73,7 +79,11 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _profile(k: int):
-    """docs(doc_id, text, th) -> doc_id, th, n, d0, d1, sig (a byte a row), bands (of non-empty sets)."""
+    """docs(doc_id, text, th) -> doc_id, th, n, d0, d1, sig (a byte a row), bands (of non-empty sets).
+
+    A row's byte is taken of its mixed minimum: minima of large sets are all small, and
+    their own leading bytes would agree by chance.
+    """
     schema = "doc_id long, th long, n long, d0 long, d1 long, sig binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +103,7 @@ def _profile(k: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests[:, 0]),
                         pa.array(digests[:, 1]),
-                        pa.array([x.tobytes() for x in (full >> np.uint64(56)).astype(np.uint8)], pa.binary()),
+                        pa.array([x.tobytes() for x in (mix(full) >> np.uint64(56)).astype(np.uint8)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1))),
                     ],
                     ["doc_id", "th", "n", "d0", "d1", "sig", "bands"],
@@ -141,20 +151,6 @@ def _prune(threshold: float, miss: float):
     return run
 
 
-class _Sets:
-    """Shingle sets of the last few texts, by id."""
-
-    def __init__(self, k: int, most: int = 64):
-        self.k, self.most, self.held = k, most, OrderedDict()
-
-    def get(self, ident: int, text: str) -> np.ndarray:
-        if ident not in self.held:
-            self.held[ident] = shingle_sets(pa.array([text], pa.large_string()), self.k)[0]
-            while len(self.held) > self.most:
-                self.held.popitem(last=False)
-        return self.held[ident]
-
-
 def common(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if not len(x) or not len(y):
@@ -169,14 +165,17 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _verify(k: int, percent: int):
-    """Pairs with both texts -> the pairs whose full sets reach the threshold."""
+    """A chunk of one pivot's members, and the pivot, with their texts -> the pairs whose full sets reach the threshold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = _Sets(k)
-        for batch in batches:
-            p, d, tp, td = (batch.column(n).to_pylist() for n in ("pivot", "doc", "text_a", "text_b"))
-            keep = [linked(sets.get(p[i], tp[i]), shingle_sets(pa.array([td[i]], pa.large_string()), k)[0], percent) for i in range(len(p))]
-            yield batch.select(["pivot", "doc"]).filter(pa.array(keep, pa.bool_()))
+    def run(table: pa.Table) -> pa.Table:
+        docs, pivots = table.column("doc").to_numpy(), table.column("pivot").to_numpy()
+        texts = table.column("text").combine_chunks()
+        first = int(np.flatnonzero(docs == pivots)[0])
+        pivot = shingle_sets(texts.slice(first, 1), k)[0]
+        kept = []
+        for a, part in pieces(texts):
+            kept += [i for i, x in enumerate(shingle_sets(part, k), a) if docs[i] != pivots[i] and linked(pivot, x, percent)]
+        return pa.table({"pivot": pa.array(pivots[kept], pa.int64()), "doc": pa.array(docs[kept], pa.int64())})
 
     return run
 
@@ -203,38 +202,52 @@ def overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return both[pairs[:, 0], pairs[:, 1]].astype(np.int64)
 
 
+def _candidates(table: pa.Table, percent: int, miss: float) -> np.ndarray:
+    """Pairs (i, j) of a pair of blocks' rows that aren't connected yet and that the posterior bound keeps."""
+    least = least_matches(percent / 100, miss)
+    cls, n, block = (table.column(c).to_numpy() for c in ("cls", "n", "block"))
+    sig = _bytes(table.column("sig"))
+    two = len(np.unique(block)) > 1
+    kept = [np.zeros((0, 2), np.int64)]
+    for i in range(len(cls) - 1):
+        j = np.arange(i + 1, len(cls))
+        near = (cls[j] != cls[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+        j = j[near & (block[j] != block[i])] if two else j[near]
+        matches = np.zeros(len(j), np.int64)
+        for q, m in enumerate(least):
+            part = slice(q * BATCH, (q + 1) * BATCH)
+            matches = matches + np.count_nonzero(sig[j, part] == sig[i, part], axis=1)
+            j, matches = j[matches >= m], matches[matches >= m]
+            if not len(j):
+                break
+        kept.append(np.stack([np.full(len(j), i), j], 1))
+    return np.concatenate(kept)
+
+
+def _wanted(percent: int, miss: float):
+    """One pair of blocks of an unfinished group, without texts -> its members that have a candidate in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(np.unique(_candidates(table, percent, miss)))).select(["pivot", "x", "y", "block", "doc", "cls", "n", "sig"])
+
+    return run
+
+
 def _blocks(k: int, percent: int, miss: float):
-    """One pair of blocks of an unfinished group -> links that connect what is linked in it.
+    """Such members with their texts -> links that connect what is linked among them.
 
-    Rows: doc, cls, n, sig, text. Members of one class are connected already; classes
-    are merged as links are found, so that at most one link a member goes out.
+    Members of one class are connected already; classes are merged as links are found,
+    so that at most one link a member goes out.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        least = least_matches(percent / 100, miss)
-        docs, cls, n, block = (table.column(c).to_numpy() for c in ("doc", "cls", "n", "block"))
-        sig = _bytes(table.column("sig"))
-        two = len(np.unique(block)) > 1
-        kept = []
-        for i in range(len(docs) - 1):
-            j = np.arange(i + 1, len(docs))
-            near = (cls[j] != cls[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
-            j = j[near & (block[j] != block[i])] if two else j[near]
-            matches = np.zeros(len(j), np.int64)
-            for q, m in enumerate(least):
-                part = slice(q * BATCH, (q + 1) * BATCH)
-                matches = matches + np.count_nonzero(sig[j, part] == sig[i, part], axis=1)
-                j, matches = j[matches >= m], matches[matches >= m]
-                if not len(j):
-                    break
-            kept.append(np.stack([np.full(len(j), i), j], 1))
-        pairs = np.concatenate(kept) if kept else np.zeros((0, 2), np.int64)
+        docs, cls, n = (table.column(c).to_numpy() for c in ("doc", "cls", "n"))
+        pairs = _candidates(table, percent, miss)
         out = []
         if len(pairs):
             used, where = np.unique(pairs, return_inverse=True)
             texts = table.column("text").combine_chunks().take(pa.array(used))
-            pairs_in = where.reshape(-1, 2)
-            both = overlaps(shingle_sets(texts, k), pairs_in)
+            both = overlaps([x for _, part in pieces(texts) for x in shingle_sets(part, k)], where.reshape(-1, 2))
             union = n[pairs[:, 0]] + n[pairs[:, 1]] - both
             class_ = dict(zip(cls.tolist(), cls.tolist(), strict=True))
 
@@ -261,34 +274,57 @@ def _links(reps: DataFrame, docs: DataFrame, repeated: bool, k: int, percent: in
     doc_id, th, text; ``repeated`` tells that some (doc_id, th) stand there twice.
     """
     keyed = reps.select("doc", F.explode("bands").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    members = stored(keyed.join(pivots, "key").filter("doc <> pivot").select("pivot", "doc").distinct(), "members")
+    buckets = keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    buckets = stored(buckets, "buckets")
+    members = stored(keyed.join(buckets, "key").filter("doc <> pivot").select("pivot", "doc").distinct(), "members")
     active = members.select("doc").union(members.select("pivot")).distinct()
-    # texts are dealt once, and only those of candidates are kept
-    texts = docs.join(reps.join(active, "doc", "left_semi").select("doc_id", "th", "doc", "n", "sig"), ["doc_id", "th"]).select("doc", "text", "n", "sig")
-    texts = stored(texts.dropDuplicates(["doc"]) if repeated else texts, "texts")
+    signed = stored(reps.join(active, "doc", "left_semi").select("doc", "n", "sig", "doc_id", "th"), "signed")
 
-    def both(df: DataFrame, *names: str) -> DataFrame:
-        for on, a in (("pivot", "a"), ("doc", "b")):
-            df = df.join(texts.select(F.col("doc").alias(on), *[F.col(n).alias(f"{n}_{a}") for n in names]), on)
-        return df
+    pairs = members
+    for on, a in (("pivot", "a"), ("doc", "b")):
+        pairs = pairs.join(signed.select(F.col("doc").alias(on), F.col("n").alias(f"n_{a}"), F.col("sig").alias(f"sig_{a}")), on)
+    pairs = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    alive = stored(pairs.select("pivot", "doc", "sig_a", "sig_b").mapInArrow(_prune(percent / 100, miss), "pivot long, doc long"), "alive")
 
-    pairs = both(members, "n", "sig").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    alive = pairs.select("pivot", "doc", "sig_a", "sig_b").mapInArrow(_prune(percent / 100, miss), "pivot long, doc long")
-    links = stored(both(alive, "text").mapInArrow(_verify(k, percent), "pivot long, doc long"), "links")
+    # a group that the signatures tell apart from its pivot has no text read yet, but some of its members may link
+    texts = docs.hint("merge").join(signed.select("doc", "doc_id", "th"), ["doc_id", "th"]).select("doc", "text")
+    texts = stored(texts.dropDuplicates(["doc"]) if repeated else texts, "texts")
+    chunks = alive.groupBy("pivot").agg(F.expr(f"cast((count(1) + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks"))
+    chunks = stored(chunks, "chunks")
+    dealt = alive.join(chunks, "pivot").select("pivot", F.expr("cast(pmod(xxhash64(doc, pivot), chunks) as int)").alias("chunk"), "doc")
+    dealt = dealt.unionByName(chunks.select("pivot", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.col("pivot").alias("doc")))
+    links = stored(dealt.join(texts, "doc").groupBy("pivot", "chunk").applyInArrow(_verify(k, percent), "pivot long, doc long"), "links")
 
     seen = members.join(links.withColumn("hit", F.lit(True)), ["pivot", "doc"], "left")
-    seen = seen.select("pivot", "doc", F.expr("if(hit, pivot, doc)").alias("cls"))
+    seen = stored(seen.select("pivot", "doc", F.expr("if(hit, pivot, doc)").alias("cls")), "seen")
     # a group is done once its members are connected: all with the pivot, or one alone
     sizes = seen.groupBy("pivot").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("m")).filter("a <> b")
-    rest = seen.join(sizes.select("pivot", F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")), "pivot")
+    sizes = stored(sizes.select("pivot", F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")), "sizes")
+    rest = seen.join(sizes, "pivot")
     rest = rest.withColumn("block", F.expr("cast(pmod(xxhash64(doc, pivot), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rest = rest.select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc", "cls")
-    rest = rest.join(texts, "doc")
-    more = rest.groupBy("pivot", "x", "y").applyInArrow(_blocks(k, percent, miss), "pivot long, doc long")
+    rest = rest.join(signed.select("doc", "n", "sig"), "doc")
+    wanted = rest.groupBy("pivot", "x", "y").applyInArrow(_wanted(percent, miss), "pivot long, x int, y int, block int, doc long, cls long, n long, sig binary")
+    wanted = stored(wanted, "wanted").join(texts, "doc")
+    more = wanted.groupBy("pivot", "x", "y").applyInArrow(_blocks(k, percent, miss), "pivot long, doc long")
     return links.unionByName(stored(more, "links"))
 
 
+def named_apart(reps: DataFrame) -> DataFrame:
+    """reps(doc, d0, d1, n, ...), of whose names ``doc`` some may agree, with a name of its own for each.
+
+    Names are 64 bits of the digests: among 10**10 documents a few agree.
+    """
+    turn = 0
+    while True:
+        twice = reps.groupBy("doc").agg(F.min(F.struct("d0", "d1", "n")).alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+        if twice.isEmpty():
+            return reps
+        stays = F.col("least").isNull() | (F.col("least") == F.struct("d0", "d1", "n"))
+        renamed = reps.join(stored(twice, "twice"), "doc", "left").withColumn("doc", F.when(stays, F.col("doc")).otherwise(F.xxhash64("d0", "d1", "n", F.lit(turn))))
+        reps, turn = stored(renamed.select(*reps.columns), "reps"), turn + 1
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> node, component: the least node reachable, for every node with a link.
 
@@ -308,6 +344,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+def _grouped(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles and component_id of every row of docs(doc_id, text, th)."""
+    run, schema = _profile(k)
+    prof = stored(docs.mapInArrow(run, schema), "profiles")
+    real = prof.filter("n > 0 and doc_id is not null")
+    least = F.min(F.struct("doc_id", "th")).alias("least")
+    # a representative is named by its digest, as doc_ids may repeat
+    reps = real.groupBy("d0", "d1", "n").agg(least, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = stored(reps.select(F.col("d0").alias("doc"), "d0", "d1", "n", F.col("least.doc_id").alias("doc_id"), F.col("least.th").alias("th"), "sig", "bands"), "reps")
+    reps = named_apart(reps)
+    repeated = not real.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
+    links = _links(reps, docs, repeated, k, percent, miss)
+    comps = components(links.select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
+    names = reps.select("doc", "d0", "d1", "n", F.col("doc_id").alias("first_id")).join(comps, F.col("doc") == F.col("node"), "left")
+    named = stored(names.select("d0", "d1", "n", "first_id", F.coalesce("component", "doc").alias("component")), "named")
+    least = stored(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    named = stored(named.join(least, "component").select("d0", "d1", "n", "component_id"), "named")
+    shaped = ["doc_id", "th", F.col("n").alias("n_shingles"), "component_id"]
+    out = real.join(named, ["d0", "d1", "n"]).select(*shaped)
+    return out.unionByName(prof.filter("not (n > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id")).select(*shaped))
+
+
+def _shaped(docs: DataFrame) -> DataFrame:
+    docs = pick(docs, "doc_id", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -319,21 +382,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     names. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
-    run, schema = _profile(k)
-    prof = stored(docs.mapInArrow(run, schema), "profiles")
-    real = prof.filter("n > 0 and doc_id is not null")
-    least = F.min(F.struct("doc_id", "th")).alias("least")
-    # a representative is named by its digest, as doc_ids may repeat
-    reps = real.groupBy("d0", "d1", "n").agg(least, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    reps = stored(reps.select(F.col("d0").alias("doc"), "d1", "n", F.col("least.doc_id").alias("doc_id"), F.col("least.th").alias("th"), "sig", "bands"), "reps")
-    repeated = not real.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
-    links = _links(reps, docs, repeated, k, percent, miss)
-    comps = components(links.select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
-    named = stored(reps.select("doc", "n", "d1", F.col("doc_id").alias("first_id")).join(comps, F.col("doc") == F.col("node"), "left").select("doc", "d1", "n", "first_id", F.coalesce("component", "doc").alias("component")), "named")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select(F.col("doc").alias("d0"), "d1", "n", "component_id")
-    shaped = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
-    out = real.join(named, ["d0", "d1", "n"]).select(*shaped)
-    out = out.unionByName(prof.filter("not (n > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id")).select(*shaped))
+    out = _grouped(_shaped(docs), k, percent, miss).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """One row of docs for each group of near-duplicates: that of the least doc_id, with all its columns as they were.
+
+    Of several rows with that doc_id the one of the least text hash stays, and of rows
+    that agree in both any one. Rows with a null doc_id stay, as do those without words,
+    of which repeated ones count once. Columns may have any names.
+    """
+    ship(docs.sparkSession)
+    names, plain = docs.columns, numbered(docs)
+    ids, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    groups = stored(_grouped(_shaped(docs), k, percent, miss).filter("doc_id is not null"), "groups")
+    own = groups.filter("doc_id = component_id")
+    first = F.expr("if(n_shingles > 0, null, th)")  # word-less texts of one doc_id are groups of their own
+    kept = own.groupBy("doc_id", first.alias("empty")).agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("m"))
+    # what goes are far fewer rows than what stays
+    stays = kept.select("doc_id", "th", F.lit(True).alias("stays"))
+    gone = stored(groups.select("doc_id", "th").distinct().join(stays, ["doc_id", "th"], "left_anti"), "gone")
+    th = F.xxhash64(F.col(text).cast("string"))
+    left = plain.hint("merge").join(gone.toDF("g0", "g1"), (F.col(ids).cast("long") == F.col("g0")) & (th == F.col("g1")), "left_anti")
+    if not own.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+        again = own.groupBy("doc_id", "th").count().filter("count > 1").select("doc_id", "th").toDF("g0", "g1")
+        match = (F.col(ids).cast("long") == F.col("g0")) & (th == F.col("g1"))
+        one = left.join(again, match, "left_semi").dropDuplicates([ids, text])
+        left = left.join(again, match, "left_anti").unionByName(one)
+    return left.toDF(*names)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, html_text, pii, quality_classifier, quality_rules, token_files, toxicity, url_rules
+from ledgerloom.llm import bpe, decontaminate, html_text, near_dedup, pii, quality_classifier, quality_rules, token_files, toxicity, url_rules
 from ledgerloom.llm._labelled import features, sample
 from ledgerloom.llm._text import mix, unmix
 from ledgerloom.llm._units import IdTable
@@ -531,3 +531,64 @@ def test_no_folder_of_one_machine_on_a_cluster():
     for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://x"):
         with pytest.raises(ValueError, match="share"):
             _store.shared_dir(session(master))
+
+
+# near-duplicates
+
+
+def hot_rows():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(4))
+    hot = [word() for _ in range(60)]
+    rows = [(i, " ".join(word() if rng.random() < 0.03 else w for w in hot)) for i in range(10, 70)]
+    rows += [(i, " ".join(word() for _ in range(30))) for i in range(100, 120)]
+    return rows + [(i + 200, t) for i, t in rows[:5]]
+
+
+def test_names_that_agree_are_told_apart(spark, monkeypatch):
+    """With eight names for all texts, unlinked ones share names all over."""
+    from test_text_ops import brute_near
+
+    rows = hot_rows()
+    monkeypatch.setattr(near_dedup, "CHUNK", 8)
+    whole = near_dedup.signature
+    want = brute_near(rows, 4, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("th"))
+    monkeypatch.setattr(near_dedup, "stored", agreeing(near_dedup.stored))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup._grouped(df, 4, 80, near_dedup.MISS).collect()}
+    assert got == want and whole is near_dedup.signature
+
+
+def agreeing(stored):
+    def out(df, name):
+        if name == "reps" and dict(df.dtypes).get("least") is None and "sig" in df.columns and not agreeing.done:
+            agreeing.done = True
+            df = df.withColumn("doc", F.pmod("d0", F.lit(8)))
+        return stored(df, name)
+
+    agreeing.done = False
+    return out
+
+
+def test_deduplicated_keeps_one_row_of_a_group(spark):
+    from test_text_ops import brute_near
+
+    rows = hot_rows()
+    want = {i for i, (_, c) in brute_near(rows, 5, 80).items() if i == c}
+    df = spark.createDataFrame([(i, t, t[:3], i) for i, t in rows], "doc_id long, text string, Text string, n int")
+    got = near_dedup.deduplicated(df).collect()
+    assert sorted(r[0] for r in got) == sorted(want) and all(r[2] == r[1][:3] and r[3] == r[0] for r in got)
+    odd = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "z y x w v u"), (2, "z y x w v u"), (2, "A b c d e f"), (3, None), (3, None), (3, ""), (None, "a b c d e f"), (None, None)]
+    got = near_dedup.deduplicated(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    by = sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in got)
+    assert [k[1] for k, _ in by] == [1, 3, 3, 0, 0] and by[0][1] in ("a b c d e f", "z y x w v u")
+
+
+def test_signatures_of_long_texts_tell_texts_apart():
+    rng = np.random.default_rng(1)
+    a, b = (np.unique(rng.integers(0, 2**64, 3000, np.uint64)) for _ in range(2))
+    run, _ = near_dedup._profile(1)
+    texts = pa.array([" ".join(map(str, x.tolist())) for x in (a, b)])
+    got = next(run([pa.record_batch([pa.array([1, 2]), texts, pa.array([1, 2])], ["doc_id", "text", "th"])]))
+    sig = near_dedup._bytes(got.column("sig"))
+    assert (sig[0] == sig[1]).sum() < 10

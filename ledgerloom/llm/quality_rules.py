@@ -35,7 +35,7 @@ TRAIN_DOCS, TRAIN_LINES = 4000, 256
 #: A line is repeated if it is at least this part of all lines, and stands in so many documents.
 REPEATED, LEAST_DOCS = 20_000, 3
 #: Times that the field's own decoding gives the labels it is fitted to, and steps of each fit.
-TURNS, STEPS = 4, 80
+TURNS, STEPS = 4, 120
 #: Least share of words in content lines of a document that stays.
 CONTENT_SHARE = 0.5
 FEATURES = ("bias", "symbols", "upper", "shouts", "repeated line", "in repeated windows", "word twice", "short", "digits", "length", "clean length", "repeated alone")
@@ -223,7 +223,7 @@ def held_to(parts: Lines, y: np.ndarray, score: np.ndarray, labels: np.ndarray)
     return y
 
 
-def climb(field: Field, parts: Lines, y: np.ndarray, decay: float = 1e-3) -> None:
+def climb(field: Field, parts: Lines, y: np.ndarray, decay: float = 1e-4) -> None:
     """STEPS steps of AdaGrad up the likelihood of the lines' labels."""
     seen = [np.full(field.unary.shape, 1e-8), np.full((2, 2), 1e-8)]
     for _ in range(STEPS):

@@ -81,6 +81,10 @@ def admissibility(title: Column, snippet: Column, stage_nature: Column, work_mod
     )
 
 
+#: Patterns that one expression of a plan may hold.
+MOST_PATTERNS = 2000
+
+
 def attribute(cards: DataFrame, aggregators: DataFrame, company: str = "company", fold=None) -> DataFrame:
     """cards with ``aggregator``, the first pattern of aggregators(pattern, entry_ord) whose words stand in the company's name.
 
@@ -88,7 +92,9 @@ def attribute(cards: DataFrame, aggregators: DataFrame, company: str = "company"
     so no join is needed and no row of cards moves.
     """
     names = {"fold": fold} if fold else {}
-    patterns = [r[0] for r in aggregators.orderBy("entry_ord").select("pattern").collect()]
+    patterns = [r[0] for r in aggregators.orderBy("entry_ord").select("pattern").limit(MOST_PATTERNS + 1).collect()]
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns: too many for one expression")
     padded = F.concat(F.lit(" "), norm_company(F.col(company), **names), F.lit(" "))
     hit = F.lit(None).cast("string")
     for p in reversed(patterns):

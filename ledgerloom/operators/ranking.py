@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.normalize import LEFT, RIGHT, text
 from .gates import intern_signal
 
+#: Keys that are broadcast at most.
+MOST_BROADCAST = 100_000
+
 
 def literal_words(term: str) -> str:
     """A term as a pattern between ASCII word boundaries."""
@@ -15,38 +18,55 @@ def literal_words(term: str) -> str:
     return f"(?i){LEFT}{safe}{RIGHT}"
 
 
-def score(title: Column, snippet: Column, false_friends: list[str], terms: list[str]) -> tuple[Column, Column]:
-    """(score in 0..1, reasons). Terms are counted as often as they are listed."""
-    title, hay = text(title), F.concat(text(title), F.lit("\n"), text(snippet))
-    in_title, in_text = intern_signal(title), intern_signal(hay)
-    value = F.lit(0.3) + F.when(in_title, F.lit(0.3)).when(in_text, F.lit(0.15)).otherwise(F.lit(0.0))
-    first = F.lit(None).cast("string")
-    for t in reversed([t for t in false_friends if t]):
-        first = F.when(hay.rlike(literal_words(t)), t).otherwise(first)
-    value = value - F.when(first.isNotNull(), F.lit(0.25)).otherwise(F.lit(0.0))
-    terms = [t for t in terms if t]
-    hits = sum((F.when(hay.rlike(literal_words(t)), 1).otherwise(0) for t in terms), F.lit(0))
+def stands_in(hay: Column, low: Column, term: str) -> Column:
+    """Whether a term stands in ``hay`` as words; ``low`` is hay in lower case, which is searched first as that is cheap."""
+    found = hay.rlike(literal_words(term))
+    return F.contains(low, F.lit(term.lower())) & found if term.isascii() else found
+
+
+def with_score(df: DataFrame, title: Column, snippet: Column, false_friends: list[str], terms: list[str]) -> DataFrame:
+    """df with ``score`` (0..1) and ``reasons``. Terms are counted as often as they are listed.
+
+    Each text is searched once for each term, in a projection of its own: within the
+    branches of the score and of the reasons the searches would be repeated.
+    """
+    friends, terms = [t for t in false_friends if t], [t for t in terms if t]
+    each = list(dict.fromkeys([*friends, *terms]))
+    names = df.columns
+    hay = F.concat(text(title), F.lit("\n"), text(snippet))
+    out = df.select(*[F.col(f"`{c}`") for c in names], text(title).alias("_title"), hay.alias("_hay"), F.lower(hay).alias("_low"))
+    flags = [intern_signal(F.col("_title")).alias("_in_title"), F.when(intern_signal(F.col("_title")), False).otherwise(intern_signal(F.col("_hay"))).alias("_in_text")]
+    flags += [stands_in(F.col("_hay"), F.col("_low"), t).alias(f"_t{i}") for i, t in enumerate(each)]
+    out = out.select(*[F.col(f"`{c}`") for c in names], *flags)
+    flag = lambda t: F.col(f"_t{each.index(t)}")
+    first = F.coalesce(*[F.when(flag(t), t) for t in friends]) if friends else F.lit(None).cast("string")
+    hits = sum((flag(t).cast("int") for t in terms), F.lit(0))
+    value = F.lit(0.3) + F.when(F.col("_in_title"), 0.3).when(F.col("_in_text"), 0.15).otherwise(0.0) - F.when(first.isNotNull(), 0.25).otherwise(0.0)
     if terms:
         value = value + hits / F.lit(float(len(terms))) * F.lit(0.25)
     reasons = F.array(
-        F.when(in_title, "intern-signal-in-title").when(in_text, "intern-signal-in-snippet"),
+        F.when(F.col("_in_title"), "intern-signal-in-title").when(F.col("_in_text"), "intern-signal-in-snippet"),
         F.concat(F.lit("false-friend:"), first),
         F.when(hits > 0, F.concat(F.lit("query-terms:"), hits.cast("string"), F.lit(f"/{len(terms)}"))) if terms else F.lit(None).cast("string"),
     )
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), F.array_compact(reasons)
+    return out.select(*[F.col(f"`{c}`") for c in names], F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("score"), F.array_compact(reasons).alias("reasons"))
 
 
 def term_hits(df: DataFrame, hay: Column, terms: list[str]) -> DataFrame:
     """term, hits: how many rows each term stands in, zero included. One pass, one row out before the unpivot."""
-    sums = [F.coalesce(F.sum(hay.rlike(literal_words(t)).cast("long")), F.lit(0)).alias(f"t{i}") for i, t in enumerate(terms)]
+    df = df.select(hay.alias("_hay"), F.lower(hay).alias("_low"))
+    sums = [F.count_if(stands_in(F.col("_hay"), F.col("_low"), t)).alias(f"t{i}") for i, t in enumerate(terms)]
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").alias("hits")) for i, t in enumerate(terms)])
     return df.agg(*sums).select(F.explode(pairs).alias("x")).select("x.*")
 
 
 def split_top(df: DataFrame, k: int, order: list[Column], key: str) -> DataFrame:
-    """df with ``top``: true for the first k rows. Only k keys are found by a sort, so no window spans the table."""
+    """df with ``top``: true for the first k rows. Only k keys are found by a sort, so no window spans the table.
+
+    ``order`` should end with a unique column. The k keys are broadcast up to MOST_BROADCAST of them.
+    """
     first = df.orderBy(*order).limit(k).select(key).withColumn("top", F.lit(True))
-    return df.join(F.broadcast(first), key, "left").withColumn("top", F.coalesce("top", F.lit(False)))
+    return df.join(F.broadcast(first) if k <= MOST_BROADCAST else first, key, "left").withColumn("top", F.coalesce("top", F.lit(False)))
 
 
 def round_robin(df: DataFrame, area: str, within: list[str], area_order: str) -> DataFrame:

@@ -18,18 +18,19 @@ NEW_ROW = {"Contact Search Status": "New job found", "Outreach Decision": "Revie
 
 
 class Refused(ValueError):
-    """Input that breaks the contract; carries every problem found."""
+    """Input that breaks the contract; carries the problems found and their number, which may be greater."""
 
-    def __init__(self, problems: list[str]):
-        super().__init__("; ".join(problems[:10]))
-        self.problems = problems
+    def __init__(self, problems: list[str], n: int | None = None):
+        self.problems, self.n = problems, len(problems) if n is None else n
+        super().__init__("; ".join(problems[:10]) + (f" ({self.n} problems)" if self.n > 10 else ""))
 
 
 def explode_roles(companies: DataFrame, key: str, title: str = "Matching Job Titles", shared: tuple[str, ...] = ("Job Links", "Locations", "Matching Score")) -> DataFrame:
     """One row per title, with the value of the same index of each shared column, or its first."""
-    df = companies.select("*", F.posexplode(split_cell(F.col(f"`{title}`"), title)).alias("i", "role_title"))
-    cells = [at_index(split_cell(F.col(f"`{c}`"), c), F.col("i")).alias(f"role_{c}") for c in shared]
-    return df.select(key, "i", "role_title", *cells)
+    # each cell is split once a company, not once a role
+    cells = companies.select(key, split_cell(F.col(f"`{title}`"), title).alias("titles"), *[split_cell(F.col(f"`{c}`"), c).alias(f"cells{j}") for j, c in enumerate(shared)])
+    roles = F.transform("titles", lambda t, i: F.struct(i.alias("i"), t.alias("role_title"), *[at_index(F.col(f"cells{j}"), i).alias(f"role_{c}") for j, c in enumerate(shared)]))
+    return cells.select(key, F.explode(roles).alias("r")).select(key, "r.*")
 
 
 def regroup(roles: DataFrame, key: str, label: str, score: str, order: str, numbered: list[str], distinct: list[str]) -> DataFrame:
@@ -72,11 +73,11 @@ def problems(status: Column, decision: Column, verification: Column, dates: dict
     return F.array_compact(F.array(*checks))
 
 
-def refuse_on(df: DataFrame, column: str = "problem") -> None:
-    """Raise with every problem, up to a thousand; without one do nothing."""
-    found = [r[0] for r in df.select(column).limit(1000).collect()]
-    if found:
-        raise Refused(found)
+def refuse_on(df: DataFrame, column: str = "problem", most: int = 1000) -> None:
+    """Raise if there is a problem, with the number of all and the first ``most`` in order of their texts."""
+    n = df.count()
+    if n:
+        raise Refused([r[0] for r in df.select(column).orderBy(column).limit(most).collect()], n)
 
 
 def evidence_fill(df: DataFrame, columns: list[str]) -> DataFrame:

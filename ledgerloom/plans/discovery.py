@@ -52,8 +52,8 @@ def run(cards: DataFrame, config: Config, aggregators: DataFrame, history: tuple
     merged = dedup.merge_cards(open_)
     keyed = merged.withColumn("norm_company", norm_company(F.col("company"), fold)).withColumn("url_norm", normalize_url(F.col("url"))).withColumn("role_key", role_key(F.col("company"), F.col("title"), F.col("location"), fold))
     fresh = matching.history_verdict(keyed, *history)
-    value, _ = ranking.score(F.col("title"), F.col("snippet"), config.false_friends, [t for ts in config.areas.values() for t in ts])
-    scored = fresh.withColumn("score", F.when(F.col("reason").isNull(), value))
+    scored = ranking.with_score(fresh, F.col("title"), F.col("snippet"), config.false_friends, [t for ts in config.areas.values() for t in ts])
+    scored = scored.withColumn("score", F.when(F.col("reason").isNull(), F.col("score")))
     first = scored.filter("reason is null").orderBy(F.col("score").desc(), "ord").limit(config.top_k).select("ord").withColumn("top", F.lit(True))
     # at most top_k rows
     ended = scored.join(F.broadcast(first), "ord", "left")

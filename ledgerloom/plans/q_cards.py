@@ -69,8 +69,7 @@ def identity_index(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 9 == 0, "Design internship").otherwise("Report").alias("title"))
-    value, reasons = ranking.score(F.col("title"), F.col("text"), list(FRIENDS), list(TERMS))
-    return docs.select("doc_id", value.alias("score"), reasons.alias("reasons"))
+    return ranking.with_score(docs, F.col("title"), F.col("text"), list(FRIENDS), list(TERMS)).select("doc_id", "score", "reasons")
 
 
 def prefilter_score(spark: SparkSession, d: str) -> DataFrame:

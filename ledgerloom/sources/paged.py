@@ -4,8 +4,11 @@
     spark.read.format("paged").option("root", folder).option("queries", "a|b").option("places", "x|y").load()
 
 A page is ``root/<query>/<place>/<number>.html``; pairs named in ``done`` are skipped,
-so an interrupted run goes on where it stopped. A network fetcher has the same shape:
-override ``PagedReader.fetch``, which already waits between requests.
+so an interrupted run goes on where it stopped. Pages are read up to the first that is
+missing, or up to ``pages`` of them where that is given. All requests of a source are
+sent ``gap_seconds`` apart, whatever the number of tasks: the pairs are dealt to
+``lanes`` partitions (one by default), and each lane waits lanes times the gap. A network
+fetcher has the same shape: override ``PagedReader.fetch``.
 """
 
 from __future__ import annotations
@@ -17,10 +20,14 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..operators.registry import Refused
 
-class Pair(InputPartition):
-    def __init__(self, query: str, place: str, ord_: int):
-        self.query, self.place, self.ord = query, place, ord_
+
+class Lane(InputPartition):
+    """(query, place, ord) of the pairs that one task reads, in turn."""
+
+    def __init__(self, number: int, pairs: list[tuple[str, str, int]]):
+        self.number, self.pairs = number, pairs
 
 
 class PagedSource(DataSource):
@@ -41,11 +48,13 @@ class PagedReader(DataSourceReader):
         self.root = options["root"]
         self.queries, self.places, self.done = split("queries"), split("places"), set(split("done"))
         self.gap = float(options.get("gap_seconds", 0))
-        self.pages = int(options.get("pages", 10))
+        self.pages = int(options["pages"]) if "pages" in options else None
+        self.lanes = int(options.get("lanes", 1 if self.gap else max(1, len(self.queries) * len(self.places))))
 
-    def partitions(self) -> list[Pair]:
+    def partitions(self) -> list[Lane]:
         pairs = [(q, p) for q in self.queries for p in self.places]
-        return [Pair(q, p, i) for i, (q, p) in enumerate(pairs) if f"{q} — {p}" not in self.done]
+        left = [(q, p, i) for i, (q, p) in enumerate(pairs) if f"{q} — {p}" not in self.done]
+        return [Lane(n, left[n :: self.lanes]) for n in range(self.lanes) if left[n :: self.lanes]]
 
     def fetch(self, query: str, place: str, page: int) -> str | None:
         path = os.path.join(self.root, query, place, f"{page}.html")
@@ -54,11 +63,23 @@ class PagedReader(DataSourceReader):
         with open(path, encoding="utf-8") as f:
             return f.read()
 
-    def read(self, partition: Pair) -> Iterator[tuple]:
-        for page in range(self.pages):
-            if page and self.gap:
-                time.sleep(self.gap)
-            html = self.fetch(partition.query, partition.place, page)
-            if html is None:
-                return
-            yield partition.query, partition.place, page, html, partition.ord * 1000 + page
+    def read(self, partition: Lane) -> Iterator[tuple]:
+        time.sleep(partition.number * self.gap)  # lanes start one gap apart and stay so
+        sent = False
+        for query, place, ord_ in partition.pairs:
+            page = 0
+            while self.pages is None or page < self.pages:
+                if sent and self.gap:
+                    time.sleep(self.lanes * self.gap)
+                sent = True
+                html = self.fetch(query, place, page)
+                if html is None:
+                    break
+                yield query, place, page, html, (ord_ << 32) + page
+                page += 1
+
+
+def check_resume(log_exists: bool, resume: bool) -> None:
+    """An earlier run's log is neither overwritten nor taken up unasked."""
+    if log_exists and not resume:
+        raise Refused(["a checkpoint of an earlier run exists: resume it, or name another"])

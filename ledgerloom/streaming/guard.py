@@ -14,12 +14,14 @@ from dataclasses import asdict, dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 MAX_429, MAX_ERRORS = 5, 8
 FIELDS = ("requests", "ok", "blocked429", "blocked403", "gone", "errors", "cooldowns", "errors_in_row", "base429", "ok_at_last")
 SCHEMA = "source string, requests long, ok long, blocked429 long, blocked403 long, gone long, errors long, cooldowns long, stopped boolean, reason string, unsent long"
+ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
 STATE = ", ".join(f"{f} long" for f in FIELDS) + ", stopped boolean, reason string, unsent long"
 
 
@@ -85,15 +87,30 @@ class Guard:
 
 
 def health(responses: DataFrame, **limits: Any) -> DataFrame:
-    """responses(source, seq, outcome) -> the state of each source at the end. A source's log is its group."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        guard = Guard(**limits)
-        for outcome in pdf.sort_values("seq")["outcome"]:
-            guard.see(outcome)
-        return pd.DataFrame([guard.row(key[0])])
-
-    return responses.select("source", "seq", "outcome").groupBy("source").applyInPandas(run, SCHEMA)
+    """responses(source, seq, outcome) -> the state of each source at the end.
+
+    Logs are sorted by Spark, which spills, and read batch by batch: only the state of
+    the source at hand is held, however long its log is.
+    """
+    names = [c.strip().split()[0] for c in SCHEMA.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, guard = None, None
+        for batch in batches:
+            done = []
+            for s, outcome in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if guard is None or s != source:
+                    if guard is not None:
+                        done.append(guard.row(source))
+                    source, guard = s, Guard(**limits)
+                guard.see(outcome)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, ARROW)
+        if guard is not None:
+            yield pa.RecordBatch.from_pylist([guard.row(source)], ARROW)
+
+    sorted_ = responses.select("source", "seq", "outcome").repartition("source").sortWithinPartitions("source", "seq")
+    return sorted_.select("source", "outcome").mapInArrow(run, SCHEMA).select(*names)
 
 
 class GuardProcessor(StatefulProcessor):

@@ -1,8 +1,7 @@
 """Match keys: names, titles, places, urls, languages, work modes, dates.
 
-Every function takes and returns a Column and stays in the JVM, but for ``nfkd`` and
-``decode_entities``, which need Unicode tables or code points that Spark lacks and so
-are Arrow UDFs. Null counts as the empty string. Word boundaries are written out as
+Every function takes and returns a Column and stays in the JVM, but for
+``decode_entities``, which is an Arrow UDF. Null counts as the empty string. Word boundaries are written out as
 ASCII look-arounds: Java's own follow Unicode, and would tell 'stageé' from 'stage'.
 """
 
@@ -11,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,30 +68,51 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(pairs, c), c)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v if v is None or v.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", v) if not 0x300 <= ord(ch) <= 0x36F))
-
+@lru_cache(maxsize=1)
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """(characters that NFKD takes to one other, those others, what it takes each of the rest to), marks aside.
 
-def nfkd(c: Column) -> Column:
-    """NFKD without the combining marks U+0300 to U+036F."""
-    return _nfkd(text(c))
+    Made from the Unicode tables, but for Hangul syllables, which follow a rule.
+    """
+    one, others, more = [], [], {}
+    for point in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x30000)):
+        c = chr(point)
+        parts = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+        if parts == c:
+            continue
+        if len(parts) == 1:
+            one.append(c)
+            others.append(parts)
+        else:
+            more[c] = parts
+    return "".join(one), "".join(others), more
 
 
-def _latin_pairs() -> tuple[str, str]:
-    """Letters of the Latin blocks up to U+017F that NFKD takes to one ASCII letter and marks, and those letters."""
-    pairs = []
-    for point in range(0xC0, 0x180):
-        parts = [ch for ch in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(ch)]
-        if len(parts) == 1 and parts[0].isascii():
-            pairs.append((chr(point), parts[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _hangul(c: Column) -> Column:
+    """The two or three letters of a syllable."""
+    code = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - 0xAC00
+    letter = lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 4, "0")), "UTF-16BE")
+    last = F.pmod(code, F.lit(28))
+    return F.concat(letter(F.floor(code / 588) + 0x1100), letter(F.floor(F.pmod(code, F.lit(588)) / 28) + 0x1161), F.when(last > 0, letter(last + 0x11A7)).otherwise(""))
 
 
-def latin(c: Column) -> Column:
-    """NFKD for Latin letters, in the JVM: inside lambda functions no UDF can run."""
-    marks = F.regexp_replace(text(c), "[\u0300-\u036F]", "")
-    return F.translate(marks, *_latin_pairs())
+def nfkd(c: Column) -> Column:
+    """NFKD without the combining marks U+0300 to U+036F, in the JVM.
+
+    Marks beyond these keep their order. Most text is ASCII and passes by; single
+    letters are translated, and only a text with a ligature, fraction, syllable or the
+    like is taken apart letter by letter.
+    """
+    one, others, more = _decompositions()
+    c = text(c)
+    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in more.items())), F.lit("\x01"), F.lit("\x02"))
+    apart = lambda x: F.when(x.between("\uac00", "\ud7a3"), _hangul(x)).otherwise(F.coalesce(F.try_element_at(known, x), x))
+    rest = "".join(f"\\x{{{ord(x):x}}}" for x in more)
+    whole = F.when(c.rlike(f"[\uac00-\ud7a3{rest}]"), F.array_join(F.transform(F.split(c, ""), apart), "")).otherwise(c)
+    return F.when(~c.rlike("[^\\x00-\\x7f]"), c).otherwise(F.regexp_replace(F.translate(whole, one, others), "[\u0300-\u036f]", ""))
+
+
+latin = nfkd
 
 
 def collapse(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, matching, ranking, registry
 from ..operators.gates import INTERN
-from .views import choice, plain, table
+from .views import choice, table
 
 FRIENDS = ("idiot", "clown", "absent term")
 TERMS = ("the", "de", "und", "license", "the")
@@ -31,7 +31,7 @@ def card_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("company"), F.col("p_name").alias("title"), choice(F.col("p_partkey"), ("Milano, Italia", "Milan, Italy", "Rome")).alias("location"))
-    out = dedup.near_duplicates(p, fold=plain)
+    out = dedup.near_duplicates(p)
     return out.select("near_key", "n", F.array_join(F.transform("ords", lambda x: x.cast("string")), ",").alias("ords"))
 
 

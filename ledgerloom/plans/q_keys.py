@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, normalize
 from ..operators import gates, registry
-from .views import choice, plain, table
+from .views import choice, table
 
 #: DuckDB twin of normalize_url over the column ``url``.
 SQL_URL = r"""
@@ -16,15 +16,15 @@ lower((SELECT CASE WHEN len(kept) > 0 THEN head || '?' || array_to_string(list_s
   list_filter(string_split(CASE WHEN contains(regexp_replace(trim(coalesce({0}, '')), '#.*$', ''), '?') THEN substr(regexp_replace(trim(coalesce({0}, '')), '#.*$', ''), instr(regexp_replace(trim(coalesce({0}, '')), '#.*$', ''), '?') + 1) ELSE '' END, '&'),
     lambda p: p <> '' AND NOT (lower(split_part(p, '=', 1)) = 'utm' OR starts_with(lower(split_part(p, '=', 1)), 'utm_') OR lower(split_part(p, '=', 1)) IN ('refid', 'trackingid', 'trk', 'trkinternal', 'originalreferer', 'fbclid', 'gclid', 'mc_cid', 'mc_eid'))) AS kept)))
 """
-SQL_COMPANY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\([^)]*\)', ' ', 'g'), '\b(?:s\.?p\.?a\.?|s\.?r\.?l\.?|s\.?a\.?s\.?|ltd|limited|gmbh|sas|sarl|bv|nv|sl|sa|inc|llc|spa|srl)\b', ' ', 'gi'), '[^a-z0-9]+', ' ', 'g'))"
-SQL_TITLE = r"trim(regexp_replace(regexp_replace(lower({0}), '\b(?:praktikant(?::in)?|beca(?:rio/a)?|tirocinante|internship|stagiaire|tirocinio|praktikum|stagista|stageur|intern|stage)\b', 'intern', 'gi'), '[^a-z0-9]+', ' ', 'g'))"
+SQL_COMPANY = r"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({0})), '\([^)]*\)', ' ', 'g'), '\b(?:s\.?p\.?a\.?|s\.?r\.?l\.?|s\.?a\.?s\.?|ltd|limited|gmbh|sas|sarl|bv|nv|sl|sa|inc|llc|spa|srl)\b', ' ', 'gi'), '[^a-z0-9]+', ' ', 'g'))"
+SQL_TITLE = r"trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '\b(?:praktikant(?::in)?|beca(?:rio/a)?|tirocinante|internship|stagiaire|tirocinio|praktikum|stagista|stageur|intern|stage)\b', 'intern', 'gi'), '[^a-z0-9]+', ' ', 'g'))"
 SQL_INTERN = gates.INTERN
 
 PLACES = ("Milan, Lombardy, Italy", "College Station, TX", "London", "", "To verify", "Berlin, Germany", "Berlin, DE", "Toronto, Canada")
-FIRMS = ("Acme S.p.A.", "Nova Gmbh (Group)", "Orienta Agenzia", "Kering SA", "Orientamento Srl", "Best Jobs Board", "Studio Rossi (Design) Srl")
-TITLES = ("Senior Designer", "Stage Manager Intern", "Product Manager", "Assistant Product Manager", "Design Internship", "Head of Sales", "UX stagista", "Clerk")
+FIRMS = ("Acme S.p.A.", "Nova Gmbh (Group)", "Orienta Agenzia", "Kering SA", "Orientamento Srl", "Best Jobs Board", "Società Générale Müller SA", "Ateliér Žižka (Łódź) Srl")
+TITLES = ("Senior Designer", "Stage Manager Intern", "Product Manager", "Assistant Product Manager", "Design Internship", "Head of Sales", "UX stagista", "Clerk", "Ingénieur qualité stagiaire")
 MODES = ("On-site", "hybrid", "fully_remote", "Flexible", "REMOTE")
-TONGUES = ("Inglese", "it", "deutsch", "klingon", "Espanol")
+TONGUES = ("Inglese", "it", "deutsch", "klingon", "Español")
 
 
 def url_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -70,18 +70,18 @@ def place_side(spark: SparkSession, d: str) -> DataFrame:
 
 def company_keys(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "customer").select("c_custkey", F.concat(choice(F.col("c_custkey"), FIRMS), F.lit(" "), F.col("c_name")).alias("firm"))
-    return s.select("c_custkey", normalize.norm_company(F.col("firm"), plain).alias("norm"), normalize.company_id(F.col("firm"), fold=plain).alias("company_id"))
+    return s.select("c_custkey", normalize.norm_company(F.col("firm")).alias("norm"), normalize.company_id(F.col("firm")).alias("company_id"))
 
 
 def role_keys(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", choice(F.col("c_custkey"), FIRMS).alias("firm"), choice(F.floor(F.col("c_custkey") / 7), TITLES).alias("title"), choice(F.floor(F.col("c_custkey") / 3), PLACES).alias("place"))
-    return c.select("c_custkey", normalize.role_key(F.col("firm"), F.col("title"), F.col("place"), plain).alias("role_key"))
+    return c.select("c_custkey", normalize.role_key(F.col("firm"), F.col("title"), F.col("place")).alias("role_key"))
 
 
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "customer").select("c_custkey", choice(F.col("c_custkey"), FIRMS).alias("company"))
     patterns = spark.createDataFrame([("orienta", 1), ("jobs board", 2), ("board", 3), ("absent", 4)], "pattern string, entry_ord int")
-    hits = gates.attribute(s, patterns, fold=plain).groupBy(F.col("aggregator").alias("pattern")).agg(F.count(F.lit(1)).alias("hits"))
+    hits = gates.attribute(s, patterns).groupBy(F.col("aggregator").alias("pattern")).agg(F.count(F.lit(1)).alias("hits"))
     return patterns.select("pattern").join(F.broadcast(hits), "pattern", "left").select("pattern", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
@@ -89,13 +89,13 @@ def admissibility(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     k = F.col("p_partkey")
     p = p.select("p_partkey", F.concat_ws(" ", choice(k, TITLES), "p_name").alias("title"), F.when(k % 11 == 0, "Offerta chiusa").otherwise("").alias("snippet"), normalize.work_mode(choice(F.floor(k / 8), MODES)).alias("mode"), F.when(k % 13 == 0, F.lit(False)).alias("open"), F.when(k % 17 == 0, F.lit(True)).alias("stage"), F.array(choice(F.floor(k / 5), TONGUES)).alias("want"))
-    ok = gates.languages_satisfiable(F.col("want"), F.array(F.lit("english"), F.lit("italian")), F.lit("all"), plain)
+    ok = gates.languages_satisfiable(F.col("want"), F.array(F.lit("english"), F.lit("italian")), F.lit("all"))
     return p.select("p_partkey", gates.admissibility(F.col("title"), F.col("snippet"), F.col("stage"), F.col("mode"), F.col("open"), ok).alias("ground"))
 
 
 def work_modes(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", choice(F.col("c_custkey"), MODES).alias("m"), choice(F.col("c_custkey"), TONGUES).alias("t"))
-    return c.select("c_custkey", normalize.work_mode(F.col("m")).alias("work_mode"), normalize.norm_language(F.col("t"), plain).alias("language"), normalize.is_known_language(F.col("t"), plain).alias("known"))
+    return c.select("c_custkey", normalize.work_mode(F.col("m")).alias("work_mode"), normalize.norm_language(F.col("t")).alias("language"), normalize.is_known_language(F.col("t")).alias("known"))
 
 
 def date_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ _EU, _FAR = "|".join([*gates.EU_PLACES, "european union"]), "|".join([*gates.US_
 _GEO = rf"CASE WHEN trim({{0}}) = '' THEN 'unknown' WHEN regexp_matches(trim({{0}}), '\b(?:{'|'.join(gates.STATE_CODES)})\.?$') THEN 'non-eu' WHEN regexp_matches({{0}}, '(?i)\b(?:{_FAR})\b') AND NOT regexp_matches({{0}}, '(?i)\b(?:{_EU})\b') THEN 'non-eu' WHEN regexp_matches({{0}}, '(?i)\b(?:{_EU})\b') THEN 'eu' ELSE 'unknown' END"
 _CITY = "CASE WHEN {0} = '' THEN '' ELSE coalesce(map {{'milano': 'milan', 'roma': 'rome', 'torino': 'turin', 'italia': 'italy'}}[{0}], {0}) END".format(r"trim(regexp_replace(regexp_replace(lower(trim(split_part(place, ',', 1))), '[^a-z\s]+', ' ', 'g'), '\s+', ' ', 'g'))")
 _MODE = r"CASE regexp_replace(lower(trim({0})), '[\s_-]', '', 'g') WHEN 'onsite' THEN 'onsite' WHEN 'hybrid' THEN 'hybrid' WHEN 'remote' THEN 'fully_remote' WHEN 'fullyremote' THEN 'fully_remote' END"
-_TONGUE = "CASE lower({0}) WHEN 'inglese' THEN 'english' WHEN 'it' THEN 'italian' WHEN 'deutsch' THEN 'german' WHEN 'espanol' THEN 'spanish' ELSE lower({0}) END"
+_TONGUE = "CASE strip_accents(lower({0})) WHEN 'inglese' THEN 'english' WHEN 'it' THEN 'italian' WHEN 'deutsch' THEN 'german' WHEN 'espanol' THEN 'spanish' ELSE strip_accents(lower({0})) END"
 
 SQL = {
     "url_normalize": f"SELECT page_id, {SQL_URL.format('url')} AS url_norm FROM pages",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import dedup, registry
 from ..streaming import guard
 from . import discovery, q_keys
-from .views import choice, plain, table
+from .views import choice, table
 
 SEEN = ("ok", "error", "429", "gone")
 COMPANIES = ("Alpha SpA", "Beta Srl", "Orienta Agenzia", "Gamma Ltd", "Delta GmbH", "Epsilon")
@@ -34,7 +34,7 @@ def _cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    config = discovery.Config({"A": ["design"], "B": ["ux"]}, ["intern"], ["clerk"], 200, fold=plain)
+    config = discovery.Config({"A": ["design"], "B": ["ux"]}, ["intern"], ["clerk"], 200)
     aggregators = spark.createDataFrame([("orienta", 1)], "pattern string, entry_ord int")
     old = table(spark, d, "part").filter("p_partkey % 1500 < 300").select(choice(F.floor((F.col("p_partkey") % 1500) / 8), ("alpha", "beta", "orienta agenzia", "gamma", "delta", "epsilon")).alias("norm_company"), F.concat(F.lit("https://jobs.test/"), (F.col("p_partkey") % 1500).cast("string")).alias("url_norm"))
     return discovery.run(_cards(spark, d), config, aggregators, (old, spark.createDataFrame([], "norm_company string, role_key string")))

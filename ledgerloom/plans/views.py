@@ -14,7 +14,3 @@ def choice(k: Column, values: tuple[str, ...]) -> Column:
     """One of the values, by k modulo their number."""
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(k.cast("long"), F.lit(len(values))) + 1).cast("int"))
 
-
-def plain(c: Column) -> Column:
-    """No folding: for text known to be ASCII, where NFKD changes nothing and a UDF would only cost."""
-    return c

@@ -148,3 +148,16 @@ def test_refusal_names_all_problems(spark):
     with pytest.raises(registry.Refused) as e:
         registry.refuse_on(p)
     assert len(e.value.problems) == 4
+
+
+def test_fold_equals_the_unicode_tables(spark):
+    import random
+    import unicodedata
+
+    one, _, more = n._decompositions()
+    rng = random.Random(1)
+    pool = [*one, *more, *"abcé 1" * 50, *map(chr, range(0xAC00, 0xAC80))]
+    rows = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(500)] + [*one[::7], *more, "", None]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", n.nfkd(F.col("t")).alias("f")).collect()
+    for r in got:
+        assert r.f == "".join(c for c in unicodedata.normalize("NFKD", rows[r.i] or "") if not 0x300 <= ord(c) <= 0x36F)

@@ -139,8 +139,13 @@ def closed_set_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_split(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("1. Compatible "), "c_name", F.lit(" has 2. inside 2. Borderline "), "c_mktsegment").alias("notes"))
-    return c.select("c_custkey", F.size(cells.split_notes(F.col("notes"))).cast("long").alias("n"))
+    """One to three numbered notes, with numbers inside them that separate nothing."""
+    k = F.col("c_custkey")
+    one = F.concat(F.lit("1. Compatible "), "c_name", F.lit(" has 2. inside"))
+    two = F.when(k % 3 > 0, F.concat(F.lit(" 2. Borderline "), "c_mktsegment")).otherwise("")
+    notes = F.concat(one, two, F.when(k % 3 > 1, " 3. Excluded for 4. reasons").otherwise(""))
+    split = F.transform(cells.split_notes(notes), lambda x: F.trim(x))
+    return table(spark, d, "customer").select("c_custkey", F.size(split).cast("long").alias("n"), F.array_join(split, "~").alias("notes"))
 
 
 def _pick(values: tuple[str, ...], k: str) -> str:
@@ -156,6 +161,7 @@ _MODE = r"CASE regexp_replace(lower(trim({0})), '[\s_-]', '', 'g') WHEN 'onsite'
 _TONGUE = "CASE strip_accents(lower({0})) WHEN 'inglese' THEN 'english' WHEN 'it' THEN 'italian' WHEN 'deutsch' THEN 'german' WHEN 'espanol' THEN 'spanish' ELSE strip_accents(lower({0})) END"
 
 SQL = {
+    "note_split": """SELECT c_custkey, CAST(c_custkey % 3 + 1 AS BIGINT) AS n, 'Compatible ' || c_name || ' has 2. inside' || CASE WHEN c_custkey % 3 > 0 THEN '~Borderline ' || c_mktsegment ELSE '' END || CASE WHEN c_custkey % 3 > 1 THEN '~Excluded for 4. reasons' ELSE '' END AS notes FROM customer""",
     "url_normalize": f"SELECT page_id, {SQL_URL.format('url')} AS url_norm FROM pages",
     "url_dedup": f"SELECT url_norm, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, {SQL_URL.format('url')} AS url_norm FROM pages) GROUP BY url_norm",
     "host_of": r"SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",

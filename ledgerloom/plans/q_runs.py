@@ -144,6 +144,15 @@ SQL = {
     "checkpoint_dedup": "SELECT user_id || '/' || event_type AS key, max(event_id) AS event_id FROM events GROUP BY 1",
     "unread_postings": "SELECT c_custkey AS \"sourceJobId\" FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'view')",
     "run_summary": "SELECT count(*) AS targets, count(*) FILTER (WHERE o_orderstatus = 'F') AS active, count(*) FILTER (WHERE o_orderstatus = 'O') AS to_verify, count(*) FILTER (WHERE o_orderstatus = 'P') AS blocked FROM orders",
+    "fsm_stop": f"""WITH RECURSIVE o AS (SELECT source, outcome, row_number() OVER (PARTITION BY source ORDER BY seq) AS i FROM {_RESP}),
+      r AS (SELECT source, 0 AS i, 0 AS requests, 0 AS ok, 0 AS n429, 0 AS gone, 0 AS errors, 0 AS cool, 0 AS streak, 0 AS base, 0 AS last_ok, NULL::VARCHAR AS reason, 0 AS unsent FROM o GROUP BY 1
+        UNION ALL SELECT r.source, o.i, requests + go, ok + (go * (outcome = 'ok')::INT), n429 + lim, gone + (go * (outcome = 'gone')::INT), errors + err, cool + (full_ AND may)::INT, CASE WHEN go = 0 THEN streak WHEN outcome = 'ok' THEN 0 ELSE streak + err END,
+          CASE WHEN full_ AND may THEN n429 + lim ELSE base END, CASE WHEN full_ AND may THEN ok ELSE last_ok END,
+          CASE WHEN reason IS NOT NULL THEN reason WHEN err = 1 AND streak + 1 >= 3 THEN 'error: 3 consecutive transport errors' WHEN full_ AND cool > 0 AND ok = last_ok THEN 'blocked: ' || (n429 + lim) || ' x HTTP 429, no success since the last cooldown'
+            WHEN full_ AND cool >= 2 THEN 'blocked: ' || (n429 + lim) || ' x HTTP 429 after ' || cool || ' cooldowns' END, unsent + 1 - go
+        FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1, LATERAL (SELECT (reason IS NULL)::INT AS go) a, LATERAL (SELECT go * (outcome = '429')::INT AS lim, go * (outcome = 'error')::INT AS err) b, LATERAL (SELECT lim = 1 AND n429 + 1 - base >= 3 AS full_, NOT (cool > 0 AND ok = last_ok) AND cool < 2 AS may) c)
+      SELECT source, CAST(requests AS BIGINT) AS requests, CAST(ok AS BIGINT) AS ok, CAST(n429 AS BIGINT) AS blocked429, CAST(0 AS BIGINT) AS blocked403, CAST(gone AS BIGINT) AS gone, CAST(errors AS BIGINT) AS errors, CAST(cool AS BIGINT) AS cooldowns, reason IS NOT NULL AS stopped, reason, CAST(unsent AS BIGINT) AS unsent
+      FROM r QUALIFY i = max(i) OVER (PARTITION BY source)""",
     "artifact_hashes": "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents",
 }
 

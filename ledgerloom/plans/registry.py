@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_cards, q_keys, q_runs
+from . import q_cards, q_keys, q_runs, q_sources
 
-MODULES = (q_runs, q_keys, q_cards)
+MODULES = (q_runs, q_keys, q_cards, q_sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -139,7 +139,8 @@ def discover(sources: dict[str, object], cap: int | None = None) -> tuple[DataFr
     for name, source in sources.items():
         try:
             cards = as_cards(source())
-            n = cards.count()
+            # all columns are read here, so that a source that fails does so now
+            n = cards.agg(F.count(F.lit(1)), F.max(F.xxhash64(*cards.columns))).first()[0]
             capped = cap is not None and n > cap
             if capped:
                 cards = cards.orderBy("ord", *[c for c in cards.columns if c != "ord"]).limit(cap)

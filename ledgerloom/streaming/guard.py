@@ -16,6 +16,7 @@ from typing import Any
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 MAX_429, MAX_ERRORS = 5, 8
@@ -113,6 +114,25 @@ def health(responses: DataFrame, **limits: Any) -> DataFrame:
     return sorted_.select("source", "outcome").mapInArrow(run, SCHEMA).select(*names)
 
 
+def drained(responses: DataFrame, **limits: Any) -> DataFrame:
+    """source, seq, outcome and sent of every response: false for what its source's stop left unsent, which goes on to the end."""
+    schema = "source string, seq long, outcome string, sent boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, guard = None, None
+        for batch in batches:
+            sent = []
+            for s, outcome in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if guard is None or s != source:
+                    source, guard = s, Guard(**limits)
+                sent.append(not guard.stopped)
+                guard.see(outcome)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent, pa.bool_())], ["source", "seq", "outcome", "sent"])
+
+    sorted_ = responses.select("source", F.col("seq").cast("long").alias("seq"), "outcome").repartition("source").sortWithinPartitions("source", "seq")
+    return sorted_.mapInArrow(run, schema)
+
+
 class GuardProcessor(StatefulProcessor):
     """The same machine over a stream: a row of the source's state after each micro-batch."""
 

@@ -42,6 +42,10 @@ LEAST_DOCS = 4
 LEAST_Z, LEAST_PAIR_Z = 4.0, 6.0
 #: Terms at most that tell classes apart alone; terms whose pairs are looked at.
 MOST_TERMS, PAIRED = 16_384, 2048
+#: Tasks that count the sample's terms, and bits by which these are counted at first.
+TASKS, COARSE = 4, 24
+#: Bytes of text that are counted at a time.
+PART = 1 << 18
 #: Lengths in bytes of the word beginnings that are terms too.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 USES = 3
@@ -135,20 +139,45 @@ def standard_errors(n1: np.ndarray, n0: np.ndarray, rows1: int, rows0: int) -> n
     return (n1 / rows1 - n0 / rows0) / error
 
 
+def often(some: DataFrame) -> np.ndarray:
+    """Flags by leading bits of the terms that LEAST_DOCS rows of the sample may hold.
+
+    Most terms stand in one row. Each of TASKS tasks counts all of its terms by their
+    leading bits, a byte a count, so TASKS times 2**COARSE bytes come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << COARSE, np.uint8)
+        for batch in batches:
+            for _, texts in pieces(batch.column(0), PART):
+                bins, n = np.unique(terms(texts)[0] >> np.uint64(64 - COARSE), return_counts=True)
+                out[bins] = np.minimum(out[bins] + n, 255)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["counts"])
+
+    total = np.zeros(1 << COARSE, np.uint16)
+    for row in some.select("text").coalesce(TASKS).mapInArrow(run, "counts binary").collect():
+        total += np.frombuffer(row.counts, np.uint8)
+    return total >= LEAST_DOCS
+
+
 def counted(some: DataFrame) -> DataFrame:
     """term, n (rows of the sample that hold it) and n1 (toxic ones) of the terms that LEAST_DOCS rows hold."""
     ship(some.sparkSession)
+    sent = some.sparkSession.sparkContext.broadcast(np.packbits(often(some)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(sent.value).view(bool)
         for batch in batches:
-            for a, texts in pieces(batch.column(1)):
+            for a, texts in pieces(batch.column(1), PART):
                 label = batch.column(0).slice(a, len(texts)).to_numpy()
                 term, of = terms(texts)
-                each, at, n = np.unique(term, return_inverse=True, return_counts=True)
-                n1 = np.bincount(at, np.repeat(label, np.diff(of)), len(each)).astype(np.int64)
+                owner = np.repeat(label, np.diff(of))
+                some = wanted[term >> np.uint64(64 - COARSE)]
+                each, at, n = np.unique(term[some], return_inverse=True, return_counts=True)
+                n1 = np.bincount(at, owner[some], len(each)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(n1)], ["term", "n", "n1"])
 
-    out = some.select("label", "text").mapInArrow(run, "term long, n long, n1 long")
+    out = some.select("label", "text").coalesce(TASKS).mapInArrow(run, "term long, n long, n1 long")
     return out.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(F.col("n") >= LEAST_DOCS)
 
 
@@ -198,14 +227,14 @@ def fit_sample(some: DataFrame) -> Machine:
     n1, n = some.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     if not n:
         return train(np.zeros((0, 0), bool), np.zeros(0), np.zeros(0, np.uint64))
-    often = _column(counts.orderBy(F.col("n").desc(), "term").limit(PAIRED).collect())
+    frequent = _column(counts.orderBy(F.col("n").desc(), "term").limit(PAIRED).collect())
     share = F.col("n") / n
     error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / max(n1, 1) + 1 / max(n - n1, 1)))
     z = F.abs(F.col("n1") / max(n1, 1) - (F.col("n") - F.col("n1")) / max(n - n1, 1)) / error
     hashes = _column(counts.filter(z > LEAST_Z).orderBy(z.desc(), "term").limit(MOST_TERMS).collect())
-    if len(often):
-        held, y = bits(some, often)
-        hashes = np.union1d(hashes, often[paired(held, y)])
+    if len(frequent):
+        held, y = bits(some, frequent)
+        hashes = np.union1d(hashes, frequent[paired(held, y)])
         del held
     if not len(hashes):
         return train(np.zeros((n, 0), bool), np.repeat([1.0, 0.0], [n1, n - n1]), hashes)

@@ -43,7 +43,7 @@ LEAST_Z, LEAST_PAIR_Z = 4.0, 6.0
 #: Terms at most that tell classes apart alone; terms whose pairs are looked at.
 MOST_TERMS, PAIRED = 16_384, 2048
 #: Tasks that count the sample's terms, and bits by which these are counted at first.
-TASKS, COARSE = 4, 24
+TASKS, COARSE = 4, 23
 #: Bytes of text that are counted at a time.
 PART = 1 << 18
 #: Lengths in bytes of the word beginnings that are terms too.

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import numbered, pick, ship, stored
+from ._store import discard, numbered, pick, ship, stored
 from ._text import Words, constants, mix, pieces, windows
 
 ROWS, BANDS = 4, 32
@@ -277,6 +277,7 @@ def _links(reps: DataFrame, docs: DataFrame, repeated: bool, k: int, percent: in
     buckets = keyed.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     buckets = stored(buckets, "buckets")
     members = stored(keyed.join(buckets, "key").filter("doc <> pivot").select("pivot", "doc").distinct(), "members")
+    discard(buckets)
     active = members.select("doc").union(members.select("pivot")).distinct()
     signed = stored(reps.join(active, "doc", "left_semi").select("doc", "n", "sig", "doc_id", "th"), "signed")
 
@@ -294,6 +295,7 @@ def _links(reps: DataFrame, docs: DataFrame, repeated: bool, k: int, percent: in
     dealt = alive.join(chunks, "pivot").select("pivot", F.expr("cast(pmod(xxhash64(doc, pivot), chunks) as int)").alias("chunk"), "doc")
     dealt = dealt.unionByName(chunks.select("pivot", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.col("pivot").alias("doc")))
     links = stored(dealt.join(texts, "doc").groupBy("pivot", "chunk").applyInArrow(_verify(k, percent), "pivot long, doc long"), "links")
+    discard(alive, chunks)
 
     seen = members.join(links.withColumn("hit", F.lit(True)), ["pivot", "doc"], "left")
     seen = stored(seen.select("pivot", "doc", F.expr("if(hit, pivot, doc)").alias("cls")), "seen")
@@ -305,9 +307,11 @@ def _links(reps: DataFrame, docs: DataFrame, repeated: bool, k: int, percent: in
     rest = rest.select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc", "cls")
     rest = rest.join(signed.select("doc", "n", "sig"), "doc")
     wanted = rest.groupBy("pivot", "x", "y").applyInArrow(_wanted(percent, miss), "pivot long, x int, y int, block int, doc long, cls long, n long, sig binary")
-    wanted = stored(wanted, "wanted").join(texts, "doc")
-    more = wanted.groupBy("pivot", "x", "y").applyInArrow(_blocks(k, percent, miss), "pivot long, doc long")
-    return links.unionByName(stored(more, "links"))
+    wanted = stored(wanted, "wanted")
+    more = wanted.join(texts, "doc").groupBy("pivot", "x", "y").applyInArrow(_blocks(k, percent, miss), "pivot long, doc long")
+    more = stored(more, "links")
+    discard(members, seen, sizes, signed, wanted, texts)
+    return links.unionByName(more)
 
 
 def named_apart(reps: DataFrame) -> DataFrame:
@@ -335,12 +339,13 @@ def components(links: DataFrame) -> DataFrame:
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("b", "node").alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        before = labels
         step = stored(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new")), "steps")
         hop = step.select(F.col("node").alias("new"), F.col("new").alias("hop"))
         labels = stored(step.join(hop, "new").select("node", F.least("new", "hop").alias("label"), (F.least("new", "hop") != F.col("label")).alias("moved")), "labels")
-        moved = not labels.filter("moved").isEmpty()
-        labels = labels.drop("moved")
-        if not moved:
+        discard(before, step)
+        if labels.filter("moved").isEmpty():
+            discard(edges)
             return labels.select("node", F.col("label").alias("component"))
 
 
@@ -360,7 +365,9 @@ def _grouped(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     names = reps.select("doc", "d0", "d1", "n", F.col("doc_id").alias("first_id")).join(comps, F.col("doc") == F.col("node"), "left")
     named = stored(names.select("d0", "d1", "n", "first_id", F.coalesce("component", "doc").alias("component")), "named")
     least = stored(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    components_ = named
     named = stored(named.join(least, "component").select("d0", "d1", "n", "component_id"), "named")
+    discard(components_, least, reps)
     shaped = ["doc_id", "th", F.col("n").alias("n_shingles"), "component_id"]
     out = real.join(named, ["d0", "d1", "n"]).select(*shaped)
     return out.unionByName(prof.filter("not (n > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id")).select(*shaped))

@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: White space as browsers and Python see it: ASCII and the no-break space.
 WS = r"[\s ]"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -185,6 +187,7 @@ def _entities(s: pd.Series) -> pd.Series:
 
 
 def decode_entities(c: Column) -> Column:
+    ship()
     return _entities(text(c))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import norm_company, normalize_url, parse_date, text
+from ..shipping import ship
 from . import publishing, registry
 
 #: Columns that people own, and those that hold dates.
@@ -112,6 +113,7 @@ def pooled(df: DataFrame, call: Callable[[dict], str | None], width: int, out: s
 
     Rows keep their columns, by which they can be put in order again.
     """
+    ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def answer(row: dict) -> str | None:

@@ -1,0 +1,26 @@
+"""Sending this package to executors, for the few functions that run in Python there."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Make the package importable on executors, whatever their PYTHONPATH; once an application."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-zip-"), f"{top.name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(top.rglob("*.py")):
+            out.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(spark.sparkContext.applicationId)

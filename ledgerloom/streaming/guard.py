@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..shipping import ship
+
 MAX_429, MAX_ERRORS = 5, 8
 FIELDS = ("requests", "ok", "blocked429", "blocked403", "gone", "errors", "cooldowns", "errors_in_row", "base429", "ok_at_last")
 SCHEMA = "source string, requests long, ok long, blocked429 long, blocked403 long, gone long, errors long, cooldowns long, stopped boolean, reason string, unsent long"
@@ -93,6 +95,7 @@ def health(responses: DataFrame, **limits: Any) -> DataFrame:
     Logs are sorted by Spark, which spills, and read batch by batch: only the state of
     the source at hand is held, however long its log is.
     """
+    ship(responses.sparkSession)
     names = [c.strip().split()[0] for c in SCHEMA.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +119,7 @@ def health(responses: DataFrame, **limits: Any) -> DataFrame:
 
 def drained(responses: DataFrame, **limits: Any) -> DataFrame:
     """source, seq, outcome and sent of every response: false for what its source's stop left unsent, which goes on to the end."""
+    ship(responses.sparkSession)
     schema = "source string, seq long, outcome string, sent boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +162,7 @@ class GuardProcessor(StatefulProcessor):
 
 def health_stream(responses: DataFrame, **limits: Any) -> DataFrame:
     """A streaming DataFrame of states; needs the RocksDB state store."""
+    ship(responses.sparkSession)
     return responses.groupBy("source").transformWithStateInPandas(GuardProcessor(**limits), outputStructType=SCHEMA, outputMode="Update", timeMode="None")
 
 

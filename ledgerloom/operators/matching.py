@@ -68,8 +68,9 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = THRES
 
     Not a cross join. Dice of t or more needs a common word among the rarest of either
     name: with n words at least ceil(n t / (2 - t)) are common, so one of the first
-    n - that + 1 words, by rising frequency, is. The prefix rule joins each name's
-    prefixes with the names themselves, an equi-join.
+    n - that + 1 words, by rising frequency, is. Names whose numbers of words are too far
+    apart are left out within that join. The prefix rule joins each name's prefixes with
+    the names themselves, an equi-join.
     """
     l_, r_ = left.select(F.col("norm").alias("l_norm")).distinct(), right.select(F.col("norm").alias("r_norm")).distinct()
     words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("w")).filter("w <> ''")
@@ -80,9 +81,12 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = THRES
         ranked = df.join(common, "w").groupBy(c).agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("ws"))
         n = F.size("ws")
         keep = n - F.ceil(n * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int") + 1
-        return ranked.select(c, F.explode(F.slice("ws", F.lit(1), keep)).alias("x")).select(c, F.col("x.w").alias("w"))
+        return ranked.select(c, n.alias(f"n_{c}"), F.explode(F.slice("ws", F.lit(1), keep)).alias("x")).select(c, f"n_{c}", F.col("x.w").alias("w"))
 
-    by_words = prefix(lw, "l_norm").join(prefix(rw, "r_norm"), "w").select("l_norm", "r_norm").distinct()
+    # of n and m words at most the lesser number are common, so Dice is at most twice that through n + m
+    n, m = F.col("n_l_norm"), F.col("n_r_norm")
+    alike = 2 * F.least(n, m) >= (n + m) * F.lit(threshold) - 1e-9
+    by_words = prefix(lw, "l_norm").join(prefix(rw, "r_norm"), "w").filter(alike).select("l_norm", "r_norm").distinct()
     starts = lambda df, c: df.select(c, F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(F.col(c), F.lit(1), i))).alias("p")).filter(F.length(c) > 0)
     by_left = starts(l_, "l_norm").join(r_, F.col("p") == F.col("r_norm")).select("l_norm", "r_norm")
     by_right = starts(r_, "r_norm").join(l_, F.col("p") == F.col("l_norm")).select("l_norm", "r_norm")

@@ -378,17 +378,13 @@ def _sorted(table: pa.Table) -> pa.Table:
 
 def covered(size: int, marks: list[bytes]) -> np.ndarray:
     """The bytes that the marked windows cover."""
-    edge = np.zeros(size + 1, np.int32)
-    for raw in marks:
-        at, windows = np.frombuffer(raw, np.uint32).reshape(2, -1)
-        for t in range(RUN):
-            start = at[(windows >> t & 1).astype(bool)].astype(np.int64) + t
-            edge += np.bincount(start, minlength=size + 1)[: size + 1].astype(np.int32) if len(start) > size // 8 else 0
-            if len(start) <= size // 8:
-                np.add.at(edge, start, 1)
-    ends = np.zeros(size + 1, np.int32)
-    ends[LENGTH:] = edge[: size + 1 - LENGTH]
-    return np.cumsum(edge - ends)[:size] > 0
+    pairs = [np.frombuffer(raw, np.uint32).reshape(2, -1) for raw in marks]
+    at, windows = np.concatenate([np.zeros((2, 0), np.uint32), *pairs], axis=1).astype(np.int64)
+    edge = np.zeros(size + LENGTH + 1, np.int8)
+    for t in range(RUN):
+        edge[at[(windows >> t & 1).astype(bool)] + t] = 1
+    edge[LENGTH:] -= edge[:-LENGTH].copy()
+    return np.cumsum(edge[:size], dtype=np.int32) > 0
 
 
 def _cut(table: pa.Table, marks: pa.Table) -> pa.Table:

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shipping import ship
+from ..storage import ship
 
 #: White space as browsers and Python see it: ASCII and the no-break space.
 WS = r"[\s ]"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import norm_company, normalize_url, parse_date, text
-from ..shipping import ship
+from ..storage import ship
 from . import publishing, registry
 
 #: Columns that people own, and those that hold dates.

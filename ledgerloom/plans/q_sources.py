@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, normalize
 from ..operators import gates, publishing, registry, workflow
-from ..sources import cards, files
+from ..sources import cards, files, runlog
+from ..storage import fresh
 from ..streaming import guard
 from . import q_runs
 from .views import choice, table
@@ -19,16 +17,6 @@ def ck() -> Column:
     return F.col("c_custkey")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query writes and reads: below spark.checkpoint.dir, or in a temporary one on this machine alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-    return f"{base.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
-
-
 def _customers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", ck().cast("string").alias("k"))
 
@@ -100,20 +88,30 @@ def discover_union(spark: SparkSession, d: str) -> DataFrame:
 def semicolon_files(spark: SparkSession, d: str) -> DataFrame:
     """Cells with separators, quotes and line ends, written and read again."""
     c = _customers(spark, d).select("k", F.concat_ws("|", F.concat(F.lit('"q" '), "c_name"), "c_mktsegment").alias("a"), F.concat(F.lit("x;y\n"), "k", F.lit("\t z ")).alias("b"))
-    path = scratch(spark, "semicolon")
+    path = fresh(spark, "semicolon")
     files.write_semicolon(c, path, ["k", "a", "b"])
     return files.read_semicolon(spark, path, ("k", "a", "b")).select("k", "a", "b")
 
 
 def _lines(spark: SparkSession, lines: DataFrame, name: str) -> str:
-    path = scratch(spark, name)
+    path = fresh(spark, name)
     lines.toDF("value").write.text(path)
     return path
 
 
+def _two_files(spark: SparkSession, d: str, line: Column, name: str, cut: int) -> str:
+    """Lines of the customers up to ``cut`` in one file, written first, and of the others in another; each in the order of its keys."""
+    path = fresh(spark, name)
+    for i, part in enumerate((ck() <= cut, ck() > cut)):
+        _customers(spark, d).filter(part).orderBy("c_custkey").coalesce(1).select(line.alias("value")).write.text(f"{path}/{i}")
+    return f"{path}/*"
+
+
 def tsv_files(spark: SparkSession, d: str) -> DataFrame:
     line = F.when(ck() % 7 == 0, "").when(ck() % 7 == 1, F.concat(F.lit("[note] "), "k", F.lit("\tx"))).otherwise(F.concat("c_name", F.lit("\t"), "c_mktsegment", F.when(ck() % 2 == 0, "\r").otherwise("")))
-    return files.read_tsv(spark, _lines(spark, _customers(spark, d).select(line), "tsv"), ["name", "segment"]).select("name", "segment")
+    """Rows of two files with the lines on which they stand."""
+    got = files.read_tsv(spark, _two_files(spark, d, line, "tsv", 40), ["name", "segment"])
+    return got.select("name", "segment", F.regexp_extract("n.file", r"/(\d)/[^/]*$", 1).alias("file"), F.col("n.line").alias("line"))
 
 
 def target_files(spark: SparkSession, d: str) -> DataFrame:
@@ -123,14 +121,31 @@ def target_files(spark: SparkSession, d: str) -> DataFrame:
 
 def aggregator_files(spark: SparkSession, d: str) -> DataFrame:
     line = F.when(ck() % 5 == 0, "# skip").when(ck() % 5 == 1, F.concat("c_name", F.lit(" ; note; more"))).otherwise(F.col("c_mktsegment"))
-    return files.read_aggregators(spark, _lines(spark, _customers(spark, d).select(line), "aggregators")).groupBy("pattern", "note").agg(F.count(F.lit(1)).alias("n"))
+    """Patterns of two files, and the line on which each stands first and last."""
+    got = files.read_aggregators(spark, _two_files(spark, d, line, "aggregators", 40)).withColumn("at", F.struct(F.regexp_extract("entry_ord.file", r"/(\d)/[^/]*$", 1).alias("file"), F.col("entry_ord.line").alias("line")))
+    ends = got.groupBy("pattern", "note").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
+    return ends.select("pattern", "note", "n", F.col("a.file").alias("first_file"), F.col("a.line").alias("first_line"), F.col("b.file").alias("last_file"), F.col("b.line").alias("last_line"))
 
 
 def log_files(spark: SparkSession, d: str) -> DataFrame:
-    """A log of JSON lines, a fifth of them torn."""
-    line = F.concat(F.lit('{"key":"k'), "k", F.lit('","cards":[{"title":"'), "c_mktsegment", F.lit('","url":"u'), "k", F.when(ck() % 5 == 0, "").otherwise('"}]}'))
-    got = files.read_log(spark, _lines(spark, _customers(spark, d).select(line), "log"))
-    return got.select("key", F.get("cards", 0)["title"].alias("title"), F.size("cards").cast("long").alias("n"))
+    """A log of JSON lines, a fifth of them torn, that was added to once: what was added last counts, though its file is the larger."""
+    key = lambda n: F.concat(F.lit('{"key":"k'), (ck() % n).cast("string"), F.lit('","cards":[{"title":"'), "c_mktsegment", F.lit('","url":"u'), "k")
+    torn = F.when(ck() % 5 == 0, "").otherwise('"}]}')
+    first = F.concat(key(70), torn)
+    path = _lines(spark, _customers(spark, d).filter("c_custkey <= 60").orderBy("c_custkey").coalesce(1).select(first), "log")
+    _customers(spark, d).filter("c_custkey > 60").orderBy("c_custkey").coalesce(1).select(first.alias("value")).write.mode("append").text(path)
+    return files.read_log(spark, path).select("key", F.get("cards", 0)["title"].alias("title"), F.get("cards", 0)["url"].alias("url"), F.size("cards").cast("long").alias("n"))
+
+
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log of two batches, each written by several tasks: the place of every row, and which row of a key counts."""
+    path = fresh(spark, "runlog")
+    units = _customers(spark, d).select(F.concat(F.lit("u"), (ck() % 90).cast("string")).alias("key"), F.col("c_name").alias("title"), "c_custkey")
+    runlog.append(units.filter("c_custkey <= 100").orderBy("c_custkey"), path)
+    runlog.append(units.filter("c_custkey > 100").orderBy(F.desc("c_custkey")), path)
+    log = runlog.read(spark, path, "key string, title string, c_custkey long")
+    last = runlog.latest(log, "key").select("key", F.lit(True).alias("current"), "batch", "seq")
+    return log.join(last, ["key", "batch", "seq"], "left").select("key", "title", "batch", "seq", F.coalesce("current", F.lit(False)).alias("current"))
 
 
 def sidecar_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +210,7 @@ def declared_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def published_versions(spark: SparkSession, d: str) -> DataFrame:
     """Two versions; a writer that knew only the first is refused, and the second is what is read."""
-    path, c = scratch(spark, "published"), _customers(spark, d).select("c_custkey", "c_name")
+    path, c = fresh(spark, "published"), _customers(spark, d).select("c_custkey", "c_name")
     publishing.publish(c.limit(3), path)
     publishing.publish(c.withColumn("c_name", F.upper("c_name")), path, 1)
     try:
@@ -218,7 +233,7 @@ def first_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def artifact_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Rows written in a folder per outcome, and read again."""
-    path = scratch(spark, "artifacts")
+    path = fresh(spark, "artifacts")
     files.write_artifacts(_customers(spark, d).select("c_custkey", F.col("c_mktsegment").alias("outcome")), path)
     return spark.read.parquet(path).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
 
@@ -247,7 +262,7 @@ def staged_roles(spark: SparkSession, d: str) -> DataFrame:
     evidence = c.filter(ck() % 2 == 0).select(F.concat(F.lit("https://r.test/"), "k").alias("url_norm"), F.col("c_mktsegment").alias("posted"))
     checks = c.filter(ck() % 3 == 0).select(F.concat(F.lit("https://r.test/"), "k").alias("url_norm"), F.lit("seen").alias("status"))
     owned = c.filter(ck() % 300 < 50).filter("c_custkey < 300").select(F.concat(F.lit("FIRM "), "k").alias(workflow.NAME), F.concat(F.lit("Ms "), "k").alias("Contact Name"))
-    path = scratch(spark, "stage")
+    path = fresh(spark, "stage")
     companies, _ = workflow.stage(_registry(spark, d), evidence, checks, owned, path, lenient=True)
     roles = publishing.published(spark, f"{path}/roles")
     named = publishing.published(spark, f"{path}/companies").select("company_key", F.col("`Contact Name`").alias("contact"), F.regexp_extract("`Job Links`", r"(\d+)$", 1).alias("k"))
@@ -257,7 +272,7 @@ def staged_roles(spark: SparkSession, d: str) -> DataFrame:
 
 def first_review(spark: SparkSession, d: str) -> DataFrame:
     """A first review, a second that is refused, and a third that is forced."""
-    path, c = scratch(spark, "review"), _customers(spark, d).select(F.col("c_name").alias("Name"), "k")
+    path, c = fresh(spark, "review"), _customers(spark, d).select(F.col("c_name").alias("Name"), "k")
     workflow.init_review(c.limit(5), ["Name"], path)
     try:
         workflow.init_review(c, ["Name"], path)
@@ -317,10 +332,14 @@ SQL = {
       FROM {_GEN} WHERE ck % 11 <> 0 AND ck % 5 <> 0 AND ck % 3 <> 1""",
     "discover_union": """SELECT * FROM (VALUES ('small', 'ok', 11, 11, 10), ('large', 'capped', 40, 40, 39), ('bad', 'error', 0, NULL, NULL)) t(source, status, cards, n, last)""",
     "semicolon_files": f"""SELECT k, '"q" ' || c_name || '|' || c_mktsegment AS a, 'x y ' || k || '  z' AS b FROM {_GEN}""",
-    "tsv_files": f"SELECT c_name AS name, c_mktsegment AS segment FROM {_GEN} WHERE ck % 7 > 1",
+    "tsv_files": f"""SELECT name, segment, file, line FROM (SELECT c_name AS name, c_mktsegment AS segment, CASE WHEN ck <= 40 THEN '0' ELSE '1' END AS file, row_number() OVER (PARTITION BY ck <= 40 ORDER BY ck) AS line, ck FROM {_GEN}) WHERE ck % 7 > 1""",
     "target_files": f"SELECT CASE WHEN ck % 5 = 2 THEN c_name ELSE '' END AS label, 'https://t.test/' || k AS url FROM {_GEN} WHERE ck % 5 > 1",
-    "aggregator_files": f"SELECT CASE WHEN ck % 5 = 1 THEN c_name ELSE c_mktsegment END AS pattern, CASE WHEN ck % 5 = 1 THEN 'note; more' ELSE '' END AS note, count(*) AS n FROM {_GEN} WHERE ck % 5 > 0 GROUP BY ALL",
-    "log_files": f"SELECT 'k' || k AS key, c_mktsegment AS title, 1 AS n FROM {_GEN} WHERE ck % 5 <> 0",
+    "aggregator_files": f"""WITH l AS (SELECT CASE WHEN ck % 5 = 1 THEN c_name ELSE c_mktsegment END AS pattern, CASE WHEN ck % 5 = 1 THEN 'note; more' ELSE '' END AS note, CASE WHEN ck <= 40 THEN '0' ELSE '1' END AS file,
+        row_number() OVER (PARTITION BY ck <= 40 ORDER BY ck) AS line, ck FROM {_GEN})
+      SELECT pattern, note, count(*) AS n, arg_min(file, ck) AS first_file, arg_min(line, ck) AS first_line, arg_max(file, ck) AS last_file, arg_max(line, ck) AS last_line FROM l WHERE ck % 5 > 0 GROUP BY pattern, note""",
+    "log_files": f"SELECT 'k' || (ck % 70) AS key, arg_max(c_mktsegment, ck) AS title, 'u' || max(ck) AS url, 1 AS n FROM {_GEN} WHERE ck % 5 <> 0 GROUP BY ck % 70",
+    "run_log": """WITH r AS (SELECT 'u' || (c_custkey % 90) AS key, c_name AS title, CASE WHEN c_custkey <= 100 THEN 0 ELSE 1 END AS batch, row_number() OVER (PARTITION BY c_custkey <= 100 ORDER BY CASE WHEN c_custkey <= 100 THEN c_custkey ELSE -c_custkey END) - 1 AS seq FROM customer)
+      SELECT key, title, CAST(batch AS BIGINT) AS batch, seq, row_number() OVER (PARTITION BY key ORDER BY batch DESC, seq DESC) = 1 AS current FROM r""",
     "sidecar_rows": f"SELECT 'https://s.test/' || (ck % 40) AS url_norm, arg_max(c_name, ck) AS posted FROM {_GEN} GROUP BY 1",
     "history_keys": f"""WITH r AS (SELECT 'firm ' || (ck % 60) AS n, ck % 30 AS u FROM {_GEN} WHERE ck % 9 <> 0) SELECT DISTINCT n AS norm_company, unnest(['https://h.test/' || u, 'https://h.test/b', 'x:' || n || '|ux intern|milan', 'x:' || n || '|clerk|milan']) AS value FROM r""",
     "text_cleaning": f"""SELECT c_custkey, c_name || CASE WHEN ck % 2 = 0 THEN '' ELSE '-x' END AS title, c_mktsegment || ' & <b> éA &amp; "' AS decoded, ck % 3 = 0 AS quoted, ck % 3 = 2 AS matches, ck % 2 = 1 AS conflict FROM {_GEN}""",
@@ -350,6 +369,6 @@ SQL = {
 }
 
 QUERIES = [
-    guest_cards, posting_pages, article_cards, board_greenhouse, board_lever, board_ashby, discover_union, semicolon_files, tsv_files, target_files, aggregator_files, log_files, sidecar_rows, history_keys, text_cleaning,
+    guest_cards, posting_pages, article_cards, board_greenhouse, board_lever, board_ashby, discover_union, semicolon_files, tsv_files, target_files, aggregator_files, log_files, run_log, sidecar_rows, history_keys, text_cleaning,
     judged_verdicts, new_roles, declared_fields, published_versions, exported_history, first_reasons, artifact_buckets, doctor_report, typed_dates, staged_roles, first_review, read_fates, carried_roles, run_sets, pooled_calls, drained_batch,
 ]

@@ -9,6 +9,7 @@ from ..functions.cells import sanitise, split_cell
 from ..functions.normalize import norm_company, normalize_url, role_key, strip_seat_suffix, text
 from ..operators.dedup import latest
 from ..operators.registry import Refused
+from .lines import age, numbered, place, read_lines
 
 #: The registry's columns, in order.
 REGISTRY = (
@@ -21,14 +22,14 @@ CHECKS = ("url", "label", "reachable", "has_apply", "has_intern_signal", "title"
 NAME = REGISTRY[0]
 
 
-def read_semicolon(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """;-CSV with quoted line ends; all columns strings, with ``idx`` for the order. A missing column is refused."""
+def read_semicolon(spark: SparkSession, path: str | list[str], required: tuple[str, ...] = ()) -> DataFrame:
+    """;-CSV with quoted line ends; all columns strings, with ``idx`` (file, record) for the order. A missing column is refused."""
     df = spark.read.csv(path, sep=";", header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    df = df.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in df.columns})
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise Refused([f"{path}: no column {c!r}" for c in missing])
-    return df.withColumn("idx", F.monotonically_increasing_id())
+    return numbered(df).withColumn("idx", place()).drop("file", "modified", "line")
 
 
 def write_semicolon(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -45,16 +46,16 @@ def history(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     return urls.distinct(), keys.distinct()
 
 
-def read_tsv(spark: SparkSession, path: str, columns: list[str] = REGISTRY) -> DataFrame:
-    """Tab-separated rows of exactly the columns; every row of another width is refused, the first ten named.
+def read_tsv(spark: SparkSession, path: str | list[str], columns: list[str] = REGISTRY) -> DataFrame:
+    """Tab-separated rows of exactly the columns, with ``n`` (file, line); every row of another width is refused, the first ten named.
 
     Read as text: the CSV reader would pad or cut such rows in silence.
     """
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("f", F.split(F.regexp_replace("value", "\r$", ""), "\t"))
+    lines = read_lines(spark, path).withColumn("n", place()).withColumn("f", F.split(F.regexp_replace("value", "\r$", ""), "\t"))
     lines = lines.filter(F.trim("value") != "")
     bad = lines.filter(F.size("f") != len(columns)).orderBy("n").select("n", F.size("f")).limit(10).collect()
     if bad:
-        raise Refused([f"line {r[0] + 1}: {r[1]} fields, not {len(columns)}" for r in bad])
+        raise Refused([f"{r[0]['file'].rpartition('/')[2]}, line {r[0]['line']}: {r[1]} fields, not {len(columns)}" for r in bad])
     first = F.trim(F.get("f", F.lit(0)))
     rows = lines.filter((first != "") & ~first.startswith("[") & (first != columns[0]))
     return rows.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(columns)], "n")
@@ -68,15 +69,19 @@ def sidecar(df: DataFrame, required: tuple[str, ...], key: str = "url", order: s
     return latest(df.withColumn("url_norm", normalize_url(F.col(key))), "url_norm", order)
 
 
-def read_log(spark: SparkSession, path: str, schema: str = "key string, cards array<struct<title string, url string>>") -> DataFrame:
-    """A log of JSON lines: torn lines are skipped, the last line of a key wins."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").json(path).withColumn("idx", F.monotonically_increasing_id())
-    return latest(df.filter("_corrupt_record is null and key is not null").drop("_corrupt_record"), "key", "idx").drop("idx")
+def read_log(spark: SparkSession, path: str | list[str], schema: str = "key string, cards array<struct<title string, url string>>") -> DataFrame:
+    """Files of JSON lines that were added one after another: torn lines are skipped, the last line of a key in the newest file wins.
+
+    Files of one age go by their names. A log whose order must not hang on files' times is a runlog.
+    """
+    df = read_lines(spark, path).withColumn("idx", age()).withColumn("r", F.from_json("value", f"{schema}, _corrupt_record string"))
+    df = df.filter("r is not null and r._corrupt_record is null and r.key is not null")
+    return latest(df.select("r.*", "idx").drop("_corrupt_record"), "key", "idx").drop("idx")
 
 
-def read_aggregators(spark: SparkSession, path: str) -> DataFrame:
-    """pattern, note, entry_ord; comments and the header are skipped, a note may hold semicolons."""
-    lines = spark.read.text(path).withColumn("entry_ord", F.monotonically_increasing_id()).filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+def read_aggregators(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """pattern, note, entry_ord (file, line); comments and the header are skipped, a note may hold semicolons."""
+    lines = read_lines(spark, path).withColumn("entry_ord", place()).filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     parts = F.split("value", ";", 2)
     return lines.select(F.trim(F.get(parts, 0)).alias("pattern"), F.coalesce(F.trim(F.get(parts, 1)), F.lit("")).alias("note"), "entry_ord").filter("pattern <> 'pattern' and pattern <> ''")
 

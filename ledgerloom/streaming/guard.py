@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..shipping import ship
+from ..storage import ship
 
 MAX_429, MAX_ERRORS = 5, 8
 FIELDS = ("requests", "ok", "blocked429", "blocked403", "gone", "errors", "cooldowns", "errors_in_row", "base429", "ok_at_last")

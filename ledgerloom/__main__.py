@@ -22,6 +22,12 @@ def _discover(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return discovery.run(spark.read.parquet(a.cards), config, spark.read.parquet(a.aggregators), (spark.read.parquet(a.urls), spark.read.parquet(a.keys)))
 
 
+def _fetch(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from .sources import paged
+
+    return paged.collect(spark, {"root": a.root, "queries": a.queries, "places": a.places, "units_per_batch": "8"}, a.to, resume=a.resume)
+
+
 def _read(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     out = workflow.read_report(spark.read.parquet(a.postings), spark.read.parquet(a.held), spark.read.parquet(a.answers))
     return out.orderBy("ord").limit(a.top) if a.top else out
@@ -64,6 +70,7 @@ def _export(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 #: name -> (what it does, how, named inputs, flags)
 COMMANDS: dict[str, tuple[str, Callable, tuple[str, ...], tuple[str, ...]]] = {
     "discover": ("cards through all gates, an outcome each", _discover, ("cards", "aggregators", "urls", "keys", "areas"), ("resume",)),
+    "fetch": ("pages of queries (a|b) at places, each once, over as many runs as it takes", _fetch, ("root", "queries", "places", "to"), ("resume",)),
     "read": ("what became of each posting", _read, ("postings", "held", "answers"), ()),
     "verify": ("status of employers' pages", _verify, ("pages",), ()),
     "admit": ("the ground on which a role is refused, or none", _admit, ("declared", "languages"), ()),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, normalize
 from ..operators import gates, publishing, registry, workflow
-from ..sources import cards, files, runlog
+from ..sources import cards, files, paged, runlog
 from ..storage import fresh
 from ..streaming import guard
 from . import q_runs
@@ -148,6 +148,17 @@ def run_log(spark: SparkSession, d: str) -> DataFrame:
     return log.join(last, ["key", "batch", "seq"], "left").select("key", "title", "batch", "seq", F.coalesce("current", F.lit(False)).alias("current"))
 
 
+def resumed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of 20 units, read as a stream that is stopped after a batch of eight units and taken up again: each page once."""
+    root, to = fresh(spark, "pages"), fresh(spark, "collected")
+    place = Window.partitionBy("query", "place").orderBy("c_custkey")
+    pages = _customers(spark, d).select(F.lower("c_mktsegment").alias("query"), F.concat(F.lit("p"), (F.col("c_nationkey") % 4).cast("string")).alias("place"), F.col("c_name").alias("html"), "c_custkey")
+    pages.withColumn("page", F.row_number().over(place) - 1).drop("c_custkey").repartition("query", "place").write.partitionBy("query", "place").parquet(root)
+    options = {"root": root, "queries": "automobile|building|furniture|household|machinery", "places": "p0|p1|p2|p3", "units_per_batch": "8", "lanes": "2"}
+    paged.collect(spark, options, to, paged.StoredPages, batches=1)
+    return paged.collect(spark, options, to, paged.StoredPages, resume=True)
+
+
 def sidecar_rows(spark: SparkSession, d: str) -> DataFrame:
     c = _customers(spark, d).select(F.concat(F.lit("https://S.test/"), (ck() % 40).cast("string"), F.lit("/?utm_x="), "k").alias("url"), F.col("c_name").alias("posted"), ck().alias("idx"))
     return files.sidecar(c, ("url", "posted")).select("url_norm", "posted")
@@ -340,6 +351,8 @@ SQL = {
     "log_files": f"SELECT 'k' || (ck % 70) AS key, arg_max(c_mktsegment, ck) AS title, 'u' || max(ck) AS url, 1 AS n FROM {_GEN} WHERE ck % 5 <> 0 GROUP BY ck % 70",
     "run_log": """WITH r AS (SELECT 'u' || (c_custkey % 90) AS key, c_name AS title, CASE WHEN c_custkey <= 100 THEN 0 ELSE 1 END AS batch, row_number() OVER (PARTITION BY c_custkey <= 100 ORDER BY CASE WHEN c_custkey <= 100 THEN c_custkey ELSE -c_custkey END) - 1 AS seq FROM customer)
       SELECT key, title, CAST(batch AS BIGINT) AS batch, seq, row_number() OVER (PARTITION BY key ORDER BY batch DESC, seq DESC) = 1 AS current FROM r""",
+    "resumed_pages": """WITH p AS (SELECT lower(c_mktsegment) AS query, 'p' || (c_nationkey % 4) AS place, CAST(row_number() OVER (PARTITION BY c_mktsegment, c_nationkey % 4 ORDER BY c_custkey) - 1 AS INT) AS page, c_name AS html, c_nationkey % 4 AS i FROM customer)
+      SELECT query, place, page, html, ((list_position(['automobile', 'building', 'furniture', 'household', 'machinery'], query) - 1) * 4 + i) * 4294967296 + page AS ord FROM p""",
     "sidecar_rows": f"SELECT 'https://s.test/' || (ck % 40) AS url_norm, arg_max(c_name, ck) AS posted FROM {_GEN} GROUP BY 1",
     "history_keys": f"""WITH r AS (SELECT 'firm ' || (ck % 60) AS n, ck % 30 AS u FROM {_GEN} WHERE ck % 9 <> 0) SELECT DISTINCT n AS norm_company, unnest(['https://h.test/' || u, 'https://h.test/b', 'x:' || n || '|ux intern|milan', 'x:' || n || '|clerk|milan']) AS value FROM r""",
     "text_cleaning": f"""SELECT c_custkey, c_name || CASE WHEN ck % 2 = 0 THEN '' ELSE '-x' END AS title, c_mktsegment || ' & <b> éA &amp; "' AS decoded, ck % 3 = 0 AS quoted, ck % 3 = 2 AS matches, ck % 2 = 1 AS conflict FROM {_GEN}""",
@@ -369,6 +382,6 @@ SQL = {
 }
 
 QUERIES = [
-    guest_cards, posting_pages, article_cards, board_greenhouse, board_lever, board_ashby, discover_union, semicolon_files, tsv_files, target_files, aggregator_files, log_files, run_log, sidecar_rows, history_keys, text_cleaning,
+    guest_cards, posting_pages, article_cards, board_greenhouse, board_lever, board_ashby, discover_union, semicolon_files, tsv_files, target_files, aggregator_files, log_files, run_log, resumed_pages, sidecar_rows, history_keys, text_cleaning,
     judged_verdicts, new_roles, declared_fields, published_versions, exported_history, first_reasons, artifact_buckets, doctor_report, typed_dates, staged_roles, first_review, read_fates, carried_roles, run_sets, pooled_calls, drained_batch,
 ]

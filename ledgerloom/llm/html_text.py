@@ -32,6 +32,8 @@ from ._store import pick, ship
 #: Elements without content, by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head title script style noscript template nav footer aside button select textarea iframe object svg canvas dialog menu".split())
+#: Of these, the ones that stand within a line: they are left out without ending it.
+INLINE = frozenset("script style noscript template button select textarea iframe object svg canvas".split())
 CONTAINER = frozenset("html body article main section form div ul ol dl table tbody thead tr figure blockquote details header hgroup center".split()) | NEVER
 #: Containers that may be the region; what lies in any other container isn't one either.
 REGION = frozenset("html body article main section form div center details".split())
@@ -88,11 +90,13 @@ class _Lines(HTMLParser):
         # of each container: tag, parent, whether it never holds content, whether it is or lies in an article or main,
         # and the name by which it may hold none
         self.tag, self.parent, self.never, self.inside, self.doubt = [""], [0], [False], [False], [""]
+        # whether it is or lies in an inline element that is left out; the innermost that doesn't, whose line goes on
+        self.left_out, self.shown = [False], 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.out.append((text, self.tags, self.open[-1]))
+            self.out.append((text, self.tags, self.shown))
             self.tags = 0
         self.parts = []
 
@@ -115,7 +119,8 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag not in BLOCK:
             return
-        self.flush()
+        if tag not in INLINE and not self.left_out[self.open[-1]]:
+            self.flush()
         if tag in ("html", "body"):
             if tag in self.once:  # a second one only repeats the first
                 return
@@ -132,8 +137,15 @@ class _Lines(HTMLParser):
             self.tag.append(tag)
             self.parent.append(top)
             self.inside.append(tag in WHOLE or self.inside[top])
+            self.left_out.append(tag in INLINE or self.left_out[top])
+            if not self.left_out[-1]:
+                self.shown = self.open[-1]
 
     def _close(self) -> None:
+        top = self.open[-1]
+        if not self.left_out[top]:
+            self.flush()
+            self.shown = self.parent[top]
         self.open_tags[self.tag[self.open.pop()]] -= 1
 
     def _never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -162,7 +174,7 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCK:
+        if tag in BLOCK and tag not in INLINE and not self.left_out[self.open[-1]]:
             self.flush()
         if tag in CONTAINER and self.open_tags[tag]:
             while self.tag[self.open[-1]] != tag:

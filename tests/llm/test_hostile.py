@@ -149,6 +149,34 @@ def test_pages_equal_brute_force():
         assert html_text.main_text(html) == brute_text(html), html
 
 
+#: Inline elements that are left out, and what they hold.
+ICONS = ["<svg/>", "<svg viewBox='0 0 1 1'><path d='M0 0'/><title>icon</title></svg>", "<script>var x = '<p>no</p>';</script>", "<style>p { x: y }</style>", "<button>Share <b>this</b></button>", "<button><div>deep</div></button>", "<select><option>one<option>two</select>", "<textarea>type</textarea>", "<iframe src=x>old</iframe>", "<noscript><p>no script</p></noscript>", "<template><p>later</p></template>", "<object><p>old</p></object>", "<canvas>old</canvas>"]
+
+
+def test_inline_elements_do_not_cut_a_block():
+    assert html_text.main_text("<p>Hello <svg/> world and <script>x</script>more of it here.</p>") == "Hello world and more of it here."
+    assert html_text.main_text("<p>Hello <button>b</button> world.</p>") == "Hello world."
+    assert html_text.main_text("<article><p>Left <button>open</article><p>") == "Left"
+
+
+def test_articles_of_a_small_grammar_come_out_as_they_were_written():
+    """Expected texts are made with the page, by no parser: paragraphs of words, marks, line breaks and inline elements between menus."""
+    rng = random.Random(11)
+    for _ in range(400):
+        want, body = [], []
+        for _ in range(rng.randint(4, 12)):
+            plain, marked = [], []
+            for _ in range(rng.randint(12, 60)):
+                word = rng.choice(["alpha", "beta,", "gamma.", "d&amp;e", "caf&#233;", "x"])
+                plain.append(word.replace("&amp;", "&").replace("&#233;", "é"))
+                form = rng.random()
+                marked.append(f"<b>{word}</b>" if form < 0.05 else f"<a href='#'>{word}</a>" if form < 0.1 else f"{word}<br>" if form < 0.12 else f"{word} {rng.choice(ICONS)}" if form < 0.2 else word)
+            want.append(" ".join(plain))
+            body.append(f"<p>{rng.choice([' ', chr(10)]).join(marked)}</p>")
+        html = f"<html><head><title>t</title><script>x</script></head><body><nav><ul><li>Home<li>About</ul></nav><article>{''.join(body)}</article><footer>© {rng.choice(ICONS)} all</footer></body></html>"
+        assert html_text.main_text(html) == "\n\n".join(want)
+
+
 @pytest.mark.parametrize("broken", ["<![ x", "<![x]>", "<![if !IE]>", "<![endif]>", "<![CDATA[x]]>", "<!-->", "<!>", "<?php x ?>", "</>"])
 def test_broken_markup_keeps_the_article(broken):
     text = [f"Sentence {i} of the article, which has many words in it." for i in range(9)]

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dedup, registry
+from ..storage import fresh
 from ..streaming import guard
 from . import discovery, q_keys
 from .views import choice, table
 
+HOUR = 3_600_000
 SEEN = ("ok", "error", "429", "gone")
 COMPANIES = ("Alpha SpA", "Beta Srl", "Orienta Agenzia", "Gamma Ltd", "Delta GmbH", "Epsilon")
 
@@ -117,6 +119,46 @@ def fsm_stop(spark: SparkSession, d: str) -> DataFrame:
     return guard.health(_responses(spark, d), max_429=3, max_errors=3, max_cooldowns=2)
 
 
+def _streaming(spark: SparkSession) -> SparkSession:
+    """A session that shares all but its settings, with the state store that timers need."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
+def _run_out(stream: DataFrame, name: str, mode: str = "append") -> str:
+    """The folder in which all rows of a stream over what is there now are."""
+    to = fresh(stream.sparkSession, name)
+    q = stream.writeStream.format("parquet").option("path", f"{to}/rows").option("checkpointLocation", f"{to}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return f"{to}/rows"
+
+
+def source_waits(spark: SparkSession, d: str) -> DataFrame:
+    """Rate-limited sources held for half a day and resumed, and those silent for a day, as a stream of three batches and timers tell it."""
+    r = _responses(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    own, path = _streaming(spark), fresh(spark, "responses")
+    cuts = ("2024-01-11", "2024-01-21")
+    for part in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
+        r.filter(part).coalesce(1).write.mode("append").parquet(path)
+    stream = own.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = _run_out(guard.watched(stream, 12 * HOUR, 24 * HOUR), "waits")
+    rows = spark.read.schema("source string, kind string, at_ms long").parquet(found)
+    return rows.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("at_ms").alias("first_ms"), F.max("at_ms").alias("last_ms"))
+
+
+def late_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Postings that come in three batches, the second before the first: repeated ones within two days and late ones are left out."""
+    e = table(spark, d, "events").select(F.concat_ws("/", "user_id", "event_type").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("ts", "event_id"))
+    e = e.withColumn("turn", turn).filter("turn <= 3")
+    own, path = _streaming(spark), fresh(spark, "postings")
+    for i in (2, 1, 3):
+        e.filter(F.col("turn") == i).drop("turn").coalesce(1).write.mode("append").parquet(path)
+    stream = own.readStream.schema("key string, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.read.schema("key string, event_id long, ts timestamp").parquet(_run_out(guard.first_seen_within(stream, ["key"], late="2 days"), "postings")).select("key", "event_id")
+
+
 _RESP = "(SELECT CAST(user_id AS VARCHAR) AS source, event_id AS seq, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'gone' WHEN event_type = 'click' AND event_id % 5 = 0 THEN '429' ELSE 'ok' END AS outcome FROM events)"
 _OUT = rf"""WITH c AS (SELECT p_partkey AS ord, p_partkey % 1500 AS job, {q_keys._pick(q_keys.TITLES, '(p_partkey % 1500)')} || ' x' AS title, {q_keys._pick(COMPANIES, '(p_partkey % 1500) // 8')} AS company, {q_keys._pick(q_keys.PLACES, '(p_partkey % 1500) // 5')} AS place,
     CASE WHEN p_partkey % 3 = 0 THEN 'ux and design' ELSE '' END AS snippet FROM part),
@@ -153,9 +195,28 @@ SQL = {
         FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1, LATERAL (SELECT (reason IS NULL)::INT AS go) a, LATERAL (SELECT go * (outcome = '429')::INT AS lim, go * (outcome = 'error')::INT AS err) b, LATERAL (SELECT lim = 1 AND n429 + 1 - base >= 3 AS full_, NOT (cool > 0 AND ok = last_ok) AND cool < 2 AS may) c)
       SELECT source, CAST(requests AS BIGINT) AS requests, CAST(ok AS BIGINT) AS ok, CAST(n429 AS BIGINT) AS blocked429, CAST(0 AS BIGINT) AS blocked403, CAST(gone AS BIGINT) AS gone, CAST(errors AS BIGINT) AS errors, CAST(cool AS BIGINT) AS cooldowns, reason IS NOT NULL AS stopped, reason, CAST(unsent AS BIGINT) AS unsent
       FROM r QUALIFY i = max(i) OVER (PARTITION BY source)""",
+    "source_waits": """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS source, epoch_us(ts) // 1000 AS t, event_type = 'click' AND event_id % 5 = 0 AS limited, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+      w AS (SELECT max(epoch_us(ts) // 1000) - 3600000 AS mark FROM events),
+      r AS (SELECT source, 0 AS i, CAST(0 AS BIGINT) AS until, NULL::VARCHAR AS what, CAST(0 AS BIGINT) AS t, CAST(NULL AS BIGINT) AS resumed FROM e GROUP BY 1
+        UNION ALL SELECT r.source, e.i, CASE WHEN r.until > e.t THEN r.until WHEN limited THEN e.t + 43200000 ELSE 0 END, CASE WHEN r.until > e.t THEN 'held' WHEN limited THEN 'cooldown' END, e.t, CASE WHEN r.until > 0 AND r.until <= e.t THEN r.until END
+        FROM r JOIN e ON e.source = r.source AND e.i = r.i + 1),
+      l AS (SELECT source, max_by(until, i) AS until FROM r GROUP BY 1),
+      g AS (SELECT source, t, lead(t) OVER (PARTITION BY source ORDER BY i) AS next FROM e),
+      x AS (SELECT source, what AS kind, t AS at_ms FROM r WHERE what IS NOT NULL UNION ALL SELECT source, 'resumed', resumed FROM r WHERE resumed IS NOT NULL UNION ALL SELECT source, 'resumed', until FROM l, w WHERE until > 0 AND until < mark
+        UNION ALL SELECT source, 'silent', t FROM g, w WHERE coalesce(next - t >= 86400000, t + 86400000 < mark))
+      SELECT source, kind, count(*) AS n, min(at_ms) AS first_ms, max(at_ms) AS last_ms FROM x GROUP BY 1, 2""",
+    "late_postings": """WITH e AS (SELECT user_id || '/' || event_type AS key, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS turn FROM events),
+      b AS (SELECT *, CASE turn WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS batch FROM e WHERE turn <= 3),
+      w AS (SELECT n AS batch, (SELECT max(t) // 1000 * 1000 - 172800000000 FROM b WHERE batch < n) AS mark FROM (VALUES (1), (2), (3)) v(n)),
+      p AS (SELECT key, event_id, t, batch, mark FROM b JOIN w USING (batch) WHERE mark IS NULL OR t > mark),
+      one AS (SELECT *, true AS kept FROM p WHERE batch = 1),
+      two AS (SELECT p.*, one.key IS NULL AS kept FROM p LEFT JOIN one USING (key) WHERE p.batch = 2),
+      held AS (SELECT key, max(t) + 172800000000 AS until FROM (SELECT key, t FROM one UNION ALL SELECT key, t FROM two WHERE kept) GROUP BY 1),
+      three AS (SELECT p.*, held.key IS NULL OR held.until <= (SELECT mark FROM w WHERE batch = 2) AS kept FROM p LEFT JOIN held USING (key) WHERE p.batch = 3)
+      SELECT key, event_id FROM one UNION ALL SELECT key, event_id FROM two WHERE kept UNION ALL SELECT key, event_id FROM three WHERE kept""",
     "artifact_hashes": "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents",
 }
 
 QUERIES = [
-    discover_outcomes, conservation, source_health, error_streaks, limiter_schedule, heartbeat_gap, last_success, recency_filter, checkpoint_dedup, unread_postings, run_summary, artifact_hashes, fsm_stop,
+    discover_outcomes, conservation, source_health, error_streaks, limiter_schedule, heartbeat_gap, last_success, recency_filter, checkpoint_dedup, unread_postings, run_summary, artifact_hashes, fsm_stop, source_waits, late_postings,
 ]

@@ -150,3 +150,71 @@ def test_guard_in_batch_and_stream_equals_the_loop(spark, tmp_path):
     last = {r.source: r for r in spark.table("guard_out").orderBy("requests", "unsent").collect()}
     assert set(last) == set(want)
     assert all(last[s].requests == g.requests and last[s].unsent == g.unsent for s, g in want.items())
+
+
+def hot_rows(seed, n, hot=0.7):
+    import random
+
+    rng = random.Random(seed)
+    kinds = ["ok"] * 6 + ["error"] * 5 + ["429", "gone", "other"] + ["403"] * (seed % 3 == 0)
+    return [("hot" if rng.random() < hot else rng.choice(["a", "b", None, "c"]), i * 7 % n, rng.choices(kinds[: rng.choice([7, len(kinds)])])[0]) for i in range(n)]
+
+
+@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"max_cooldowns": 0}), (3, {"max_429": 2, "max_errors": 5, "max_cooldowns": 3}), (4, {"max_429": 1, "max_errors": 9, "max_cooldowns": 40}), (5, {"max_429": 30, "max_errors": 4})])
+def test_a_hot_source_over_many_chunks_equals_the_loop(spark, seed, limits):
+    rows = hot_rows(seed, 1501)
+    df = spark.createDataFrame(rows, "source string, seq long, outcome string")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunks = guard._chunks(df)
+        assert chunks.filter("source = 'hot'").select("chunk").distinct().count() > 5
+        got = {r.source: r.asDict() for r in guard.health(df, **limits).collect()}
+        sent = {(r.source, r.seq): r.sent for r in guard.drained(df, **limits).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for s in {r[0] for r in rows}:
+        own, g = sorted((r for r in rows if r[0] == s), key=lambda r: r[1]), guard.Guard(**limits)
+        for _, seq, outcome in own:
+            assert sent[s, seq] == (not g.stopped)
+            g.see(outcome)
+        assert got[s] == g.row(s), (s, limits)
+
+
+def test_guard_of_nothing_and_without_python(spark):
+    empty = spark.createDataFrame([], "source string, seq long, outcome string")
+    assert guard.health(empty).collect() == [] and guard.drained(empty).collect() == []
+    plan = guard.health(empty.union(empty))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+
+
+def test_watch_of_one_source():
+    w = guard.Watch(10, 100)
+    seen = [x for t, o in ((0, "ok"), (5, "429"), (7, "ok"), (14, "429"), (15, "ok"), (200, "ok")) for x in w.see(t, o)]
+    assert seen == [("cooldown", 5), ("held", 7), ("held", 14), ("resumed", 15), ("silent", 15)]
+    assert w.due() == [300] and list(w.pass_to(300)) == [("silent", 200)] and w.due() == []
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_timers_equal_a_plain_loop_however_the_stream_is_cut(spark, tmp_path, batches):
+    import random
+
+    rng = random.Random(batches)
+    hour = 3_600_000
+    rows = sorted({(rng.randrange(0, 400 * hour), f"s{rng.randrange(6)}", rng.choice(["ok", "429", "ok"])) for _ in range(150)} | {(t * hour, "s9", "ok") for t in (1, 2)})
+    df = spark.createDataFrame([(s, i, o, t) for i, (t, s, o) in enumerate(rows)], "source string, seq long, outcome string, ms long").selectExpr("source", "seq", "outcome", "timestamp_millis(ms) as ts")
+    for i in range(batches):
+        df.filter(f"seq div {-(-len(rows) // batches)} = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = guard.watched(stream, 5 * hour, 20 * hour, "1 hour").writeStream.queryName(f"watched{batches}").format("memory").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(200)
+    watches, want = {}, []
+    for t, s, o in rows:
+        want += [(s, *x) for x in watches.setdefault(s, guard.Watch(5 * hour, 20 * hour)).see(t, o)]
+    mark = rows[-1][0] - hour - 1  # timers before the watermark have run out
+    for s, w in watches.items():
+        while any(t <= mark for t in w.due()):
+            want += [(s, *x) for x in w.pass_to(mark)]
+    assert sorted(map(tuple, spark.table(f"watched{batches}").collect())) == sorted(want)
+    assert any(k == "silent" and s == "s9" for s, k, _ in want) and any(k == "resumed" for _, k, _ in want)

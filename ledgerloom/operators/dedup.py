@@ -1,8 +1,7 @@
 """Merging of observations of one posting, and the report of near-duplicates.
 
-The merge depends on order, so it is a fold over each group's rows sorted by ``ord``.
-A group is the observations of one posting, of which there are few by nature; rows
-that are alone under their key, the bulk, pass by the fold.
+The merge depends on order: it is a fold over each posting's queries and urls, in the
+order of their first places. Rows that are alone under their key pass by the fold.
 """
 
 from __future__ import annotations
@@ -28,7 +27,9 @@ def merge_cards(cards: DataFrame, key: str = "key", order: str = "ord") -> DataF
     """One row per key: the first card, with the longest snippet, all queries and the other urls; n_merged counts the rest.
 
     cards: key, ord, url, snippet, discoveryQuery, alternateUrls and any other columns,
-    which are the first card's.
+    which are the first card's. A query or url that comes again changes nothing, so each
+    counts by its first place alone: these are found before anything meets at the key, which
+    then has as many rows as it has different queries and urls, however often it was seen.
     """
     rest = [c for c in cards.columns if c not in (key, order)]
     row = F.struct(F.col(order), *[F.col(c) for c in rest])
@@ -36,17 +37,23 @@ def merge_cards(cards: DataFrame, key: str = "key", order: str = "ord") -> DataF
     grouped = cards.groupBy(key).agg(
         F.min_by(row, order).alias("first"),
         F.max_by(text(F.col("snippet")), F.struct(F.length(text(F.col("snippet"))), -F.col(order))).alias("long"),
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text(F.col("discoveryQuery")).alias("q"), F.col("url").alias("u"), F.col("alternateUrls").alias("a")))).alias("all"),
+        F.count(F.lit(1)).alias("n"),
     )
-    seen = F.col("all")
-    urls = F.flatten(F.transform(seen, lambda x, i: F.concat(F.coalesce(x["a"], F.array().cast("array<string>")), F.when(i > 0, F.array(x["u"])).otherwise(F.array().cast("array<string>")))))
-    others = F.filter(F.array_distinct(urls), lambda u: normalize_url(u) != normalize_url(F.col("first.url")))
-    single = F.size(seen) == 1
+    none = F.array().cast("array<string>")
+    urls = F.transform(F.concat(F.coalesce("alternateUrls", none), F.array("url")), lambda u, i: F.struct(F.lit("u").alias("kind"), u.alias("value"), i.alias("i")))
+    query = F.array(F.struct(F.lit("q").alias("kind"), text(F.col("discoveryQuery")).alias("value"), F.lit(0).alias("i")))
+    items = cards.select(key, order, F.explode(F.concat(query, urls)).alias("x")).select(key, order, "x.*")
+    items = items.groupBy(key, "kind", "value").agg(F.min(F.struct(F.col(order).alias("o"), "i")).alias("at"))
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "value")))).alias(kind)
+    items = items.groupBy(F.col(key).alias("_key")).agg(listed("q"), listed("u"))
+    both = grouped.join(items, F.col(key).eqNullSafe(F.col("_key")))
+    values = lambda kind: F.transform(kind, lambda x: x["value"])
+    single = F.col("n") == 1
     out = {c: F.col(f"first.{c}") for c in rest}
     out["snippet"] = F.when(single, F.col("first.snippet")).otherwise(F.col("long"))
-    out["discoveryQuery"] = F.when(single, F.col("first.discoveryQuery")).otherwise(fold_queries(F.transform(seen, lambda x: x["q"])))
-    out["alternateUrls"] = F.when(single, F.col("first.alternateUrls")).otherwise(others)
-    return grouped.select(F.col(key), F.col(f"first.{order}").alias(order), *[e.alias(c) for c, e in out.items()], (F.size(seen) - 1).alias("n_merged"))
+    out["discoveryQuery"] = F.when(single, F.col("first.discoveryQuery")).otherwise(fold_queries(values("q")))
+    out["alternateUrls"] = F.when(single, F.col("first.alternateUrls")).otherwise(F.filter(values("u"), lambda u: normalize_url(u) != normalize_url(F.col("first.url"))))
+    return both.select(F.col(key), F.col(f"first.{order}").alias(order), *[e.alias(c) for c, e in out.items()], (F.col("n") - 1).alias("n_merged"))
 
 
 def near_duplicates(cards: DataFrame, company: str = "company", title: str = "title", location: str = "location", fold=None) -> DataFrame:

@@ -81,25 +81,25 @@ def admissibility(title: Column, snippet: Column, stage_nature: Column, work_mod
     )
 
 
-#: Patterns that one expression of a plan may hold.
-MOST_PATTERNS = 2000
-
-
 def attribute(cards: DataFrame, aggregators: DataFrame, company: str = "company", fold=None) -> DataFrame:
-    """cards with ``aggregator``, the first pattern of aggregators(pattern, entry_ord) whose words stand in the company's name.
+    """cards with ``aggregator``, the first pattern of aggregators(pattern, entry_ord) whose words stand side by side in the company's name.
 
-    The table is small and hand-kept: its patterns become one expression of the plan,
-    so no join is needed and no row of cards moves.
+    An inverted index of runs of words: each distinct name is taken apart into the runs
+    that are as long as some pattern, which join the patterns by equality. A pattern that
+    stands there several times counts by its first entry. Patterns may be any number.
     """
     names = {"fold": fold} if fold else {}
-    patterns = [r[0] for r in aggregators.orderBy("entry_ord").select("pattern").limit(MOST_PATTERNS + 1).collect()]
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns: too many for one expression")
-    padded = F.concat(F.lit(" "), norm_company(F.col(company), **names), F.lit(" "))
-    hit = F.lit(None).cast("string")
-    for p in reversed(patterns):
-        hit = F.when(F.contains(padded, F.lit(f" {' '.join(p.split())} ")), p).otherwise(hit) if p.split() else hit
-    return cards.withColumn("aggregator", hit)
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    index = aggregators.select("entry_ord", "pattern", words(F.col("pattern")).alias("w")).filter("size(w) > 0")
+    index = index.groupBy(F.array_join("w", " ").alias("run"), F.size("w").alias("n")).agg(F.min(F.struct("entry_ord", "pattern")).alias("entry"))
+    lengths = index.agg(F.sort_array(F.collect_set("n")).alias("n")).first()[0]  # as many as patterns differ in length
+    known = cards.select(F.col(company).alias("_name")).distinct()
+    known = known.select("_name", words(norm_company(F.col("_name"), **names)).alias("w"))
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    every = F.flatten(F.array(*[F.when(F.size("w") >= n, of_length(F.lit(n))).otherwise(F.array().cast("array<string>")) for n in lengths]).cast("array<array<string>>"))
+    runs = known.select("_name", F.explode(F.array_distinct(every)).alias("run"))
+    found = runs.join(index, "run").groupBy("_name").agg(F.min("entry")["pattern"].alias("aggregator"))
+    return cards.join(found, F.col(company) == F.col("_name"), "left").drop("_name")
 
 
 def with_outcome(df: DataFrame, condition: Column, outcome: str | Column) -> DataFrame:

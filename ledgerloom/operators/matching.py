@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import dice
+from ..storage import ship, stored
 
 THRESHOLD = 0.86
 
@@ -63,14 +67,56 @@ def match_ladder(incoming: DataFrame, canon: DataFrame, aliases: DataFrame) -> D
     return out.withColumn("kind", kind).select(*incoming.columns, "rung", "kind", F.when(F.col("kind") == "matched", idx).alias("matched_idx"))
 
 
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, name, in_l, in_r, carried in the order of part and name -> (l_norm, r_norm) of which one begins the other.
+
+    Names that begin the one at hand are a chain, each beginning the next: a stack holds it.
+    """
+    part, stack = None, []
+    for batch in batches:
+        left, right = [], []
+        for p, name, in_l, in_r, carried in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != part:
+                part, stack = p, []
+            while stack and not name.startswith(stack[-1][0]):
+                stack.pop()
+            for other, o_l, o_r in () if carried else stack:
+                if o_l and in_r:
+                    left.append(other)
+                    right.append(name)
+                if o_r and in_l:
+                    left.append(name)
+                    right.append(other)
+            if name:
+                stack.append((name, in_l, in_r))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["l_norm", "r_norm"])
+
+
+def prefix_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l_norm, r_norm) of left(l_norm) and right(r_norm), each distinct, of which one is a beginning of the other and not all of it.
+
+    A range join over sorted names: what begins with a name follows it in one interval. All
+    names are sorted once, in ranges; each range is read in order, with the names of earlier
+    ranges that begin its first one, as no others of them reach into it. Empty names begin none.
+    """
+    ship(left.sparkSession)
+    both = left.select(F.col("l_norm").alias("name"), F.lit(True).alias("l"), F.lit(False).alias("r")).union(right.select("r_norm", F.lit(False), F.lit(True)))
+    both = both.groupBy("name").agg(F.max("l").alias("in_l"), F.max("r").alias("in_r")).filter("name <> ''")
+    both = stored(both.repartitionByRange("name").withColumn("part", F.spark_partition_id()), "names")
+    firsts = both.groupBy("part").agg(F.min("name").alias("first"))
+    begins = firsts.select("part", F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda i: F.left("first", i))).alias("name")).filter("name is not null")
+    carried = begins.join(both.withColumnRenamed("part", "home"), "name").filter("home < part").select("part", "name", "in_l", "in_r", F.lit(True).alias("carried"))
+    rows = both.select("part", "name", "in_l", "in_r", F.lit(False).alias("carried")).union(carried)
+    return rows.repartition("part").sortWithinPartitions("part", "name").mapInArrow(_nested, "l_norm string, r_norm string")
+
+
 def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (l_norm, r_norm) of different names whose words have Dice >= threshold, or one of which begins the other.
 
     Not a cross join. Dice of t or more needs a common word among the rarest of either
     name: with n words at least ceil(n t / (2 - t)) are common, so one of the first
     n - that + 1 words, by rising frequency, is. Names whose numbers of words are too far
-    apart are left out within that join. The prefix rule joins each name's prefixes with
-    the names themselves, an equi-join.
+    apart are left out within that join. The prefix rule is a range join of sorted names.
     """
     l_, r_ = left.select(F.col("norm").alias("l_norm")).distinct(), right.select(F.col("norm").alias("r_norm")).distinct()
     words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("w")).filter("w <> ''")
@@ -87,10 +133,7 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = THRES
     n, m = F.col("n_l_norm"), F.col("n_r_norm")
     alike = 2 * F.least(n, m) >= (n + m) * F.lit(threshold) - 1e-9
     by_words = prefix(lw, "l_norm").join(prefix(rw, "r_norm"), "w").filter(alike).select("l_norm", "r_norm").distinct()
-    starts = lambda df, c: df.select(c, F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(F.col(c), F.lit(1), i))).alias("p")).filter(F.length(c) > 0)
-    by_left = starts(l_, "l_norm").join(r_, F.col("p") == F.col("r_norm")).select("l_norm", "r_norm")
-    by_right = starts(r_, "r_norm").join(l_, F.col("p") == F.col("l_norm")).select("l_norm", "r_norm")
-    pairs = by_words.union(by_left).union(by_right).distinct().filter("l_norm <> r_norm")
+    pairs = by_words.union(prefix_pairs(l_, r_)).distinct().filter("l_norm <> r_norm")
     ratio = dice(F.col("l_norm"), F.col("r_norm"))
     begins = F.col("l_norm").startswith(F.col("r_norm")) | F.col("r_norm").startswith(F.col("l_norm"))
     return pairs.withColumn("ratio", ratio).filter((F.col("ratio") >= threshold) | begins)

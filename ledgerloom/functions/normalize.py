@@ -1,23 +1,16 @@
 """Match keys: names, titles, places, urls, languages, work modes, dates.
 
-Every function takes and returns a Column and stays in the JVM, but for
-``decode_entities``, which is an Arrow UDF. Null counts as the empty string. Word boundaries are written out as
+Every function takes and returns a Column and stays in the JVM. Null counts as the empty string. Word boundaries are written out as
 ASCII look-arounds: Java's own follow Unicode, and would tell 'stageé' from 'stage'.
 """
 
 from __future__ import annotations
 
-import html
-import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..storage import ship
 
 #: White space as browsers and Python see it: ASCII and the no-break space.
 WS = r"[\s ]"
@@ -114,7 +107,23 @@ def nfkd(c: Column) -> Column:
     return F.when(~c.rlike("[^\\x00-\\x7f]"), c).otherwise(F.regexp_replace(F.translate(whole, one, others), "[\u0300-\u036f]", ""))
 
 
-latin = nfkd
+@lru_cache(maxsize=1)
+def _to_ascii() -> tuple[str, str, dict[str, str]]:
+    """Of the decompositions those that hold ASCII, or nothing: all that a key of a-z and 0-9 can tell apart."""
+    one, others, more = _decompositions()
+    pairs = [(a, b) for a, b in zip(one, others, strict=True) if b.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), {k: v for k, v in more.items() if not v or any(x.isascii() for x in v)}
+
+
+def latin(c: Column) -> Column:
+    """As nfkd for what becomes a key of ASCII letters and digits: other letters stay as they are, and the table is small."""
+    one, others, more = _to_ascii()
+    c = text(c)
+    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in more.items())), F.lit("\x01"), F.lit("\x02"))
+    rest = "".join(f"\\x{{{ord(x):x}}}" for x in more)
+    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    whole = F.when(c.rlike(f"[{rest}]"), apart).otherwise(c)
+    return F.when(~c.rlike("[^\\x00-\\x7f]"), c).otherwise(F.regexp_replace(F.translate(whole, one, others), "[\u0300-\u036f]", ""))
 
 
 def collapse(c: Column) -> Column:
@@ -125,25 +134,30 @@ def alnum_words(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
-def norm_company(c: Column, fold=nfkd) -> Column:
+def norm_company(c: Column, fold=latin) -> Column:
     """Lower case, no marks, no parentheses, no legal form; words of a-z and 0-9."""
     plain = F.regexp_replace(fold(F.lower(text(c))), r"\([^)]*\)", " ")
     return alnum_words(F.regexp_replace(plain, f"(?i){LEFT}(?:{LEGAL_SUFFIXES}){RIGHT}", " "))
 
 
-def norm_title(c: Column, fold=nfkd) -> Column:
+def norm_title(c: Column, fold=latin) -> Column:
     """Lower case, no marks, every word for an internship as "intern"."""
     return alnum_words(F.regexp_replace(fold(F.lower(text(c))), f"(?i){LEFT}(?:{'|'.join(sorted(INTERN_WORDS, key=len, reverse=True))}){RIGHT}", "intern"))
 
 
-def norm_city(c: Column, fold=nfkd) -> Column:
+def norm_city(c: Column, fold=latin) -> Column:
     """What precedes the first comma, folded; known names of one place become one."""
     first = fold(F.lower(F.trim(F.split_part(text(c), F.lit(","), F.lit(1)))))
     return lookup(collapse(F.regexp_replace(first, r"[^a-z\s]+", " ")), CITY_ALIASES)
 
 
-def role_key(company: Column, title: Column, location: Column, fold=nfkd) -> Column:
-    return F.concat(F.lit("x:"), norm_company(company, fold), F.lit("|"), norm_title(title, fold), F.lit("|"), norm_city(location, fold))
+def role_key(company: Column, title: Column, location: Column, fold=latin) -> Column:
+    return key_of(norm_company(company, fold), norm_title(title, fold), norm_city(location, fold))
+
+
+def key_of(company: Column, title: Column, city: Column) -> Column:
+    """The role key of parts that are normalised already."""
+    return F.concat(F.lit("x:"), company, F.lit("|"), title, F.lit("|"), city)
 
 
 def is_tracking(name: Column) -> Column:
@@ -165,30 +179,27 @@ def strip_seat_suffix(c: Column) -> Column:
     return F.trim(F.regexp_replace(text(c), r"\s*[—–]\s*.*$", ""))
 
 
-@F.pandas_udf(T.StringType())
-def _entities(s: pd.Series) -> pd.Series:
-    point = re.compile(r"&#(x?)([0-9A-Fa-f]+);")
-
-    def char(m: re.Match) -> str:
-        try:
-            return chr(int(m[2], 16 if m[1] else 10))
-        except (ValueError, OverflowError):
-            return m[0]
-
-    def decode(v: str | None) -> str | None:
-        if v is None or "&" not in v:
-            return v
-        v = v.replace("&amp;", "&")  # first, so doubly written entities are decoded twice
-        for name in ("lt", "gt", "quot", "nbsp"):
-            v = v.replace(f"&{name};", html.unescape(f"&{name};") if name != "nbsp" else " ")
-        return point.sub(char, v)
-
-    return s.map(decode)
+def _referred(ref: Column) -> Column:
+    """The character of ``&#...;``, or the reference itself where it names none."""
+    digits = F.regexp_replace(F.regexp_extract(ref, "^&#x?([0-9A-Fa-f]+);$", 1), "^0+(?=.)", "")
+    is_hex = ref.startswith("&#x")
+    fits = (F.length(digits) <= 8) & (is_hex | digits.rlike("^[0-9]+$"))
+    point = F.when(fits, F.conv(digits, 16, 10).cast("long")).otherwise(F.lit(-1))
+    point = F.when(is_hex, point).otherwise(F.when(fits, digits.cast("long")).otherwise(F.lit(-1)))
+    valid = point.between(0, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(ref)
 
 
 def decode_entities(c: Column) -> Column:
-    ship()
-    return _entities(text(c))
+    """Named and numeric references, &amp; first, so what was written twice is decoded twice."""
+    v = text(c)
+    named = F.replace(v, F.lit("&amp;"), F.lit("&"))
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " ")):
+        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
+    pattern = "&#x?[0-9A-Fa-f]+;"
+    refs = F.transform(F.regexp_extract_all(named, F.lit(pattern), F.lit(0)), _referred)
+    decoded = F.array_join(F.zip_with(F.split(named, pattern), refs, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    return F.when(F.instr(v, "&") == 0, v).when(F.instr(named, "&#") == 0, named).otherwise(decoded)
 
 
 def strip_tags(c: Column) -> Column:
@@ -235,7 +246,7 @@ def same_value(a: Column, b: Column, date: bool = False) -> Column:
     return equal | F.coalesce(parse_date(x) == parse_date(y), F.lit(False)) if date else equal
 
 
-def company_id(c: Column, prefix: str = "polids-", fold=nfkd) -> Column:
+def company_id(c: Column, prefix: str = "polids-", fold=latin) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha1(norm_company(c, fold)), 1, 8))
 
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.normalize import nfkd, norm_company, normalize_url, role_key
+from ..functions.normalize import key_of, latin, norm_city, norm_company, norm_title, normalize_url
 from ..operators import dedup, gates, matching, ranking
 
 
@@ -25,7 +25,7 @@ class Config:
     false_friends: list[str] = field(default_factory=list)
     top_k: int = 100
     admitted_languages: list[str] | None = None
-    fold: object = nfkd
+    fold: object = latin
 
     def pairs(self) -> list[tuple[str, str]]:
         """(query, area) of the fan-out: the first of each area, then the second of each, and so on."""
@@ -50,7 +50,9 @@ def run(cards: DataFrame, config: Config, aggregators: DataFrame, history: tuple
     df = df.withColumn("key", dedup.card_key(F.col("source"), F.col("sourceJobId"), F.col("url")))
     open_ = df.filter("outcome is null").drop("outcome", "ground", "aggregator")
     merged = dedup.merge_cards(open_)
-    keyed = merged.withColumn("norm_company", norm_company(F.col("company"), fold)).withColumn("url_norm", normalize_url(F.col("url"))).withColumn("role_key", role_key(F.col("company"), F.col("title"), F.col("location"), fold))
+    # each column is folded once
+    keyed = merged.withColumns({"norm_company": norm_company(F.col("company"), fold), "url_norm": normalize_url(F.col("url")), "_title": norm_title(F.col("title"), fold), "_city": norm_city(F.col("location"), fold)})
+    keyed = keyed.withColumn("role_key", key_of(F.col("norm_company"), F.col("_title"), F.col("_city"))).drop("_title", "_city")
     fresh = matching.history_verdict(keyed, *history)
     scored = ranking.with_score(fresh, F.col("title"), F.col("snippet"), config.false_friends, [t for ts in config.areas.values() for t in ts])
     scored = scored.withColumn("score", F.when(F.col("reason").isNull(), F.col("score")))
@@ -63,5 +65,25 @@ def run(cards: DataFrame, config: Config, aggregators: DataFrame, history: tuple
     return out.withColumn("outcome", F.coalesce("outcome", "ended", F.lit("merged"))).drop("ended")
 
 
+#: By what a card may leave.
+OUTCOMES = ("non-eu", "unresolved", "excluded", "merged", "duplicate", "kept", "dropped")
+
+
+def write_run(outcomes: DataFrame, path: str) -> dict[str, int]:
+    """Write all rows in a folder per outcome below ``path``; the report is counted in the same pass, and written beside them.
+
+    The report has the cards seen, those of each outcome, of each ground of exclusion, and
+    those of none of these, which is 0: outcomes add up to the cards seen.
+    """
+    n, is_ = F.count(F.lit(1)), lambda c, v: F.count_if(F.col(c) == v)
+    seen = Observation("run")
+    metrics = [n.alias("seen"), *[is_("outcome", o).alias(o) for o in OUTCOMES], *[is_("ground", g).alias(f"excluded: {g}") for g in gates.GROUNDS]]
+    metrics.append(F.count_if(~F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False))).alias("other"))
+    outcomes.observe(seen, *metrics).write.partitionBy("outcome").parquet(f"{path}/rows")
+    report = {k: int(v) for k, v in seen.get.items()}
+    outcomes.sparkSession.createDataFrame(list(report.items()), "name string, n long").coalesce(1).write.json(f"{path}/report")
+    return report
+
+
 def counters(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

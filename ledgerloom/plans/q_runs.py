@@ -53,6 +53,16 @@ def conservation(spark: SparkSession, d: str) -> DataFrame:
     return counts.unionByName(seen)
 
 
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a run, counted while its rows are written, beside a count of what was written."""
+    path = fresh(spark, "run")
+    discovery.write_run(_outcomes(spark, d), path)
+    rows = spark.read.parquet(f"{path}/rows")
+    grounds = rows.filter("ground is not null").groupBy(F.concat(F.lit("excluded: "), "ground").alias("name"))
+    written = rows.groupBy(F.col("outcome").alias("name")).agg(F.count(F.lit(1)).alias("rows")).union(grounds.agg(F.count(F.lit(1)))).union(rows.agg(F.count(F.lit(1))).select(F.lit("seen"), "*"))
+    return spark.read.schema("name string, n long").json(f"{path}/report").join(written, "name", "left").select("name", "n", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def _responses(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "gone").when((F.col("event_type") == "click") & (F.col("event_id") % 5 == 0), "429").otherwise("ok")
     return table(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("seq"), kind.alias("outcome"), "ts")
@@ -175,6 +185,9 @@ _OUT = rf"""WITH c AS (SELECT p_partkey AS ord, p_partkey % 1500 AS job, {q_keys
 SQL = {
     "discover_outcomes": _OUT + " SELECT ord, outcome, ground, score FROM out",
     "conservation": _OUT + " SELECT outcome, count(*) AS n FROM out GROUP BY 1 UNION ALL SELECT 'seen', count(*) FROM part",
+    "run_report": _OUT + """, n AS (SELECT outcome AS name FROM out UNION ALL SELECT 'excluded: ' || ground FROM out WHERE ground IS NOT NULL UNION ALL SELECT 'seen' FROM part),
+      k AS (SELECT unnest(['seen', 'non-eu', 'unresolved', 'excluded', 'merged', 'duplicate', 'kept', 'dropped', 'excluded: senior-without-stage', 'excluded: fully-remote', 'excluded: closed-ad', 'excluded: mandatory-language', 'other']) AS name)
+      SELECT k.name, count(n.name) AS n, count(n.name) AS rows FROM k LEFT JOIN n USING (name) GROUP BY k.name""",
     "source_health": f"SELECT source, count(*) AS requests, count(*) FILTER (WHERE outcome = 'ok') AS n_ok, count(*) FILTER (WHERE outcome = 'error') AS n_error, count(*) FILTER (WHERE outcome = '429') AS n_429, count(*) FILTER (WHERE outcome = 'gone') AS n_gone FROM {_RESP} GROUP BY 1",
     "error_streaks": f"""WITH i AS (SELECT *, sum((outcome = 'ok')::INT) OVER (PARTITION BY source ORDER BY seq) AS island FROM {_RESP}), s AS (SELECT *, sum((outcome = 'error')::INT) OVER (PARTITION BY source, island ORDER BY seq) AS streak FROM i)
       SELECT source, CAST(max(streak) AS BIGINT) AS longest, min(seq) FILTER (WHERE streak >= 3) AS stop_seq FROM s GROUP BY 1""",
@@ -218,5 +231,5 @@ SQL = {
 }
 
 QUERIES = [
-    discover_outcomes, conservation, source_health, error_streaks, limiter_schedule, heartbeat_gap, last_success, recency_filter, checkpoint_dedup, unread_postings, run_summary, artifact_hashes, fsm_stop, source_waits, late_postings,
+    discover_outcomes, conservation, run_report, source_health, error_streaks, limiter_schedule, heartbeat_gap, last_success, recency_filter, checkpoint_dedup, unread_postings, run_summary, artifact_hashes, fsm_stop, source_waits, late_postings,
 ]

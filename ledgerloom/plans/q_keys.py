@@ -18,7 +18,36 @@ lower((SELECT CASE WHEN len(kept) > 0 THEN head || '?' || array_to_string(list_s
 """
 SQL_COMPANY = r"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({0})), '\([^)]*\)', ' ', 'g'), '\b(?:s\.?p\.?a\.?|s\.?r\.?l\.?|s\.?a\.?s\.?|ltd|limited|gmbh|sas|sarl|bv|nv|sl|sa|inc|llc|spa|srl)\b', ' ', 'gi'), '[^a-z0-9]+', ' ', 'g'))"
 SQL_TITLE = r"trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '\b(?:praktikant(?::in)?|beca(?:rio/a)?|tirocinante|internship|stagiaire|tirocinio|praktikum|stagista|stageur|intern|stage)\b', 'intern', 'gi'), '[^a-z0-9]+', ' ', 'g'))"
-SQL_INTERN = gates.INTERN
+#: Fixed values of the twins, written out here and not taken from the code that they check.
+SQL_INTERN = (
+    r"interns?|internships?|stages?|stagist[aie]|stagiaires?|stageur|tirocini|tirocinio|tirocinant[ei]|working students?|werkstudent(?:in)?|curricular|"
+    r"curriculare|curricolare|praktikant(?:in)?|praktikum|becas?|becari[oa]s?"
+)
+SQL_SENIOR, SQL_OUTRIGHT = "senior|manager|director|head of|vice president|vp|principal", "senior|head of|vice president|vp|principal"
+SQL_JUNIOR = "junior|jr|assistant|assistante|assistente|trainee|alternant|alternante|alternance|apprenti|apprentie|apprentissage"
+SQL_CLOSED = "no longer accepting|this job is closed|offerta chiusa|position filled|scaduto"
+SQL_APPLY = "apply|candidati|invia (?:il tuo )?curriculum|bewerbung"
+SQL_EU = (
+    "italy italia milan milano rome roma turin torino naples napoli bologna florence venice france paris germany berlin munich spain madrid barcelona "
+    "austria vienna netherlands amsterdam belgium brussels portugal lisbon sweden stockholm denmark copenhagen ireland dublin greece athens finland "
+    "helsinki poland warsaw europe eu"
+).split()
+SQL_STATES = (
+    "alabama alaska arizona arkansas california colorado connecticut delaware florida georgia hawaii idaho illinois indiana iowa kansas kentucky louisiana "
+    "maine maryland massachusetts michigan minnesota mississippi missouri montana nebraska nevada hampshire jersey mexico york carolina dakota ohio "
+    "oklahoma oregon pennsylvania rhode tennessee texas utah vermont virginia washington wisconsin wyoming"
+).split()
+SQL_OTHER = (
+    "uk england london canada toronto india china beijing shanghai singapore dubai uae australia sydney brasil brazil mexico chile colombia japan tokyo "
+    "korea seoul"
+).split()
+SQL_CODES = (
+    "AK AL AR AZ CA CO CT DC DE FL GA HI IA ID IL IN KS KY LA MA MD ME MI MN MO MS MT NC ND NE NH NJ NM NV NY OH OK OR PA RI SC SD TN TX UT VA VT WA WI WV "
+    "WY"
+).split()
+#: Places that name each of these terms, for the queries of places.
+TERMS = (*[x.title() for x in SQL_EU], *SQL_STATES, *[x.upper() for x in SQL_OTHER], *SQL_CODES, "European Union", "District of Columbia", "U.S.A", "us", "United Kingdom", "Romeville", "Parisian", "Atlantis")
+ENDS = ("", ", Lombardy, Italy", ", TX", " (remote)", ", UK", "x", ", In.")
 
 PLACES = ("Milan, Lombardy, Italy", "College Station, TX", "London", "", "To verify", "Berlin, Germany", "Berlin, DE", "Toronto, Canada")
 FIRMS = ("Acme S.p.A.", "Nova Gmbh (Group)", "Orienta Agenzia", "Kering SA", "Orientamento Srl", "Best Jobs Board", "Società Générale Müller SA", "Ateliér Žižka (Łódź) Srl")
@@ -59,7 +88,9 @@ def html_block_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def geo_gate(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", choice(F.col("c_custkey"), PLACES).alias("place"))
+    """Places that name every term, with every ending in turn."""
+    k = F.col("p_partkey")
+    c = table(spark, d, "part").select(F.concat(choice(k, TERMS), choice(F.floor(k / len(TERMS)), ENDS)).alias("place"))
     return c.groupBy("place", gates.geo_verdict(F.col("place")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -153,9 +184,9 @@ def _pick(values: tuple[str, ...], k: str) -> str:
 
 
 _SIGNALS = rf"""SELECT page_id, left(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), 120) AS title,
-  regexp_matches(left(html, 120000), '(?i)\b(?:{SQL_INTERN})\b') AS has_intern, regexp_matches(left(html, 120000), '(?i){gates.APPLY}') AS has_apply FROM pages"""
-_EU, _FAR = "|".join([*gates.EU_PLACES, "european union"]), "|".join([*gates.US_STATES, *gates.OTHER_PLACES, "united states", "district of columbia", "united kingdom", r"u\.?s\.?a?"])
-_GEO = rf"CASE WHEN trim({{0}}) = '' THEN 'unknown' WHEN regexp_matches(trim({{0}}), '\b(?:{'|'.join(gates.STATE_CODES)})\.?$') THEN 'non-eu' WHEN regexp_matches({{0}}, '(?i)\b(?:{_FAR})\b') AND NOT regexp_matches({{0}}, '(?i)\b(?:{_EU})\b') THEN 'non-eu' WHEN regexp_matches({{0}}, '(?i)\b(?:{_EU})\b') THEN 'eu' ELSE 'unknown' END"
+  regexp_matches(left(html, 120000), '(?i)\b(?:{SQL_INTERN})\b') AS has_intern, regexp_matches(left(html, 120000), '(?i){SQL_APPLY}') AS has_apply FROM pages"""
+_EU, _FAR = "|".join([*SQL_EU, "european union"]), "|".join([*SQL_STATES, *SQL_OTHER, "united states", "district of columbia", "united kingdom", r"u\.?s\.?a?"])
+_GEO = rf"CASE WHEN trim({{0}}) = '' THEN 'unknown' WHEN regexp_matches(trim({{0}}), '\b(?:{'|'.join(SQL_CODES)})\.?$') THEN 'non-eu' WHEN regexp_matches({{0}}, '(?i)\b(?:{_FAR})\b') AND NOT regexp_matches({{0}}, '(?i)\b(?:{_EU})\b') THEN 'non-eu' WHEN regexp_matches({{0}}, '(?i)\b(?:{_EU})\b') THEN 'eu' ELSE 'unknown' END"
 _CITY = "CASE WHEN {0} = '' THEN '' ELSE coalesce(map {{'milano': 'milan', 'roma': 'rome', 'torino': 'turin', 'italia': 'italy'}}[{0}], {0}) END".format(r"trim(regexp_replace(regexp_replace(lower(trim(split_part(place, ',', 1))), '[^a-z\s]+', ' ', 'g'), '\s+', ' ', 'g'))")
 _MODE = r"CASE regexp_replace(lower(trim({0})), '[\s_-]', '', 'g') WHEN 'onsite' THEN 'onsite' WHEN 'hybrid' THEN 'hybrid' WHEN 'remote' THEN 'fully_remote' WHEN 'fullyremote' THEN 'fully_remote' END"
 _TONGUE = "CASE strip_accents(lower({0})) WHEN 'inglese' THEN 'english' WHEN 'it' THEN 'italian' WHEN 'deutsch' THEN 'german' WHEN 'espanol' THEN 'spanish' ELSE strip_accents(lower({0})) END"
@@ -170,7 +201,7 @@ SQL = {
       WHEN title = '' AND NOT has_intern THEN 'To verify — page returned no readable content (soft 404 or JS-rendered shell)' ELSE 'To verify — apply path not visible on the employer page (may be JS-rendered)' END AS status, count(*) AS n FROM ({_SIGNALS}) GROUP BY 1""",
     "html_block_parse": """SELECT page_id, i AS pos, regexp_extract(b, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(split_part(b, '</li>', 1), '<[^>]+>', ' ', 'g')) AS label
       FROM (SELECT page_id, unnest(string_split(html, '<li>')) AS b, unnest(range(len(string_split(html, '<li>')))) AS i FROM pages) WHERE i > 0""",
-    "geo_gate": f"SELECT place, {_GEO.format('place')} AS verdict, count(*) AS n FROM (SELECT {_pick(PLACES, 'c_custkey')} AS place FROM customer) GROUP BY ALL",
+    "geo_gate": f"SELECT place, {_GEO.format('place')} AS verdict, count(*) AS n FROM (SELECT {_pick(TERMS, 'p_partkey')} || {_pick(ENDS, f'p_partkey // {len(TERMS)}')} AS place FROM part) GROUP BY ALL",
     "place_side": f"SELECT c_custkey, CASE WHEN place LIKE '%Italy' THEN 'Yes' WHEN place LIKE '%Germany' THEN 'No' END AS side FROM (SELECT c_custkey, {_pick(PLACES, 'c_custkey')} AS place FROM customer)",
     "company_keys": f"SELECT c_custkey, norm, 'polids-' || left(sha1(norm), 8) AS company_id FROM (SELECT c_custkey, {SQL_COMPANY.format('firm')} AS norm FROM (SELECT c_custkey, {_pick(FIRMS, 'c_custkey')} || ' ' || c_name AS firm FROM customer))",
     "role_keys": f"""SELECT c_custkey, 'x:' || {SQL_COMPANY.format('firm')} || '|' || {SQL_TITLE.format('title')} || '|' || {_CITY} AS role_key
@@ -178,9 +209,9 @@ SQL = {
     "attribution": f"""WITH s AS (SELECT ' ' || {SQL_COMPANY.format('firm')} || ' ' AS n FROM (SELECT {_pick(FIRMS, 'c_custkey')} AS firm FROM customer)),
       a AS (SELECT CASE WHEN contains(n, ' orienta ') THEN 'orienta' WHEN contains(n, ' jobs board ') THEN 'jobs board' WHEN contains(n, ' board ') THEN 'board' WHEN contains(n, ' absent ') THEN 'absent' END AS hit FROM s)
       SELECT pattern, count(hit) AS hits FROM (VALUES ('orienta'), ('jobs board'), ('board'), ('absent')) t(pattern) LEFT JOIN a ON hit = pattern GROUP BY pattern""",
-    "admissibility": rf"""SELECT p_partkey, CASE WHEN regexp_matches(title, '(?i)\b(?:{gates.SENIOR})\b') AND (regexp_matches(title, '(?i)\b(?:{gates.OUTRIGHT})\b') OR NOT regexp_matches(title, '(?i)\b(?:{gates.NOT_CLEARLY})\b'))
+    "admissibility": rf"""SELECT p_partkey, CASE WHEN regexp_matches(title, '(?i)\b(?:{SQL_SENIOR})\b') AND (regexp_matches(title, '(?i)\b(?:{SQL_OUTRIGHT})\b') OR NOT regexp_matches(title, '(?i)\b(?:{SQL_JUNIOR})\b'))
         AND NOT (p_partkey % 17 = 0 OR regexp_matches(title || chr(10) || snippet, '(?i)\b(?:{SQL_INTERN})\b')) THEN 'senior-without-stage'
-      WHEN mode = 'fully_remote' THEN 'fully-remote' WHEN p_partkey % 13 = 0 OR regexp_matches(title || chr(10) || snippet, '(?i){gates.CLOSED}') THEN 'closed-ad'
+      WHEN mode = 'fully_remote' THEN 'fully-remote' WHEN p_partkey % 13 = 0 OR regexp_matches(title || chr(10) || snippet, '(?i){SQL_CLOSED}') THEN 'closed-ad'
       WHEN lang IN ('german', 'spanish') THEN 'mandatory-language' END AS ground
       FROM (SELECT p_partkey, {_pick(TITLES, 'p_partkey')} || ' ' || p_name AS title, CASE WHEN p_partkey % 11 = 0 THEN 'Offerta chiusa' ELSE '' END AS snippet, {_MODE.format(_pick(MODES, 'p_partkey // 8'))} AS mode, {_TONGUE.format(_pick(TONGUES, 'p_partkey // 5'))} AS lang FROM part)""",
     "work_modes": f"SELECT c_custkey, {_MODE.format('m')} AS work_mode, {_TONGUE.format('t')} AS language, t <> 'klingon' AS known FROM (SELECT c_custkey, {_pick(MODES, 'c_custkey')} AS m, {_pick(TONGUES, 'c_custkey')} AS t FROM customer)",

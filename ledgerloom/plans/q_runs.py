@@ -173,7 +173,7 @@ _RESP = "(SELECT CAST(user_id AS VARCHAR) AS source, event_id AS seq, CASE WHEN
 _OUT = rf"""WITH c AS (SELECT p_partkey AS ord, p_partkey % 1500 AS job, {q_keys._pick(q_keys.TITLES, '(p_partkey % 1500)')} || ' x' AS title, {q_keys._pick(COMPANIES, '(p_partkey % 1500) // 8')} AS company, {q_keys._pick(q_keys.PLACES, '(p_partkey % 1500) // 5')} AS place,
     CASE WHEN p_partkey % 3 = 0 THEN 'ux and design' ELSE '' END AS snippet FROM part),
   g AS (SELECT *, CASE WHEN {q_keys._GEO.format('place')} = 'non-eu' THEN 'non-eu' WHEN company = 'Orienta Agenzia' THEN 'unresolved' END AS o1,
-    CASE WHEN regexp_matches(title, '(?i)\b(?:{q_keys.gates.SENIOR})\b') AND (regexp_matches(title, '(?i)\b(?:{q_keys.gates.OUTRIGHT})\b') OR NOT regexp_matches(title, '(?i)\b(?:{q_keys.gates.NOT_CLEARLY})\b')) AND NOT regexp_matches(title || chr(10) || snippet, '(?i)\b(?:{q_keys.SQL_INTERN})\b') THEN 'senior-without-stage'
+    CASE WHEN regexp_matches(title, '(?i)\b(?:{q_keys.SQL_SENIOR})\b') AND (regexp_matches(title, '(?i)\b(?:{q_keys.SQL_OUTRIGHT})\b') OR NOT regexp_matches(title, '(?i)\b(?:{q_keys.SQL_JUNIOR})\b')) AND NOT regexp_matches(title || chr(10) || snippet, '(?i)\b(?:{q_keys.SQL_INTERN})\b') THEN 'senior-without-stage'
       WHEN job % 10 = 3 THEN 'fully-remote' END AS gr FROM c),
   h AS (SELECT *, CASE WHEN o1 IS NOT NULL THEN o1 WHEN gr IS NOT NULL THEN 'excluded' END AS o2 FROM g),
   s AS (SELECT job, min(ord) AS ord, arg_max(snippet, struct_pack(a := length(snippet), b := -ord)) AS snip, any_value(title) AS title FROM h WHERE o2 IS NULL GROUP BY job),

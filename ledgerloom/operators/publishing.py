@@ -126,39 +126,68 @@ def first_reason(events: DataFrame, key: str, order: str, reason: str) -> DataFr
     return events.filter(F.col(reason).isNotNull()).groupBy(key).agg(F.min_by(reason, order).alias(reason))
 
 
-def publish(df: DataFrame, path: str, expected_version: int | None = None) -> int:
+def publish(df: DataFrame, path: str, expected_version: int | None = None, keep: int | None = None, aside: bool = False) -> int:
     """Write a new version beside the old ones and move the pointer, unless another writer moved it since ``expected_version``.
 
     A version is complete before it can be seen; a refusal leaves what is published
-    untouched. Returns the new version.
+    untouched. With ``aside`` the rows of a refused writer are kept beside it (refused()),
+    and the refusal says where. Of old versions the newest ``keep`` in all stay (all by
+    default): a reader that has begun to read one has that long. Returns the new version.
     """
     spark = df.sparkSession
     now = current_version(spark, path)
+
+    def refuse(why: str, staged: str | None = None) -> None:
+        to = f"{path}/refused-{uuid.uuid4().hex}"
+        if aside and staged is None:
+            df.write.parquet(to)
+        elif aside and not fs.rename(p(staged), p(to)):
+            raise OSError(f"{staged} could not be kept as {to}")
+        elif staged is not None and not aside:
+            fs.delete(p(staged), True)
+        raise Refused([f"{why}; its rows are in {to}" if aside else why])
+
+    fs, p = _fs(spark, path)
     if expected_version is not None and now != expected_version:
-        raise Refused([f"{path} is at version {now}, not {expected_version}"])
+        refuse(f"{path} is at version {now}, not {expected_version}")
     staged = f"{path}/.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    fs, p = _fs(spark, path)
     to = p(f"{path}/v{now + 1}")
     if fs.exists(to) or not fs.rename(p(staged), to):
-        fs.delete(p(staged), True)
-        raise Refused([f"{path}: version {now + 1} was published meanwhile"])
+        refuse(f"{path}: version {now + 1} was published meanwhile", staged)
+    if keep is not None:
+        for old in versions(spark, path):
+            if old <= now + 1 - max(keep, 1):
+                fs.delete(p(f"{path}/v{old}"), True)
     return now + 1
 
 
+def refused(spark: SparkSession, path: str) -> list[str]:
+    """Where the rows of refused writers are, in the order of their names."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p(path)):
+        return []
+    return sorted(f"{path}/{s.getPath().getName()}" for s in fs.listStatus(p(path)) if s.getPath().getName().startswith("refused-"))
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path
     return p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def current_version(spark: SparkSession, path: str) -> int:
-    """The published version, 0 for none."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that are there, ascending."""
     fs, p = _fs(spark, path)
     if not fs.exists(p(path)):
-        return 0
+        return []
     names = [s.getPath().getName() for s in fs.listStatus(p(path))]
-    return max([int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()], default=0)
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """The published version, 0 for none."""
+    return max(versions(spark, path), default=0)
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +69,36 @@ def init_review(registry_rows: DataFrame, columns: list[str], path: str, force:
     return publishing.publish(registry_rows.select(*cells), path, there)
 
 
+def token(spark: SparkSession, path: str) -> str:
+    """A word for exactly the rows that are published in ``path``, in any order."""
+    rows = publishing.published(spark, path)
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("decimal(20,0)")), F.lit(0))).first()
+    return hashlib.sha256(f"{path.rpartition('/')[2]} {publishing.current_version(spark, path)} {n} {total}".encode()).hexdigest()[:12]
+
+
+def run_steps(spark: SparkSession, path: str, steps: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], confirmed: dict[str, str]) -> tuple[dict[str, DataFrame], str | None, str | None]:
+    """(tables of the steps that are done, the step that waits for a person, the token to confirm it with).
+
+    Steps run in order, each from the tables of those before, and are published below
+    ``path``; one that is there already isn't run again. The next one runs only when the
+    result of the last was confirmed with its token, so what a person has looked at is what
+    goes on: a token of other rows is refused. The last step needs no confirmation.
+    """
+    done: dict[str, DataFrame] = {}
+    for i, (name, step) in enumerate(steps.items(), 1):
+        at = f"{path}/{name}"
+        if not publishing.current_version(spark, at):
+            publishing.publish(step(done), at, 0)
+        done[name] = publishing.published(spark, at)
+        if i < len(steps):
+            now = token(spark, at)
+            if name not in confirmed:
+                return done, name, now
+            if confirmed[name] != now:
+                raise registry.Refused([f"{name}: what was confirmed is not what is there"])
+    return done, None, None
+
+
 def carried_and_new(previous: DataFrame, new: DataFrame, urls: str = "urls") -> DataFrame:
     """Previous roles none of whose urls is among the new ones', then the new ones; ``carried`` tells them apart."""
     taken = new.select(F.explode(urls).alias("url"))
@@ -109,23 +140,24 @@ def read_report(postings: DataFrame, held: DataFrame, answers: DataFrame) -> Dat
 
 
 def pooled(df: DataFrame, call: Callable[[dict], str | None], width: int, out: str = "answer") -> DataFrame:
-    """df with the answer of ``call`` to each row, from at most ``width`` calls at a time; a call that raises answers null.
+    """df with the answer of ``call`` to each row, from at most ``width`` calls at a time.
 
-    Rows keep their columns, by which they can be put in order again.
+    A call that raises answers null, and ``<out>_error`` says what it raised. Rows keep
+    their columns, by which they can be put in order again.
     """
     ship(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())])
 
-    def answer(row: dict) -> str | None:
+    def answer(row: dict) -> tuple[str | None, str | None]:
         try:
-            return call(row)
-        except Exception:  # noqa: BLE001  one call's failure is its own
-            return None
+            return call(row), None
+        except Exception as e:  # noqa: BLE001  one call's failure is its own
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers = pa.array(map(answer, batch.to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, answers], schema.names)
+            both = [answer(row) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x[i] for x in both], pa.string()) for i in (0, 1)]], schema.names)
 
     return df.repartition(width).mapInArrow(run, schema)
 

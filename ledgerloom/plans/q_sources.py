@@ -219,6 +219,29 @@ def declared_fields(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "company", "stageNature", "applicationOpen", F.array_join("requiredLanguages", ",").alias("languages"), "languageRequirement", "workMode")
 
 
+def confirmed_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Two steps with a person between: the run waits, is confirmed with the token of what it made, and goes on."""
+    path, c = fresh(spark, "steps"), _customers(spark, d)
+    steps = {"judged": lambda _: c.filter(ck() % 3 == 0).select("c_custkey", F.upper("c_name").alias("name")), "built": lambda done: done["judged"].withColumn("built", F.length("name").cast("long"))}
+    _, waits, word = workflow.run_steps(spark, path, steps, {})
+    done, left, _ = workflow.run_steps(spark, path, steps, {waits: word})
+    return done["built"].withColumn("waited_for", F.lit(waits)).withColumn("waits_for", F.lit(left).cast("string"))
+
+
+def refused_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A writer that knew an old version is refused and its rows are kept aside; of four versions two stay."""
+    path, c = fresh(spark, "kept"), _customers(spark, d).select("c_custkey", "c_name")
+    for i in range(4):
+        publishing.publish(c.filter(ck() % 4 <= i), path, i, keep=2)
+    try:
+        publishing.publish(c.filter(ck() % 10 == 0), path, 2, aside=True)
+    except registry.Refused:
+        held = spark.read.parquet(*publishing.refused(spark, path)).withColumn("what", F.lit("refused"))
+        both = publishing.published(spark, path).withColumn("what", F.lit("published")).unionByName(held)
+        return both.withColumn("versions", F.lit(",".join(map(str, publishing.versions(spark, path)))))
+    raise AssertionError("an outdated writer was not refused")
+
+
 def published_versions(spark: SparkSession, d: str) -> DataFrame:
     """Two versions; a writer that knew only the first is refused, and the second is what is read."""
     path, c = fresh(spark, "published"), _customers(spark, d).select("c_custkey", "c_name")
@@ -319,7 +342,7 @@ def run_sets(spark: SparkSession, d: str) -> DataFrame:
 def pooled_calls(spark: SparkSession, d: str) -> DataFrame:
     """A call for each customer, three at a time; every ninth raises."""
     c = _customers(spark, d).select("c_custkey", "c_name")
-    return workflow.pooled(c, lambda r: r["c_name"].upper() if r["c_custkey"] % 9 else 1 / 0, 3).select("c_custkey", "answer")
+    return workflow.pooled(c, lambda r: r["c_name"].upper() if r["c_custkey"] % 9 else 1 / 0, 3).select("c_custkey", "answer", F.split_part("answer_error", F.lit(":"), F.lit(1)).alias("error"))
 
 
 def drained_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -362,6 +385,8 @@ SQL = {
     "new_roles": f"""SELECT k AS id, {_LABEL} AS label, c_name || ' / UX' AS title, c_mktsegment AS company, CASE WHEN ck % 6 = 1 THEN 'https://own.test/' || k ELSE 'https://p.test/' || k END AS url, CASE WHEN ck % 6 = 1 THEN 'https://p.test/' || k ELSE '' END AS alternates,
       ['On-site (dichiarato)', 'Not stated', 'Hybrid (dichiarato)'][CAST(ck % 3 AS INT) + 1] AS mode, 'Review' AS decision FROM {_GEN} WHERE ck % 4 = 1 AND ck % 10 <> 0""",
     "declared_fields": f"""SELECT k AS id, CASE WHEN ck % 10 <> 0 THEN c_mktsegment END AS company, true AS "stageNature", NOT (ck % 7 <> 0 AND ck % 4 = 0) AS "applicationOpen", CASE WHEN ck % 3 = 0 THEN 'en' END AS languages, CASE WHEN ck % 3 = 0 THEN 'all' END AS "languageRequirement", CASE ck % 3 WHEN 0 THEN 'onsite' WHEN 2 THEN 'hybrid' END AS "workMode" FROM {_GEN} WHERE ck % 4 < 2""",
+    "confirmed_steps": "SELECT c_custkey, upper(c_name) AS name, CAST(length(c_name) AS BIGINT) AS built, 'judged' AS waited_for, NULL::VARCHAR AS waits_for FROM customer WHERE c_custkey % 3 = 0",
+    "refused_rows": "SELECT c_custkey, c_name, 'published' AS what, '3,4' AS versions FROM customer UNION ALL SELECT c_custkey, c_name, 'refused', '3,4' FROM customer WHERE c_custkey % 10 = 0",
     "published_versions": "SELECT c_custkey, upper(c_name) AS c_name FROM customer",
     "exported_history": f"SELECT k, c_name AS name, CASE WHEN ck % 2 = 0 THEN c_mktsegment ELSE '' END AS segment, '' AS notes, '' AS absent FROM {_GEN}",
     "first_reasons": "SELECT user_id, arg_min(event_type, event_id) AS reason FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1",
@@ -376,12 +401,12 @@ SQL = {
     "carried_roles": f"SELECT c_custkey AS role_id, ck <= 100 AS carried FROM {_GEN} WHERE CASE WHEN ck <= 100 THEN ck % 30 NOT IN (SELECT c_custkey % 30 FROM customer WHERE c_custkey > 100 AND c_custkey % 30 < 10) ELSE ck % 30 < 10 END",
     "run_sets": f"""SELECT 'query' AS what, 'q' || (ck % 7) AS value, min(ck) AS n FROM {_GEN} GROUP BY ALL UNION ALL SELECT 'undeclarable', unnest(['s0', 's1', 'ats', 'board']), 0
       UNION ALL SELECT 'unconfirmed', 'UX', count(*) FROM customer UNION ALL SELECT 'unconfirmed', 'BUILDING', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' HAVING count(*) > 0""",
-    "pooled_calls": "SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN upper(c_name) END AS answer FROM customer",
+    "pooled_calls": "SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN upper(c_name) END AS answer, CASE WHEN c_custkey % 9 = 0 THEN 'ZeroDivisionError' END AS error FROM customer",
     "drained_batch": f"""WITH i AS (SELECT *, sum((outcome = 'ok')::INT) OVER (PARTITION BY source ORDER BY seq) AS island FROM {q_runs._RESP}), s AS (SELECT *, sum((outcome = 'error')::INT) OVER (PARTITION BY source, island ORDER BY seq) AS streak FROM i),
       stop AS (SELECT source, min(seq) FILTER (WHERE streak >= 3) AS last FROM s GROUP BY 1) SELECT source, count(*) FILTER (WHERE last IS NULL OR seq <= last) AS sent, count(*) FILTER (WHERE seq > last) AS unsent FROM s JOIN stop USING (source) GROUP BY 1""",
 }
 
 QUERIES = [
     guest_cards, posting_pages, article_cards, board_greenhouse, board_lever, board_ashby, discover_union, semicolon_files, tsv_files, target_files, aggregator_files, log_files, run_log, resumed_pages, sidecar_rows, history_keys, text_cleaning,
-    judged_verdicts, new_roles, declared_fields, published_versions, exported_history, first_reasons, artifact_buckets, doctor_report, typed_dates, staged_roles, first_review, read_fates, carried_roles, run_sets, pooled_calls, drained_batch,
+    judged_verdicts, new_roles, declared_fields, published_versions, confirmed_steps, refused_rows, exported_history, first_reasons, artifact_buckets, doctor_report, typed_dates, staged_roles, first_review, read_fates, carried_roles, run_sets, pooled_calls, drained_batch,
 ]

@@ -42,8 +42,8 @@ SCHEMA = "query string, place string, page int, html string, ord long"
 class Lane(InputPartition):
     """(query, place, ord) of the units that one task reads, in turn."""
 
-    def __init__(self, number: int, units: list[Unit]):
-        self.number, self.units = number, units
+    def __init__(self, number: int, pairs: list[Unit]):
+        self.number, self.pairs = number, pairs
 
 
 class Pages:
@@ -80,7 +80,7 @@ class Pages:
     def read(self, partition: Lane) -> Iterator[tuple]:
         time.sleep(partition.number * self.gap)  # lanes start one gap apart and stay so
         sent = False
-        for query, place, ord_ in partition.units:
+        for query, place, ord_ in partition.pairs:
             pages, page = self.pages_of(query, place), 0
             while self.pages is None or page < self.pages:
                 if sent and self.gap:
@@ -106,8 +106,8 @@ class StoredPagesOf(Pages):
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, pages: Pages):
-        self.pages = pages
+    def __init__(self, options: dict, pages: type[Pages] = Pages):
+        self.pages = pages(options)
 
     def partitions(self) -> list[Lane]:
         return self.pages.dealt([u for u in self.pages.units() if f"{u[0]} — {u[1]}" not in self.pages.done])
@@ -126,8 +126,8 @@ def planned(progress: str) -> int:
 
 
 class PagedStreamReader(DataSourceStreamReader):
-    def __init__(self, pages: Pages, options: dict):
-        self.pages = pages
+    def __init__(self, options: dict, pages: type[Pages] = Pages):
+        self.pages = pages(options)
         self.step = int(options["units_per_batch"]) if "units_per_batch" in options else None
         self.progress = options.get("progress")
         if self.step is not None and not self.progress:
@@ -172,10 +172,10 @@ class PagedSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return PagedReader(self.pages(self.options))
+        return PagedReader(self.options, self.pages)
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return PagedStreamReader(self.pages(self.options), self.options)
+        return PagedStreamReader(self.options, self.pages)
 
 
 class StoredPages(PagedSource):

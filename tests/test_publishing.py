@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import publishing as pub
+from ledgerloom.operators import workflow
 from ledgerloom.operators.registry import Refused
 from ledgerloom.sources import profiles
 
@@ -73,3 +74,35 @@ def test_profile(tmp_path):
     with pytest.raises(Refused) as e:
         profiles.load(tmp_path, [])
     assert len(e.value.problems) == 2
+
+
+def test_refused_rows_are_kept_and_old_versions_go(spark, tmp_path):
+    path, df = str(tmp_path / "t"), spark.range(5)
+    for i in range(5):
+        assert pub.publish(df.limit(i + 1), path, i, keep=3) == i + 1
+    assert pub.versions(spark, path) == [3, 4, 5]
+    with pytest.raises(Refused, match="version 5, not 2; its rows are in"):
+        pub.publish(df.limit(2), path, 2, aside=True)
+    with pytest.raises(Refused):
+        pub.publish(df.limit(1), path, 2)
+    (kept,) = pub.refused(spark, path)
+    assert spark.read.parquet(kept).count() == 2
+    assert pub.published(spark, path).count() == 5
+    assert pub.refused(spark, str(tmp_path / "none")) == []
+
+
+def test_steps_wait_for_the_rows_that_were_looked_at(spark, tmp_path):
+    ran = []
+    steps = {n: (lambda done, n=n: ran.append(n) or (done["a"] if n == "b" else spark.range(3))) for n in ("a", "b", "c")}
+    path = str(tmp_path)
+    done, waits, word = workflow.run_steps(spark, path, steps, {})
+    assert (list(done), waits, ran) == (["a"], "a", ["a"])
+    with pytest.raises(Refused, match="not what is there"):
+        workflow.run_steps(spark, path, steps, {"a": "no such"})
+    done, waits, more = workflow.run_steps(spark, path, steps, {"a": word})
+    assert (list(done), waits, ran) == (["a", "b"], "b", ["a", "b"])
+    pub.publish(spark.range(4), f"{path}/a")  # what was confirmed has changed
+    with pytest.raises(Refused, match="a: what was confirmed"):
+        workflow.run_steps(spark, path, steps, {"a": word, "b": more})
+    _, waits, _ = workflow.run_steps(spark, path, steps, {"a": workflow.token(spark, f"{path}/a"), "b": more})
+    assert waits is None and ran == ["a", "b", "c"]

@@ -7,10 +7,12 @@ token combinations together with the label; rules whose confidence or support is
 low, or which a shorter rule makes needless, are pruned. Any other url is matched by an
 inverted index of the rules that are left: each is filed under its rarest token.
 
-The combinations of one long url alone are without number, so tokens that stand in the
-very same transactions count as one before mining (a rule with one of them is as sure as
-with all), and a transaction that still has over MOST_ITEMS frequent tokens brings in
-those that tell most about the verdict.
+The combinations of one long url are many, so what can't be in a rule that stands is left
+out before mining: of tokens that stand in the very same transactions all but one (a rule
+with one of them is as sure as with all), and tokens of one verdict only, which are rules
+by themselves. Where a transaction still has over LONG frequent tokens, the same rules are
+found size by size instead: only sets that no part of stands in the same transactions, and
+that both verdicts have, are made larger.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ SUPPORT = 0.01
 CONFIDENCE = 0.9
 #: The verdict where no rule of either sort fits.
 DEFAULT = "allow"
-#: Frequent tokens of one transaction at most: 2**MOST_ITEMS combinations.
-MOST_ITEMS = 10
+#: Frequent tokens of one transaction beyond which sets are grown by size: FP-growth goes through 2**LONG of them.
+LONG = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LABEL = "="
 
@@ -75,45 +77,99 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.filter(both, lambda x: F.length(x) > 2)
 
 
-def frequent(labelled: DataFrame, support: float) -> dict[str, int]:
-    """Rank of each frequent token, from labelled(tokens, verdict): 0 tells most about the verdict.
+Rule = tuple[tuple[str, ...], str, float, float]
 
-    Of tokens that stand in the very same transactions only the first by name has a
-    rank. There are at most as many as the mean number of tokens divided by support.
+
+def frequent(labelled: DataFrame, least: int) -> dict[str, tuple[int, int]]:
+    """(transactions, of which blocked) of each frequent token of labelled(tokens, verdict), the most frequent first.
+
+    Of tokens that stand in the very same transactions only the first by name is there.
+    There are at most as many as the mean number of tokens divided by support.
     """
     named = labelled.withColumn("id", F.monotonically_increasing_id())
-    block = F.count_if(F.col("verdict") == "block")
-    n, n_block = named.agg(F.count(F.lit(1)), block).first()
+    block = F.count_if(F.col("verdict") == "block").alias("n_block")
     in_same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    each = named.select("id", "verdict", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), block.alias("n_block"), *in_same)
-    some = each.filter(F.col("n") >= math.ceil(support * n)).groupBy("n", "n_block", "x1", "x2").agg(F.min("token").alias("token"))
-    apart = lambda r: abs(r.n_block - r.n * n_block / n) / math.sqrt(r.n)
-    return {r.token: i for i, r in enumerate(sorted(some.collect(), key=lambda r: (-apart(r), -r.n, r.token)))}
+    each = named.select("id", "verdict", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), block, *in_same)
+    some = each.filter(F.col("n") >= least).groupBy("n", "n_block", "x1", "x2").agg(F.min("token").alias("token"))
+    return {r.token: (r.n, r.n_block) for r in sorted(some.collect(), key=lambda r: (-r.n, r.token))}
+
 
+def _count(baskets: DataFrame, sets: list[frozenset[str]], uses: dict[str, tuple[int, int]]) -> dict[frozenset[str], tuple[int, int]]:
+    """(transactions, of which blocked) that hold each of the sets."""
+    filed: dict[str, list[int]] = {}
+    for i, x in enumerate(sets):
+        filed.setdefault(min(x, key=lambda t: (uses[t][0], t)), []).append(i)
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[int, list[int]] = {}
+        for batch in batches:
+            for items in batch.column(0).to_pylist():
+                have = frozenset(items)
+                for i in (i for t in have for i in filed.get(t, ()) if sets[i] <= have):
+                    c = n.setdefault(i, [0, 0])
+                    c[0] += 1
+                    c[1] += _LABEL + "block" in have
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *[pa.array([c[j] for c in n.values()], pa.int64()) for j in (0, 1)]], ["i", "n", "b"])
+
+    rows = baskets.mapInArrow(run, "i long, n long, b long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()
+    return {sets[r.i]: (r.n, r.b) for r in rows}
+
+
+def _grown(baskets: DataFrame, uses: dict[str, tuple[int, int]], least: int, total: int, confidence: float) -> list[Rule]:
+    """The rules that stand, by sets of one token, of two, and so on: a set goes on if it is rarer than each of its parts and both verdicts have it."""
+    rules, level = [], {frozenset([t]): c for t, c in uses.items()}
+    while level:
+        rules += [r for x, c in level.items() for r in _rules(tuple(sorted(x)), *c, least, total, confidence)]
+        alive = {x: c for x, c in level.items() if 0 < c[1] < c[0]}
+        larger, starts = [], {}
+        for x in alive:
+            starts.setdefault(tuple(sorted(x))[:-1], []).append(max(x))
+        for start, ends in starts.items():
+            for i, a in enumerate(sorted(ends)):
+                for b in sorted(ends)[i + 1 :]:
+                    y = frozenset((*start, a, b))
+                    if all(y - {t} in alive for t in y):
+                        larger.append(y)
+        found = _count(baskets, larger, uses) if larger else {}
+        level = {y: c for y, c in found.items() if c[0] >= least and all(c[0] < alive[y - {t}][0] for t in y)}
+    return rules
+
+
+def _rules(tokens_: tuple[str, ...], n: int, blocked: int, least: int, total: int, confidence: float) -> list[Rule]:
+    """The rules that one set of tokens gives."""
+    return [(tokens_, v, m / n, m / total) for v, m in (("block", blocked), ("allow", n - blocked)) if m >= least and m / n >= confidence]
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[Rule]:
     """(tokens, verdict, confidence, support) of the rules that stand, from labelled(tokens, verdict).
 
-    Support, confidence and MOST_ITEMS bound the rules that come to the driver.
+    Support and confidence bound the rules that come to the driver.
     """
     if labelled.isEmpty():
         return []
     ship(labelled.sparkSession)
-    rank = frequent(labelled, support)
+    total = labelled.count()
+    least = math.ceil(support * total)
+    uses = frequent(labelled, least)
+    mixed = {t: c for t, c in uses.items() if 0 < c[1] < c[0]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            items = [[*sorted(rank.keys() & have, key=rank.__getitem__)[:MOST_ITEMS], _LABEL + verdict] for have, verdict in rows]
+            items = [[*sorted(mixed.keys() & have), _LABEL + verdict] for have, verdict in rows]
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], ["items"])
 
     baskets = labelled.select("tokens", "verdict").mapInArrow(run, "items array<string>")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=max(2, baskets.sparkSession.sparkContext.defaultParallelism)).fit(baskets)
-    found = model.associationRules.filter(F.element_at("consequent", 1).startswith(_LABEL))
-    found = found.filter(~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
-    rows = [(tuple(sorted(r[0])), r[1][0][len(_LABEL) :], r[2], r[3]) for r in found.select("antecedent", "consequent", "confidence", "support").collect()]
+    rows = [r for t, c in uses.items() if t not in mixed for r in _rules((t,), *c, least, total, confidence)]
+    if mixed and baskets.agg(F.max(F.size("items"))).first()[0] > LONG + 1:
+        rows += _grown(baskets, mixed, least, total, confidence)
+    elif mixed:
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=max(2, baskets.sparkSession.sparkContext.defaultParallelism)).fit(baskets)
+        found = model.associationRules.filter(F.element_at("consequent", 1).startswith(_LABEL))
+        found = found.filter(~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
+        rows += [(tuple(sorted(r[0])), r[1][0][len(_LABEL) :], r[2], r[3]) for r in found.select("antecedent", "consequent", "confidence", "support").collect()]
     rows.sort(key=lambda r: (len(r[0]), -r[2], -r[3], r[0]))
-    kept: list[tuple[tuple[str, ...], str, float, float]] = []
+    kept: list[Rule] = []
     filed: dict[tuple[str, str], list[tuple[frozenset[str], float]]] = {}
     for r in rows:  # a rule stands if no shorter one of the same verdict is as sure
         have = frozenset(r[0])
@@ -123,7 +179,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return kept
 
 
-def inverted(rules: list[tuple[tuple[str, ...], str, float, float]]) -> dict[str, list[tuple[frozenset[str], str, tuple]]]:
+def inverted(rules: list[Rule]) -> dict[str, list[tuple[frozenset[str], str, tuple]]]:
     """Rules by the token that the fewest rules hold."""
     uses: dict[str, int] = {}
     for r in rules:
@@ -140,7 +196,7 @@ def inverted(rules: list[tuple[tuple[str, ...], str, float, float]]) -> dict[str
 def judge(pages: DataFrame, rules: list[Listed], support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict and mined (the mined rule used, if any) of every row of pages(page_id, url).
 
-    Null urls and those without :// have an empty host and path. Repeated rows stay;
+    A url that neither a listed nor a mined rule fits is allowed. Null urls and those without :// have an empty host and path. Repeated rows stay;
     other columns are ignored, whatever their names.
     """
     ship(pages.sparkSession)

@@ -240,6 +240,33 @@ def test_mined_rules_equal_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+@pytest.mark.parametrize("long", [3, 16])
+def test_rules_of_urls_of_fourteen_tokens_equal_brute_force(spark, monkeypatch, long):
+    """Every token frequent and of both verdicts: FP-growth goes through all sets; with LONG at 3 they are grown by size."""
+    monkeypatch.setattr(url_rules, "LONG", long)
+    rng = random.Random(7)
+    letters, rows = "abcdefghijklmn", []
+    for i in range(160):
+        t = sorted(letters if i % 8 == 0 else rng.sample(letters, rng.randint(3, 11)))
+        rows.append((t, "block" if ({"b", "c", "d"} <= set(t) and rng.random() < 0.97) or rng.random() < 0.08 else "allow"))
+    got = {(r[0], r[1]): (r[2], r[3]) for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.12, 0.85)}
+    # every set of letters as bits; ``best`` is the surest rule of any smaller part of it
+    held = [(sum(1 << letters.index(x) for x in t), v) for t, v in rows]
+    want = {}
+    for verdict in ("allow", "block"):
+        sure, best = {}, {0: 0.0}
+        for x in range(1, 1 << 14):
+            have = [v for m, v in held if m & x == x]
+            n = have.count(verdict)
+            sure[x] = n / len(have) if n >= 0.12 * len(rows) and n >= 0.85 * len(have) else 0.0
+            parts = [x & ~(1 << j) for j in range(14) if x >> j & 1]
+            best[x] = max(max(best[y], sure.get(y, 0.0)) for y in parts)
+            if sure[x] > best[x]:
+                want[tuple(c for j, c in enumerate(letters) if x >> j & 1), verdict] = sure[x]
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k]) < 1e-9 for k in got)
+    assert any(len(k[0]) >= 2 for k in got)
+
+
 # personal data
 
 

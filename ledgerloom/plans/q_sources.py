@@ -364,7 +364,9 @@ SQL = {
     "board_lever": f"""SELECT c_name AS company, 'Design ' || k AS title, CASE WHEN ck % 3 = 0 THEN 'To verify' ELSE 'Rome' END AS location, 'https://l.test/' || k AS url, '' AS snippet, 'l' || k AS "sourceJobId", CASE ck % 3 WHEN 0 THEN 'onsite' WHEN 1 THEN 'fully_remote' END AS "workMode", 'ats:b' || k AS "discoveryQuery", 'employer' AS source FROM {_GEN} WHERE ck % 11 <> 0""",
     "board_ashby": f"""SELECT c_name AS company, CASE ck % 3 WHEN 0 THEN 'UX Intern' ELSE 'Stage UX' END AS title, 'Berlin' AS location, CASE WHEN ck % 2 = 0 THEN 'https://a.test/x' ELSE 'https://jobs.ashbyhq.com/b' || k || '/a' || k END AS url, CAST(least(500, ck % 7 * 100) AS VARCHAR) AS snippet, 'ashby:a' || k AS "sourceJobId", 'hybrid' AS "workMode", 'ashby:b' || k AS "discoveryQuery", 'employer' AS source
       FROM {_GEN} WHERE ck % 11 <> 0 AND ck % 5 <> 0 AND ck % 3 <> 1""",
-    "discover_union": """SELECT * FROM (VALUES ('small', 'ok', 11, 11, 10), ('large', 'capped', 40, 40, 39), ('bad', 'error', 0, NULL, NULL)) t(source, status, cards, n, last)""",
+    "discover_union": """WITH c AS (SELECT 'small' AS source, c_custkey AS o FROM customer WHERE c_custkey <= 10 UNION ALL SELECT 'large', c_custkey FROM customer),
+      n AS (SELECT source, count(*) AS all_, least(count(*), 40) AS n FROM c GROUP BY 1), r AS (SELECT source, o, row_number() OVER (PARTITION BY source ORDER BY o) AS i FROM c)
+      SELECT n.source, CASE WHEN all_ > 40 THEN 'capped' ELSE 'ok' END AS status, n AS cards, n, max(o) FILTER (WHERE i <= 40) AS last FROM n JOIN r USING (source) GROUP BY n.source, all_, n UNION ALL SELECT 'bad', 'error', 0, NULL, NULL""",
     "semicolon_files": f"""SELECT k, '"q" ' || c_name || '|' || c_mktsegment AS a, 'x y ' || k || '  z' AS b FROM {_GEN}""",
     "tsv_files": f"""SELECT name, segment, file, line FROM (SELECT c_name AS name, c_mktsegment AS segment, CASE WHEN ck <= 40 THEN '0' ELSE '1' END AS file, row_number() OVER (PARTITION BY ck <= 40 ORDER BY ck) AS line, ck FROM {_GEN}) WHERE ck % 7 > 1""",
     "target_files": f"SELECT CASE WHEN ck % 5 = 2 THEN c_name ELSE '' END AS label, 'https://t.test/' || k AS url FROM {_GEN} WHERE ck % 5 > 1",

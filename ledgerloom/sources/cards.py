@@ -6,12 +6,15 @@ whole page: a malformed block costs itself, not its neighbours.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import decode_entities, strip_tags, text, work_mode
 from ..operators.gates import intern_signal, match_query
+from ..storage import stored
 
 CARD = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("title", "company", "location", "url", "snippet", "posted", "sourceJobId", "poster")]
@@ -128,24 +131,35 @@ def board_cards(payloads: DataFrame, kind: str, queries: list[str] = ()) -> Data
     return j.select("company", F.lit("employer").alias("source"), *[c.alias(n) for c, n in zip(cols, names, strict=True)])
 
 
+#: Sources read at a time.
+AT_ONCE = 8
+
+
 def discover(sources: dict[str, object], cap: int | None = None) -> tuple[DataFrame | None, list[dict]]:
     """(union of the cards of all sources, a report of each). A source that fails is reported and gives no cards.
 
-    sources: name -> function without arguments that returns cards. Of a source with
-    more than ``cap`` cards the first by ord, and by all other columns where ord is the
-    same, stay; it is reported as capped, with the number of cards that stay.
+    sources: name -> function without arguments that returns cards. Each is read once, some
+    at a time: its cards are written, counted on the way, and the union reads what was
+    written. Of a source with more than ``cap`` cards the first by ord, and by all other
+    columns where ord is the same, stay; it is reported as capped, with the number of cards that stay.
     """
-    found, report = None, []
-    for name, source in sources.items():
+
+    def one(name: str, source) -> tuple[DataFrame | None, dict]:
         try:
-            cards = as_cards(source())
-            # all columns are read here, so that a source that fails does so now
-            n = cards.agg(F.count(F.lit(1)), F.max(F.xxhash64(*cards.columns))).first()[0]
+            seen = Observation(f"cards of {name}")
+            cards = stored(as_cards(source()).observe(seen, F.count(F.lit(1)).alias("n")), "cards")
+            n = seen.get["n"]
             capped = cap is not None and n > cap
             if capped:
                 cards = cards.orderBy("ord", *[c for c in cards.columns if c != "ord"]).limit(cap)
-            found = cards if found is None else found.unionByName(cards)
-            report.append({"id": name, "status": "capped" if capped else "ok", "cards": cap if capped else n, "reason": f"{cap} of {n} cards" if capped else None})
+            return cards, {"id": name, "status": "capped" if capped else "ok", "cards": cap if capped else n, "reason": f"{cap} of {n} cards" if capped else None}
         except Exception as e:  # noqa: BLE001  whatever one source raises, the others go on
-            report.append({"id": name, "status": "error", "cards": 0, "reason": f"{type(e).__name__}: {e}"})
-    return found, report
+            return None, {"id": name, "status": "error", "cards": 0, "reason": f"{type(e).__name__}: {e}"}
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        done = list(pool.map(one, sources, sources.values()))
+    found = None
+    for cards, _ in done:
+        if cards is not None:
+            found = cards if found is None else found.unionByName(cards)
+    return found, [report for _, report in done]

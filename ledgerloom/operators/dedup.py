@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normalize import normalize_url, role_key, text
 
@@ -43,7 +44,11 @@ def merge_cards(cards: DataFrame, key: str = "key", order: str = "ord") -> DataF
     urls = F.transform(F.concat(F.coalesce("alternateUrls", none), F.array("url")), lambda u, i: F.struct(F.lit("u").alias("kind"), u.alias("value"), i.alias("i")))
     query = F.array(F.struct(F.lit("q").alias("kind"), text(F.col("discoveryQuery")).alias("value"), F.lit(0).alias("i")))
     items = cards.select(key, order, F.explode(F.concat(query, urls)).alias("x")).select(key, order, "x.*")
-    items = items.groupBy(key, "kind", "value").agg(F.min(F.struct(F.col(order).alias("o"), "i")).alias("at"))
+    if isinstance(cards.schema[order].dataType, T.IntegralType):  # one number for both is aggregated by hashing, a pair by sorting
+        at = F.col(order).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("i")
+    else:
+        at = F.struct(F.col(order), "i")
+    items = items.groupBy(key, "kind", "value").agg(F.min(at).alias("at"))
     listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "value")))).alias(kind)
     items = items.groupBy(F.col(key).alias("_key")).agg(listed("q"), listed("u"))
     both = grouped.join(items, F.col(key).eqNullSafe(F.col("_key")))

@@ -129,10 +129,12 @@ def fsm_stop(spark: SparkSession, d: str) -> DataFrame:
     return guard.health(_responses(spark, d), max_429=3, max_errors=3, max_cooldowns=2)
 
 
-def _streaming(spark: SparkSession) -> SparkSession:
+def _streaming(spark: SparkSession, settings: dict[str, str] | None = None) -> SparkSession:
     """A session that shares all but its settings, with the state store that timers need."""
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name, value in (settings or {}).items():
+        own.conf.set(name, value)
     return own
 
 
@@ -162,7 +164,7 @@ def late_postings(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.concat_ws("/", "user_id", "event_type").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     turn = F.row_number().over(Window.partitionBy("key").orderBy("ts", "event_id"))
     e = e.withColumn("turn", turn).filter("turn <= 3")
-    own, path = _streaming(spark), fresh(spark, "postings")
+    own, path = _streaming(spark, guard.LATE_AT_ONCE), fresh(spark, "postings")
     for i in (2, 1, 3):
         e.filter(F.col("turn") == i).drop("turn").coalesce(1).write.mode("append").parquet(path)
     stream = own.readStream.schema("key string, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)

@@ -24,6 +24,7 @@ MAX_429, MAX_ERRORS = 5, 8
 FIELDS = ("requests", "ok", "blocked429", "blocked403", "gone", "errors", "cooldowns", "errors_in_row", "base429", "ok_at_last")
 SCHEMA = "source string, requests long, ok long, blocked429 long, blocked403 long, gone long, errors long, cooldowns long, stopped boolean, reason string, unsent long"
 STATE = ", ".join(f"{f} long" for f in FIELDS) + ", stopped boolean, reason string, unsent long"
+LATE_AT_ONCE = {"spark.sql.streaming.statefulOperator.allowMultiple": "false"}
 
 
 @dataclass
@@ -301,9 +302,14 @@ def watched(responses: DataFrame, wait_ms: int, silence_ms: int, late: str = "1
 def first_seen_within(postings: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
     """A stream of postings without those whose key came before and is still remembered, and without those that come too late.
 
-    A key is remembered until the watermark, ``late`` behind the newest posting, is ``late``
-    past the posting that was let through; a posting older than the watermark is dropped.
+    A key is remembered until the watermark, ``late`` behind the newest posting of the batches
+    before, is ``late`` past the posting that was let through; a posting not newer than the
+    watermark is dropped. Spark by itself drops by the watermark of one batch earlier, so that
+    late postings of a second batch pass: the session must have LATE_AT_ONCE.
     """
+    for name, value in LATE_AT_ONCE.items():
+        if postings.sparkSession.conf.get(name, None) != value:
+            raise ValueError(f"{name} must be {value} in the session of the stream, or late postings pass")
     return postings.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
